@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from scholium.sources.tables import Tables, event_stream, pin_utc
+from scholium.sources.tables import Tables, event_stream, parquet_stream, pin_utc
 
-__all__ = ["Tables", "event_stream", "pin_utc"]
+__all__ = ["Tables", "event_stream", "parquet_stream", "pin_utc"]

@@ -26,12 +26,19 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
 
-def event_stream(
-    spark: SparkSession, path: str, event_time: str = "ts", files_per_trigger: int | None = None
-) -> DataFrame:
-    """Stream parquet files, with the event time as a zoned timestamp (watermarks need one)."""
+def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Stream a parquet table that is one file or a folder of files."""
     pin_utc(spark)
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path).withColumn(event_time, F.col(event_time).cast("timestamp"))
+    # A plain path must be a folder; a pattern that matches just this path may be either.
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def event_stream(
+    spark: SparkSession, path: str, event_time: str = "ts", files_per_trigger: int | None = None
+) -> DataFrame:
+    """The same with the event time as a zoned timestamp, which watermarks need."""
+    stream = parquet_stream(spark, path, files_per_trigger)
+    return stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
