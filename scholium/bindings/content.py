@@ -89,12 +89,12 @@ SELECT page_id, url, {_sql_entities(_sql_squeeze(_TITLE))} AS title,
 FROM pages
 """)
 def clean_pages(t):
-    return op.clean_pages(t("pages"), "html")
+    return op.clean_pages(t.spread("pages", "page_id"), "html")
 
 
 @query(SENTENCES + "SELECT doc_id, pos, sentence FROM sentence")
 def extract_notes(t):
-    return op.extract_notes(t("documents"), "doc_id", "text")
+    return op.extract_notes(t.spread("documents", "doc_id"), "doc_id", "text")
 
 
 @query(SENTENCES + """
@@ -106,7 +106,7 @@ SELECT doc_id, any_value(source) AS title, string_agg(sentence, ' ' ORDER BY pos
 FROM ranked JOIN sentence USING (doc_id, pos) JOIN documents USING (doc_id) WHERE rn <= 2 GROUP BY doc_id
 """)
 def summarise(t):
-    return op.summarise(t("documents"), "doc_id", "source", "text", 2)
+    return op.summarise(t.spread("documents", "doc_id"), "doc_id", "source", "text", 2)
 
 
 @query(KEY_TERMS + f"""
@@ -114,7 +114,7 @@ SELECT doc_id, source AS title, card, {_blank("sentence", "term")} AS question,
 FROM key_terms JOIN sentence USING (doc_id, pos) JOIN documents USING (doc_id) WHERE card <= 2
 """)
 def make_flashcards(t):
-    return practice.make_flashcards(t("documents"), "doc_id", "source", "text", 2)
+    return practice.make_flashcards(t.spread("documents", "doc_id"), "doc_id", "source", "text", 2)
 
 
 @query(KEY_TERMS + f"""
@@ -142,7 +142,7 @@ SELECT doc_id, source AS topic, CASE third WHEN 1 THEN 'Easy' WHEN 2 THEN 'Mediu
 FROM placed JOIN options USING (doc_id)
 """)
 def make_quiz(t):
-    return practice.make_quiz(t("documents"), "doc_id", "source", "text", "lang")
+    return practice.make_quiz(t.spread("documents", "doc_id"), "doc_id", "source", "text", "lang")
 
 
 @query(f"SELECT conv_id, turn, role, {_trim('text')} AS text FROM conversations WHERE length({_trim('text')}) > 0")

@@ -28,7 +28,7 @@ SELECT * FROM (
 ) WHERE position <= 10
 """)
 def ranked_search(t):
-    return op.ranked_search(t("documents"), t("benchmark"), "doc_id", "text", "item_id", "text", 10)
+    return op.ranked_search(t.spread("documents"), t("benchmark"), "doc_id", "text", "item_id", "text", 10)
 
 
 CENTRES = """

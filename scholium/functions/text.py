@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from scholium.functions.columns import ColumnOrName, as_column
 
 # The characters that the web platform's trim() removes.
-WHITE_SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WHITE_SPACE = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 WORD = r"\p{L}+"
 SENTENCE_BREAK = rf"[.!?][{WHITE_SPACE}]+|\n+"
 # Markup whose content is not reading text, then any remaining tag.
@@ -30,7 +33,7 @@ ENTITIES = {
 
 def trim_all(text: ColumnOrName) -> Column:
     """Strip every kind of white space from both ends."""
-    return F.regexp_replace(as_column(text), rf"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+$", "")
+    return F.btrim(as_column(text), F.lit(WHITE_SPACE))
 
 
 def contains_text(text: ColumnOrName, query: str) -> Column:

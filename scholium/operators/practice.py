@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions.columns import case_label
 from scholium.functions.text import blank_out, sentences
 from scholium.operators.terms import document_frequency, rounded, sentence_words, with_idf
-from scholium.plans import number_rows, salted_join, top_per_key
+from scholium.plans import number_rows, top_per_key, weighted_lookup
 
 # Shorter words make poor answers.
 ANSWER_LENGTH = 4
@@ -26,10 +28,12 @@ def key_terms(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     return top_per_key(scored, [doc_id], [F.col("score").desc(), F.col("term")], k)
 
 
-def make_flashcards(docs: DataFrame, doc_id: str, title: str, text: str, k: int) -> DataFrame:
+def make_flashcards(
+    docs: DataFrame, doc_id: str, title: str, text: str, k: int, keep: Sequence[str] = ()
+) -> DataFrame:
     """Cards (title, question, answer): the sentence of a key word with the word blanked."""
     terms = key_terms(docs, doc_id, text, k)
-    cards = terms.join(docs.select(doc_id, title, text), doc_id)
+    cards = terms.join(docs.select(doc_id, title, text, *keep), doc_id)
     sentence = F.get(sentences(text), F.col("pos").cast("int"))
     return cards.select(
         doc_id,
@@ -37,6 +41,7 @@ def make_flashcards(docs: DataFrame, doc_id: str, title: str, text: str, k: int)
         F.col("position").alias("card"),
         blank_out(sentence, "term").alias("question"),
         F.col("term").alias("answer"),
+        *keep,
     )
 
 
@@ -50,7 +55,7 @@ def ranked_vocabulary(docs: DataFrame, text: str, lang: str) -> DataFrame:
     level = case_label(
         [(F.col("rank") <= first, LEVELS[0]), (F.col("rank") <= first + second, LEVELS[1])], LEVELS[2]
     )
-    return ranked.select(lang, "term", "rank", "size", level.alias("difficulty"))
+    return ranked.select(lang, "term", "df", "rank", "size", level.alias("difficulty"))
 
 
 def make_quiz(
@@ -66,35 +71,37 @@ def make_quiz(
     """One cloze question per document with four options, one of them right.
 
     The wrong options are the answer's neighbours in the language's frequency ranking, so they
-    are about as common. ``topic`` keeps documents of one title, ``difficulty`` a third of the
+    are about as common; a language of fewer than four words has no questions. ``topic`` keeps documents of one title, ``difficulty`` a third of the
     vocabulary, ``n`` the first questions by document.
     """
     chosen = docs if topic is None else docs.where(F.col(title) == topic)
-    cards = make_flashcards(chosen, doc_id, title, text, 1).join(chosen.select(doc_id, lang), doc_id)
+    cards = make_flashcards(chosen, doc_id, title, text, 1, [lang])
     vocabulary = ranked_vocabulary(docs, text, lang)
 
-    # Options are worked out once per answer word, not once per question.
-    answers = cards.select(lang, F.col("answer").alias("term")).distinct()
-    placed = answers.join(vocabulary, [lang, "term"])
-    steps = F.explode(F.sequence(F.lit(1), F.lit(DISTRACTORS))).alias("_step")
-    wanted = placed.select(lang, "term", "difficulty", "rank", "size", steps).withColumn(
-        "_near", (F.col("rank") - 1 + F.col("_step")) % F.col("size") + 1
+    # Each word is an option at its own rank and at the ranks just before it (round the end), so
+    # one grouping of four rows per rank gives the options of every possible answer.
+    steps = F.explode(F.sequence(F.lit(0), F.lit(DISTRACTORS))).alias("_step")
+    offered = vocabulary.select(lang, "term", "df", "rank", "size", "difficulty", steps).withColumn(
+        "_rank", F.pmod(F.col("rank") - 1 - F.col("_step"), F.col("size"))
     )
-    near = vocabulary.select(lang, F.col("rank").alias("_near"), F.col("term").alias("_other"))
-    options = (
-        wanted.join(near, [lang, "_near"])
-        .groupBy(lang, F.col("term").alias("answer"), "difficulty")
-        .agg(F.array_sort(F.array_append(F.collect_set("_other"), F.first("term"))).alias("options"))
-        .where(F.size("options") == DISTRACTORS + 1)
+    own = lambda c: F.max(F.when(F.col("_step") == 0, F.col(c)))
+    choice = F.struct(own("difficulty").alias("difficulty"), F.sort_array(F.collect_list("term")).alias("options"))
+    choices = (
+        offered.where(F.col("size") > DISTRACTORS)
+        .groupBy(lang, "_rank")
+        .agg(own("term").alias("answer"), own("df").alias("df"), choice.alias("choice"))
+        .drop("_rank")
     )
+    # A word is the answer of no more documents than use it.
+    quiz = weighted_lookup(cards, choices, [lang, "answer"], "df", "choice", [doc_id]).where("choice IS NOT NULL")
     if difficulty is not None:
-        options = options.where(F.col("difficulty") == difficulty)
-    quiz = salted_join(cards, options, [lang, "answer"], [doc_id]).select(
+        quiz = quiz.where(F.col("choice.difficulty") == difficulty)
+    quiz = quiz.select(
         doc_id,
         F.col("title").alias("topic"),
-        "difficulty",
+        "choice.difficulty",
         "question",
-        F.array_join("options", " | ").alias("options"),
-        F.array_position("options", F.col("answer")).cast("bigint").alias("right_option"),
+        F.array_join("choice.options", " | ").alias("options"),
+        F.array_position("choice.options", F.col("answer")).cast("bigint").alias("right_option"),
     )
     return quiz if n is None else quiz.orderBy(doc_id).limit(n)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,48 +20,134 @@ from scholium.plans import collect_bounded, salted_join, top_per_key
 K1, B = 1.2, 0.75
 # Most queries sent to every task; more than that are shuffled in slabs.
 BROADCAST_QUERIES = 2048
+BROADCAST_ENTRIES = 200_000
 BROADCAST_HITS = 200_000
 SLAB_QUERIES = 1024
 BLOCK_CHUNKS = 50_000
+# Numbers held in one score matrix of a task.
+MATRIX_CELLS = 8_000_000
 
 
-def ranked_search(
-    docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query_text: str, k: int
-) -> DataFrame:
-    """BM25 top ``k`` documents for every query.
+def _postings(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(document, length, word, count) for the words in ``terms``.
 
-    Only words that some query uses leave the scan. Each document also sends one row with the
-    empty word, which carries its length, so the corpus is read and split into words once:
-    document frequencies, sizes and scores all come from the same shuffled counts.
+    Each document also has one row for the empty word, which carries its length. The corpus
+    is thus read and split into words once: document frequencies, sizes and scores all come
+    from the same shuffled counts.
     """
-    asked = queries.select(query_id, F.explode(F.array_distinct(words(query_text))).alias("term"))
-    vocabulary = asked.select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
     split = docs.select(doc_id, words(text).alias("_words"))
     uses = split.select(
         doc_id, F.size("_words").alias("length"), F.explode(F.array_append("_words", F.lit(""))).alias("term")
     )
-    postings = (
-        uses.join(vocabulary, "term", "left_semi")
+    # The last test always holds; it keeps the count in every use, so that all share one shuffle.
+    return (
+        uses.join(terms, "term", "left_semi")
         .groupBy(doc_id, "length", "term")
         .agg(F.count("*").alias("tf"))
-        # Always true; keeps the count in each use below, so that they share one shuffle.
         .where(F.col("tf") > 0)
     )
+
+
+def _impacts(postings: DataFrame) -> tuple[DataFrame, Column]:
+    """Idf per word, and the weight of a posting given its ``idf``."""
     by_term = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("_length"))
-    is_size = F.col("term") == ""
-    sizes = by_term.agg(F.max(F.when(is_size, F.struct("df", "_length"))).alias("s")).select("s.*")
+    sizes = by_term.agg(F.max(F.when(F.col("term") == "", F.struct("df", "_length"))).alias("s")).select("s.*")
     n = sizes.select(F.col("df").cast("double")).scalar()
     mean_length = sizes.select(F.col("_length") / F.col("df")).scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(by_term.select("term", "df"), "term").select(query_id, "term", idf.alias("idf"))
     tf = F.col("tf").cast("double")
     impact = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean_length))
-    hits = (
-        salted_join(postings, weighted, ["term"], [doc_id])
-        .groupBy(query_id, doc_id)
-        .agg(rounded(F.sum(impact)).alias("score"))
+    return by_term.select("term", idf.alias("idf")), impact
+
+
+def ranked_search(
+    docs: DataFrame,
+    queries: DataFrame,
+    doc_id: str,
+    text: str,
+    query_id: str,
+    query_text: str,
+    k: int,
+    broadcast_entries: int = BROADCAST_ENTRIES,
+) -> DataFrame:
+    """BM25 top ``k`` documents for every query.
+
+    Up to ``broadcast_entries`` (query, word) pairs go to every task: a task then scores its
+    documents against all queries and passes on the best ``k`` of each. More pairs are joined
+    with the postings by word.
+    """
+    asked = queries.select(query_id, F.explode(F.array_distinct(words(query_text))).alias("term"))
+    entries = collect_bounded(asked, broadcast_entries)
+    order = [F.col("score").desc(), F.col(doc_id)]
+    empty = queries.sparkSession.range(1).select(F.lit("").alias("term"))
+    if entries is None:
+        postings = _postings(docs, asked.select("term").distinct().unionByName(empty), doc_id, text)
+        idf, impact = _impacts(postings)
+        hits = (
+            salted_join(postings, asked.join(idf, "term"), ["term"], [doc_id])
+            .groupBy(query_id, doc_id)
+            .agg(rounded(F.sum(impact)).alias("score"))
+        )
+        return top_per_key(hits, [query_id], order, k)
+    names = sorted({row[0] for row in entries})
+    terms = sorted({row[1] for row in entries})
+    numbered = queries.sparkSession.createDataFrame(list(enumerate(terms)), "no int, term string")
+    postings = _postings(docs, F.broadcast(numbered.select("term").unionByName(empty)), doc_id, text)
+    idf, impact = _impacts(postings)
+    known = F.broadcast(idf.join(F.broadcast(numbered), "term"))
+    scored = postings.join(known, "term").select(
+        F.col(doc_id).cast("bigint").alias(doc_id), "no", impact.alias("impact")
     )
-    return top_per_key(hits, [query_id], [F.col("score").desc(), F.col(doc_id)], k)
+    of_doc = scored.groupBy(doc_id).agg(F.collect_list("no").alias("no"), F.collect_list("impact").alias("impact"))
+    number_of_term = {term: i for i, term in enumerate(terms)}
+    number_of_query = {name: i for i, name in enumerate(names)}
+    pairs = sorted((number_of_query[q], number_of_term[t]) for q, t in entries)
+    schema = _hit_schema(queries, query_id, doc_id)
+    partial = _score_documents(of_doc, names, pairs, len(terms), k, schema)
+    return top_per_key(partial, [query_id], order, k)
+
+
+def _hit_schema(queries: DataFrame, query_id: str, item_id: str) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField(query_id, queries.schema[query_id].dataType),
+            T.StructField(item_id, T.LongType()),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+
+
+def _best_rows(best: BestPerQuery, names: list, schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    if len(best.ids):
+        columns = [pa.array(np.asarray(names)[best.queries]), pa.array(best.ids), pa.array(best.scores)]
+        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+
+def _score_documents(
+    of_doc: DataFrame, names: list, pairs: list[tuple[int, int]], n_terms: int, k: int, schema: T.StructType
+) -> DataFrame:
+    """Best documents per query in each task; a row holds the numbers and weights of a document's words."""
+    shared = of_doc.sparkSession.sparkContext.broadcast((names, np.array(pairs, dtype=np.int64).reshape(-1, 2)))
+
+    def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_names, entries = shared.value
+        asking, starts = np.unique(entries[:, 0], return_index=True)
+        rows_at_once = max(1, MATRIX_CELLS // max(1, n_terms + len(entries)))
+        best = BestPerQuery(k, SCORE_DIGITS)
+        for whole in batches:
+            for first in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(first, rows_at_once)
+                term_lists = batch.column(1)
+                row = np.repeat(np.arange(batch.num_rows), term_lists.value_lengths().to_numpy())
+                weights = np.zeros((batch.num_rows, n_terms))
+                weights[row, term_lists.flatten().to_numpy()] = batch.column(2).flatten().to_numpy()
+                sums = np.add.reduceat(weights[:, entries[:, 1]], starts, axis=1)
+                scores = np.full((batch.num_rows, len(query_names)), np.nan)
+                scores[:, asking] = np.where(sums > 0, sums, np.nan)
+                best.offer(scores, batch.column(0).to_numpy())
+        yield from _best_rows(best, query_names, schema)
+
+    return of_doc.mapInArrow(best_of_task, schema)
 
 
 def _chunk_matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -78,11 +164,7 @@ def _cosine_from_broadcast(chunks: DataFrame, names: list, matrix, k: int, width
             if batch.num_rows:
                 vectors = unit_rows(_chunk_matrix(batch.column(1), width))
                 best.offer(vectors @ unit_queries.T, batch.column(0).to_numpy())
-        if len(best.ids):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(query_names)[best.queries]), pa.array(best.ids), pa.array(best.scores)],
-                names=schema.names,
-            )
+        yield from _best_rows(best, query_names, schema)
 
     return chunks.mapInArrow(best_of_task, schema)
 
@@ -125,13 +207,7 @@ def _hits(
     asked = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
     rows = collect_bounded(asked, most)
     first = asked.first() if rows is None else (rows[0] if rows else None)
-    schema = T.StructType(
-        [
-            T.StructField(query_id, queries.schema[query_id].dataType),
-            T.StructField(chunk_id, T.LongType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    schema = _hit_schema(queries, query_id, chunk_id)
     if first is None:
         return queries.sparkSession.createDataFrame([], schema).withColumn("position", F.lit(1).cast("bigint")), True
     width = len(first[1])

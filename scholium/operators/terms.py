@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions.text import sentences, words
-from scholium.plans import salted_join
+from scholium.plans import fill_from, split_frequent, weighted_lookup
 
 # Scores are compared after rounding, since the order of a distributed sum is not fixed.
 SCORE_DIGITS = 6
@@ -32,16 +32,39 @@ def document_frequency(
     )
 
 
-def with_idf(tokens: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Add ``idf`` = ln(documents / documents with the word) to rows that have a ``term``.
+def inverse_frequency(docs: DataFrame, text: str) -> tuple[DataFrame, Column]:
+    """``idf`` = ln(documents / documents with the word) of the words used by several documents
+    (with ``df``), and the idf of any other word.
 
-    Words of a single document, most of any vocabulary, stay out of the join: a word that is
-    not found has a document frequency of one. Frequent words are spread over several tasks.
+    Words of a single document, most of any vocabulary, stay out of the table.
     """
-    repeated = document_frequency(docs, text, min_df=2)
     n = docs.agg(F.count("*").cast("double")).scalar()
-    joined = salted_join(tokens, repeated, ["term"], [doc_id], "left")
-    return joined.withColumn("idf", F.log(n / F.coalesce("df", F.lit(1)))).drop("df")
+    repeated = document_frequency(docs, text, min_df=2)
+    return repeated.withColumn("idf", F.log(n / F.col("df"))), F.log(n)
+
+
+def with_idf(words_of_docs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Add ``idf`` to rows of one document and ``term`` each."""
+    repeated, alone = inverse_frequency(docs, text)
+    found = weighted_lookup(words_of_docs, repeated, ["term"], "df", "idf", [doc_id])
+    return found.withColumn("idf", F.coalesce("idf", alone))
+
+
+def sentence_scores(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Mean idf of the word uses of each sentence.
+
+    The frequent words of a sentence, most of any text, are summed up before anything is
+    shuffled; only its other words travel to the second lookup one by one.
+    """
+    repeated, alone = inverse_frequency(docs, text)
+    frequent, others = split_frequent(repeated, "df")
+    uses = sentence_words(docs, doc_id, text).join(frequent, "term", "left")
+    other_term = F.when(F.col("idf").isNull(), F.col("term")).alias("term")
+    summed = uses.groupBy(doc_id, "pos", other_term).agg(F.sum("idf").alias("idf"), F.count("*").alias("n"))
+    filled = fill_from(summed, others, ["term"], "idf", [doc_id, "pos"])
+    # Without a word the row holds a sum already, else the idf of each of its n uses.
+    total = F.when(F.col("term").isNull(), F.col("idf")).otherwise(F.coalesce("idf", alone) * F.col("n"))
+    return filled.groupBy(doc_id, "pos").agg(rounded(F.sum(total) / F.sum("n")).alias("score"))
 
 
 def sentence_rows(docs: DataFrame, doc_id: str, text: str, *keep: str) -> DataFrame:

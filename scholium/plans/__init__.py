@@ -2,14 +2,26 @@
 
 from scholium.plans.durable import cut_lineage, scratch_dir
 from scholium.plans.positions import lead_in_order, number_rows
-from scholium.plans.skew import collect_bounded, salted_join, top_per_key
+from scholium.plans.skew import (
+    broadcast_if_small,
+    collect_bounded,
+    fill_from,
+    salted_join,
+    split_frequent,
+    top_per_key,
+    weighted_lookup,
+)
 
 __all__ = [
+    "broadcast_if_small",
     "collect_bounded",
     "cut_lineage",
+    "fill_from",
     "lead_in_order",
     "number_rows",
     "salted_join",
     "scratch_dir",
+    "split_frequent",
     "top_per_key",
+    "weighted_lookup",
 ]

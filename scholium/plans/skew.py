@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 16
+# Share of all facts from which a key counts as frequent; also the most frequent keys there can be.
+SHARES = 20_000
 
 
 def salted_join(
@@ -32,6 +34,39 @@ def salted_join(
     return joined.drop("_share")
 
 
+def split_frequent(dimension: DataFrame, weight: str) -> tuple[DataFrame, DataFrame]:
+    """Split a lookup table by ``weight``, an upper bound on the facts per key.
+
+    A key is frequent when its weight is at least 1/SHARES of the sum of all weights, so there
+    are at most SHARES frequent keys and they may be broadcast; any other key has less than
+    1/SHARES of the facts, too few to overload a task.
+    """
+    bar = dimension.agg(F.sum(weight) / SHARES).scalar()
+    frequent = dimension.where(F.col(weight) >= bar).drop(weight)
+    return F.broadcast(frequent), dimension.where(F.col(weight) < bar).drop(weight)
+
+
+def fill_from(
+    facts: DataFrame, others: DataFrame, on: Sequence[str], value: str, spread_by: Sequence[str]
+) -> DataFrame:
+    """Look up ``value`` for the facts in which it is still null, by keys that are all infrequent.
+
+    Facts that need no lookup get a second key that matches nothing and spreads them evenly.
+    """
+    side = F.when(F.col(value).isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*spread_by), F.lit(1000)))
+    found = others.select(*on, F.col(value).alias("_found"), F.lit(0).alias("_side"))
+    joined = facts.withColumn("_side", side.cast("int")).join(found, [*on, "_side"], "left")
+    return joined.withColumn(value, F.coalesce(value, "_found")).drop("_found", "_side")
+
+
+def weighted_lookup(
+    facts: DataFrame, dimension: DataFrame, on: Sequence[str], weight: str, value: str, spread_by: Sequence[str]
+) -> DataFrame:
+    """Left join of one ``value`` column from a table with unique keys, even under hot keys."""
+    frequent, others = split_frequent(dimension, weight)
+    return fill_from(facts.join(frequent, list(on), "left"), others, on, value, spread_by)
+
+
 def top_per_key(
     df: DataFrame,
     keys: Sequence[str],
@@ -64,3 +99,8 @@ def collect_bounded(df: DataFrame, limit: int) -> list[Row] | None:
     """The rows of ``df`` when there are at most ``limit`` of them, else None."""
     rows = df.limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
+
+
+def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
+    """Mark ``df`` for broadcast when it is counted to have at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

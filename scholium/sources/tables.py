@@ -25,6 +25,16 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def spread(self, name: str, *keys: str) -> DataFrame:
+        """The table for work that is heavy per row, such as splitting text.
+
+        A table of fewer file splits than cores is shared out (by ``keys`` if any); one with
+        enough splits is left as it is, so large inputs are never shuffled for this.
+        """
+        table = self(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores, *keys) if table.rdd.getNumPartitions() < cores else table
+
 
 def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Stream a parquet table that is one file or a folder of files."""
