@@ -49,12 +49,11 @@ def period_change(
         raise ValueError("unit must be day or week")
     step = 7 if unit == "week" else 1
     start = week_of if unit == "week" else day_of
+    if as_of is not None:
+        df = df.where(F.col(ts) <= at(as_of))
     totals = df.groupBy(key, start(ts).alias("period")).agg(F.round(F.sum(measure), 2).alias("total"))
     by_time = Window.partitionBy(key).orderBy("period")
-    last = F.col("period")
-    if as_of is not None:
-        totals = totals.where(F.col("period") <= start(at(as_of)))
-        last = start(at(as_of))
+    last = F.col("period") if as_of is None else start(at(as_of))
     until = F.coalesce(F.date_sub(F.lead("period").over(by_time), step), last)
     # Each row stands for its own period and for the idle ones that follow it.
     periods = F.transform(

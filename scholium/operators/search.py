@@ -23,7 +23,7 @@ BROADCAST_QUERIES = 2048
 BROADCAST_ENTRIES = 200_000
 BROADCAST_HITS = 200_000
 SLAB_QUERIES = 1024
-BLOCK_CHUNKS = 50_000
+BLOCK_NUMBERS = 4_000_000
 # Numbers held in one score matrix of a task.
 MATRIX_CELLS = 8_000_000
 
@@ -159,9 +159,11 @@ def _cosine_from_broadcast(chunks: DataFrame, names: list, matrix, k: int, width
 
     def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_names, unit_queries = shared.value
+        rows_at_once = max(1, MATRIX_CELLS // (len(query_names) + width))
         best = BestPerQuery(k, SCORE_DIGITS)
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for first in range(0, whole.num_rows, rows_at_once):
+                batch = whole.slice(first, rows_at_once)
                 vectors = unit_rows(_chunk_matrix(batch.column(1), width))
                 best.offer(vectors @ unit_queries.T, batch.column(0).to_numpy())
         yield from _best_rows(best, query_names, schema)
@@ -172,7 +174,7 @@ def _cosine_from_broadcast(chunks: DataFrame, names: list, matrix, k: int, width
 def _cosine_in_blocks(chunks: DataFrame, queries: DataFrame, k: int, width: int, schema: T.StructType):
     """Any number of queries: every slab of queries meets every block of chunks in some task."""
     slabs = max(1, -(-queries.count() // SLAB_QUERIES))
-    blocks = max(1, -(-chunks.count() // BLOCK_CHUNKS))
+    blocks = max(1, -(-chunks.count() * width // BLOCK_NUMBERS))
     chunk_id, vector = chunks.columns
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")

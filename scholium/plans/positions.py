@@ -83,12 +83,11 @@ def lead_in_order(
     of_group = Window.partitionBy(group).orderBy("_run")
     picked = F.struct(*fields)
     cut = df.withColumn("_run", run)
-    heads = cut.groupBy(group, "_run").agg(F.min_by(picked, sequence).alias("_head"))
-    follows = (
-        heads.withColumn("_follow", F.lead("_head").over(of_group))
-        .where(F.col("_follow").isNotNull())
-        .drop("_head")
-    )
+    # Only run numbers, one per ``width`` sequence numbers, meet in a window over the whole group.
+    runs = cut.select(group, "_run").distinct()
+    next_runs = runs.withColumn("_next_run", F.lead("_run").over(of_group)).where(F.col("_next_run").isNotNull())
+    heads = cut.groupBy(group, F.col("_run").alias("_next_run")).agg(F.min_by(picked, sequence).alias("_follow"))
+    follows = next_runs.join(heads, [group, "_next_run"]).drop("_next_run")
     within = cut.withColumn("_next", F.lead(picked).over(in_run))
     return (
         within.join(follows, [group, "_run"], "left")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,26 @@ from pyspark.sql.streaming import StreamingQuery
 from scholium.plans import scratch_dir
 
 
+@contextmanager
+def _partition_per_core(spark: SparkSession) -> Iterator[None]:
+    """A new stream fixes its number of state partitions for good, and adaptive execution does not
+    merge them; give it one per core of the cluster instead of the setting meant for batch jobs."""
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def append_parquet(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append finished rows; the file sink's log makes a repeated batch harmless."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
-    return writer.start(path)
+    with _partition_per_core(stream.sparkSession):
+        return writer.start(path)
 
 
 def write_versions(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -31,7 +46,8 @@ def write_versions(stream: DataFrame, path: str, checkpoint: str, once: bool = T
     writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     if once:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    with _partition_per_core(stream.sparkSession):
+        return writer.start()
 
 
 def latest_versions(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:

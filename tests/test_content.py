@@ -66,7 +66,7 @@ def test_ranked_search_over_many_texts(spark):
 @pytest.mark.parametrize("most", [100, 0])
 def test_semantic_search(spark, most, monkeypatch):
     monkeypatch.setattr(search, "SLAB_QUERIES", 4)
-    monkeypatch.setattr(search, "BLOCK_CHUNKS", 100)
+    monkeypatch.setattr(search, "BLOCK_NUMBERS", 800)
     rng = np.random.default_rng(1)
     chunks = rng.normal(size=(500, 8)).astype(np.float32)
     chunks[100:300] = chunks[7]  # many copies of one vector
