@@ -43,11 +43,11 @@ def summarise(docs: DataFrame, doc_id: str, title: str, text: str, k: int) -> Da
     """The ``k`` sentences with the highest mean idf, joined in text order."""
     scored = sentence_scores(docs, doc_id, text)
     best = top_per_key(scored, [doc_id], [F.col("score").desc(), F.col("pos")], k)
-    chosen = best.groupBy(doc_id).agg(F.sort_array(F.collect_list("pos")).alias("_chosen"))
+    chosen = best.groupBy(doc_id).agg(F.collect_list("pos").alias("_chosen"))
     # The sentences come from the document again, so no text travels with the words.
     picked = docs.select(doc_id, title, text).join(chosen, doc_id)
-    lines = F.transform("_chosen", lambda pos: F.get("_sentences", pos.cast("int")))
-    return picked.withColumn("_sentences", sentences(text)).select(
+    lines = F.filter(sentences(text), lambda _, pos: F.array_contains("_chosen", pos.cast("bigint")))
+    return picked.select(
         doc_id,
         F.col(title).alias("title"),
         F.array_join(lines, " ").alias("summary"),

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions.columns import case_label
-from scholium.functions.text import blank_out, sentences
-from scholium.operators.terms import document_frequency, rounded, sentence_words, with_idf
+from scholium.functions.text import blank_out
+from scholium.operators.terms import document_frequency, rounded, sentence_rows, sentence_words, with_idf
 from scholium.plans import number_rows, top_per_key, weighted_lookup
 
 # Shorter words make poor answers.
@@ -32,16 +32,13 @@ def make_flashcards(
     docs: DataFrame, doc_id: str, title: str, text: str, k: int, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Cards (title, question, answer): the sentence of a key word with the word blanked."""
-    terms = key_terms(docs, doc_id, text, k)
-    cards = terms.join(docs.select(doc_id, title, text, *keep), doc_id)
-    sentence = F.get(sentences(text), F.col("pos").cast("int"))
-    return cards.select(
-        doc_id,
-        F.col(title).alias("title"),
-        F.col("position").alias("card"),
-        blank_out(sentence, "term").alias("question"),
-        F.col("term").alias("answer"),
-        *keep,
+    card = F.struct("pos", F.col("position").alias("card"), F.col("term").alias("answer"))
+    cards = key_terms(docs, doc_id, text, k).groupBy(doc_id).agg(F.collect_list(card).alias("_cards"))
+    # Each document meets its few cards once and is split into sentences once.
+    told = sentence_rows(docs.join(cards, doc_id), doc_id, text, title, *keep, "_cards")
+    here = F.filter("_cards", lambda c: c["pos"] == F.col("pos"))
+    return told.select(doc_id, F.col(title).alias("title"), *keep, "sentence", F.inline(here)).select(
+        doc_id, "title", "card", blank_out("sentence", "answer").alias("question"), "answer", *keep
     )
 
 
