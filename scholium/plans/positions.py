@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.plans.durable import cut_lineage
+from scholium.plans.skew import split_frequent
 
 # monotonically_increasing_id() keeps the partition number above this many bits.
 _ROW_BITS = 33
@@ -57,12 +58,19 @@ def number_rows(
             return result
         total = numbered.agg(F.count("*").alias("_n"))
         return result.withColumn(size, total.scalar())
-    starts = placed.groupBy(*group).agg(F.min("_at").alias("_start"), F.count("*").alias("_size"))
-    # A hot group is one row on the right, so adaptive skew handling may split it on the left.
-    result = placed.join(starts, list(group)).withColumn(position, F.col("_at") - F.col("_start") + 1)
+    # Compared as one struct, so that rows without a group value form a group too.
+    placed = placed.withColumn("_group", F.struct(*group))
+    starts = placed.groupBy("_group").agg(
+        F.min("_at").alias("_start"), F.count("*").alias("_size"), F.count("*").alias("_rows")
+    )
+    # Rows of large groups stay where they are; only rows of small groups are moved by group.
+    large, small = split_frequent(starts, "_rows")
+    of_small = placed.join(large.select("_group"), "_group", "left_anti")
+    result = placed.join(large, "_group").unionByName(of_small.join(small, "_group"))
+    result = result.withColumn(position, F.col("_at") - F.col("_start") + 1)
     if size is not None:
         result = result.withColumn(size, F.col("_size"))
-    return result.drop("_at", "_start", "_size")
+    return result.drop("_group", "_at", "_start", "_size")
 
 
 def lead_in_order(

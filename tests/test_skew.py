@@ -25,6 +25,12 @@ def test_number_rows_in_groups(rows):
     assert all(expected[r.k][r.position - 1] == r.i and r.size == len(expected[r.k]) for r in got)
 
 
+def test_number_rows_without_a_group_value(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "k string, i int")
+    got = sorted((r.k or "", r.i, r.position) for r in number_rows(df, [F.col("i")], ["k"]).collect())
+    assert got == [("", 1, 1), ("", 3, 2), ("a", 2, 1)]
+
+
 def test_number_rows_overall(rows):
     data, df = rows
     got = {r.i: (r.position, r.n) for r in number_rows(df, [F.col("v"), F.col("i")], size="n").collect()}
