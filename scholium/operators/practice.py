@@ -90,7 +90,9 @@ def make_quiz(
         .drop("_rank")
     )
     # A word is the answer of no more documents than use it.
-    quiz = weighted_lookup(cards, choices, [lang, "answer"], "df", "choice", [doc_id]).where("choice IS NOT NULL")
+    uses = vocabulary.agg(F.sum("df")).scalar()
+    quiz = weighted_lookup(cards, choices, [lang, "answer"], "df", "choice", [doc_id], uses)
+    quiz = quiz.where(F.col("choice").isNotNull())
     if difficulty is not None:
         quiz = quiz.where(F.col("choice.difficulty") == difficulty)
     quiz = quiz.select(

@@ -8,12 +8,13 @@ slice travels between them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.plans.durable import cut_lineage
-from scholium.plans.skew import split_frequent
+from scholium.plans.skew import SHARES, collect_bounded, split_frequent
 
 # monotonically_increasing_id() keeps the partition number above this many bits.
 _ROW_BITS = 33
@@ -37,36 +38,28 @@ def number_rows(
         .sortWithinPartitions(*ranges)
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    slice_no = F.shiftright("_row", _ROW_BITS)
-    # One row per slice: a window without keys is safe on it.
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        numbered.groupBy(slice_no.alias("_slice"))
-        .agg(F.count("*").alias("_n"))
-        .select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
+    # One number per slice; the driver adds them up.
+    slice_no = F.shiftright("_row", _ROW_BITS).cast("int")
+    sizes = dict(numbered.groupBy(slice_no).agg(F.count("*")).collect())
+    before = list(accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0))), initial=0))
+    offset = F.get(F.lit(before).cast("array<bigint>"), slice_no)
     in_slice = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    placed = (
-        numbered.withColumn("_slice", slice_no)
-        .join(F.broadcast(offsets), "_slice")
-        .withColumn("_at", F.col("_offset") + in_slice + 1)
-        .drop("_slice", "_offset", "_row")
-    )
+    placed = numbered.withColumn("_at", offset + in_slice + 1).drop("_row")
     if not group:
         result = placed.withColumnRenamed("_at", position)
-        if size is None:
-            return result
-        total = numbered.agg(F.count("*").alias("_n"))
-        return result.withColumn(size, total.scalar())
+        return result if size is None else result.withColumn(size, F.lit(sum(sizes.values())).cast("bigint"))
     # Compared as one struct, so that rows without a group value form a group too.
     placed = placed.withColumn("_group", F.struct(*group))
-    starts = placed.groupBy("_group").agg(
-        F.min("_at").alias("_start"), F.count("*").alias("_size"), F.count("*").alias("_rows")
-    )
-    # Rows of large groups stay where they are; only rows of small groups are moved by group.
-    large, small = split_frequent(starts, "_rows")
-    of_small = placed.join(large.select("_group"), "_group", "left_anti")
-    result = placed.join(large, "_group").unionByName(of_small.join(small, "_group"))
+    starts = placed.groupBy("_group").agg(F.min("_at").alias("_start"), F.count("*").alias("_size"))
+    few = collect_bounded(starts, SHARES)
+    if few is not None:
+        known = df.sparkSession.createDataFrame(few, starts.schema)
+        result = placed.join(F.broadcast(known), "_group")
+    else:
+        # Rows of large groups stay where they are; only rows of small groups are moved by group.
+        large, small = split_frequent(starts.withColumn("_rows", F.col("_size")), "_rows")
+        of_small = placed.join(large.select("_group"), "_group", "left_anti")
+        result = placed.join(large, "_group").unionByName(of_small.join(small, "_group"))
     result = result.withColumn(position, F.col("_at") - F.col("_start") + 1)
     if size is not None:
         result = result.withColumn(size, F.col("_size"))

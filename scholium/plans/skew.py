@@ -34,14 +34,17 @@ def salted_join(
     return joined.drop("_share")
 
 
-def split_frequent(dimension: DataFrame, weight: str) -> tuple[DataFrame, DataFrame]:
+def split_frequent(
+    dimension: DataFrame, weight: str, total: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Split a lookup table by ``weight``, an upper bound on the facts per key.
 
     A key is frequent when its weight is at least 1/SHARES of the sum of all weights, so there
     are at most SHARES frequent keys and they may be broadcast; any other key has less than
-    1/SHARES of the facts, too few to overload a task.
+    1/SHARES of the facts, too few to overload a task. ``total`` is the sum where the caller has
+    it at hand.
     """
-    bar = dimension.agg(F.sum(weight) / SHARES).scalar()
+    bar = (dimension.agg(F.sum(weight)).scalar() if total is None else total) / SHARES
     frequent = dimension.where(F.col(weight) >= bar).drop(weight)
     return F.broadcast(frequent), dimension.where(F.col(weight) < bar).drop(weight)
 
@@ -60,10 +63,16 @@ def fill_from(
 
 
 def weighted_lookup(
-    facts: DataFrame, dimension: DataFrame, on: Sequence[str], weight: str, value: str, spread_by: Sequence[str]
+    facts: DataFrame,
+    dimension: DataFrame,
+    on: Sequence[str],
+    weight: str,
+    value: str,
+    spread_by: Sequence[str],
+    total: Column | None = None,
 ) -> DataFrame:
     """Left join of one ``value`` column from a table with unique keys, even under hot keys."""
-    frequent, others = split_frequent(dimension, weight)
+    frequent, others = split_frequent(dimension, weight, total)
     return fill_from(facts.join(frequent, list(on), "left"), others, on, value, spread_by)
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scholium.plans import lead_in_order, number_rows, salted_join, top_per_key, weighted_lookup
+from scholium.plans import lead_in_order, number_rows, positions, salted_join, top_per_key, weighted_lookup
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +15,9 @@ def rows(spark):
     return data, spark.createDataFrame(data, "k string, v int, i bigint").repartition(7)
 
 
-def test_number_rows_in_groups(rows):
+@pytest.mark.parametrize("most", [20_000, 50])
+def test_number_rows_in_groups(rows, most, monkeypatch):
+    monkeypatch.setattr(positions, "SHARES", most)
     data, df = rows
     got = number_rows(df, [F.col("v").desc(), F.col("i")], ["k"], "position", "size").collect()
     expected = {}
@@ -34,6 +36,7 @@ def test_number_rows_without_a_group_value(spark):
 def test_number_rows_overall(rows):
     data, df = rows
     got = {r.i: (r.position, r.n) for r in number_rows(df, [F.col("v"), F.col("i")], size="n").collect()}
+    assert number_rows(df.where("false"), [F.col("v")], size="n").count() == 0
     order = sorted(data, key=lambda r: (r[1], r[2]))
     assert got == {r[2]: (p, len(data)) for p, r in enumerate(order, 1)}
 
