@@ -3,9 +3,9 @@
 from scholium.plans.durable import cut_lineage, scratch_dir
 from scholium.plans.positions import lead_in_order, number_rows
 from scholium.plans.skew import (
-    broadcast_if_small,
     collect_bounded,
     fill_from,
+    is_small,
     salted_join,
     split_frequent,
     top_per_key,
@@ -13,10 +13,10 @@ from scholium.plans.skew import (
 )
 
 __all__ = [
-    "broadcast_if_small",
     "collect_bounded",
     "cut_lineage",
     "fill_from",
+    "is_small",
     "lead_in_order",
     "number_rows",
     "salted_join",

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.plans.durable import cut_lineage
-from scholium.plans.skew import SHARES, collect_bounded, split_frequent
+from scholium.plans.skew import SHARES, is_small, split_frequent
 
 # monotonically_increasing_id() keeps the partition number above this many bits.
 _ROW_BITS = 33
@@ -51,10 +51,8 @@ def number_rows(
     # Compared as one struct, so that rows without a group value form a group too.
     placed = placed.withColumn("_group", F.struct(*group))
     starts = placed.groupBy("_group").agg(F.min("_at").alias("_start"), F.count("*").alias("_size"))
-    few = collect_bounded(starts, SHARES)
-    if few is not None:
-        known = df.sparkSession.createDataFrame(few, starts.schema)
-        result = placed.join(F.broadcast(known), "_group")
+    if is_small(starts, SHARES):
+        result = placed.join(F.broadcast(starts), "_group")
     else:
         # Rows of large groups stay where they are; only rows of small groups are moved by group.
         large, small = split_frequent(starts.withColumn("_rows", F.col("_size")), "_rows")

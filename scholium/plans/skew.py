@@ -110,6 +110,6 @@ def collect_bounded(df: DataFrame, limit: int) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
-def broadcast_if_small(df: DataFrame, most: int) -> DataFrame:
-    """Mark ``df`` for broadcast when it is counted to have at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def is_small(df: DataFrame, most: int) -> bool:
+    """Whether ``df`` is counted to have at most ``most`` rows; counting stops there."""
+    return df.limit(most + 1).count() <= most
