@@ -4,7 +4,8 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from scholium.bindings import ORACLES, QUERIES
 from tests.oracle import differences
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -17,11 +18,11 @@ def test_entry_gives_the_leaderboard(spark):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_same_rows_as_sql(spark, name):
-    problems, rows, _ = differences(spark, FOLDER, name, queries(), oracle_sql())
+    problems, rows, _ = differences(spark, FOLDER, name, QUERIES, ORACLES)
     assert not problems
     assert rows > 0 or name == "weekly_leaderboard"
