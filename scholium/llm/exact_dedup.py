@@ -115,12 +115,12 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     kept = exact_dedup(docs, id_column, text_column).where("kept")
     key = f"c{docs.columns.index(id_column)}"
-    hashed = [F.unhex("text_sha256").alias("_sha"), F.xxhash64(id_column).alias("_h"), F.col(id_column).alias("_id")]
+    keys = kept.select(F.unhex("text_sha256").alias("_sha"), F.xxhash64(id_column).alias("_h"))
     marked = docs.mapInArrow(run, own).withColumn("_row", F.monotonically_increasing_id())
     marked = marked.withColumn("_h", F.xxhash64(key))
     # Copies of a hot text differ in id, so (text, id) deals them out evenly.
-    joined = marked.join(kept.select(*hashed), ["_sha", "_h"]).where(F.col(key).eqNullSafe(F.col("_id")))
-    # Repeated rows share id and text; the first of them stays.
+    joined = marked.join(keys, ["_sha", "_h"])
+    # One row stays per text, also where rows repeat both id and text.
     first = F.row_number().over(Window.partitionBy("_sha", "_h").orderBy("_row")) == 1
     single = joined.withColumn("_first", first).where("_first")
     return single.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
