@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from scholium.llm.bpe import encode_texts, read_definition
 from scholium.llm.exact_dedup import exact_dedup
 from scholium.sources import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
+VOCABULARY = "word_bpe_49k.json"
+
 
 def bound(sql: str | None = None):
     def register(build: Callable[[Tables], DataFrame]):
@@ -37,3 +41,9 @@ def bound(sql: str | None = None):
 )
 def op1_exact_dedup(t: Tables) -> DataFrame:
     return exact_dedup(t("documents"))
+
+
+@bound()
+def op2_bpe(t: Tables) -> DataFrame:
+    definition = read_definition(public_tokenizers.path(VOCABULARY))
+    return encode_texts(t("documents"), definition, outputs=("ids_sha256", "decoded_sha256"))
