@@ -75,13 +75,13 @@ def exact_dedup(
     )
     groups = cut_lineage(winners.select("_sha", F.struct("keep_id", "group_size").alias("_group"), "_hot"))
     hot = F.broadcast(groups.where("_hot").select("_sha", F.col("_group").alias("_hot_group")))
-    cold = groups.where("_hot is null").select("_sha", F.col("_group").alias("_cold_group"), F.lit(0).alias("_side"))
-    # Rows already looked up get a second key that matches nothing and deals them out evenly.
-    side = F.when(F.col("_hot_group").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("_id"), F.lit(1 << 20)))
+    cold = groups.where("_hot is null").select(F.col("_sha").alias("_probe"), F.col("_group").alias("_cold_group"))
+    # Rows already looked up probe with a shorter key, which matches nothing and deals them out evenly.
+    probe = F.when(F.col("_hot_group").isNull(), F.col("_sha")).otherwise(F.unhex(F.hex(F.xxhash64("_id", "_sha"))))
     placed = (
         members.join(hot, "_sha", "left")
-        .withColumn("_side", side.cast("int"))
-        .join(cold, ["_sha", "_side"], "left")
+        .withColumn("_probe", probe)
+        .join(cold, "_probe", "left")
         .withColumn("_group", F.coalesce("_hot_group", "_cold_group"))
         .select("_id", "_sha", F.col("_group.keep_id"), F.col("_group.group_size"))
     )
