@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scholium.llm.bpe import encode_texts, read_definition
 from scholium.llm.exact_dedup import exact_dedup
+from scholium.llm.mixing import mix_sources, mixing_sql
 from scholium.sources import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
 VOCABULARY = "word_bpe_49k.json"
+# Shares of the mix: the largest source is held back, two are doubled, all others share the rest.
+MIX = {"src0": 4.0, "src1": 8.0, "src2": 8.0, "src3": 2.0}
+MIX_OTHERS = 60.0
 
 
 def bound(sql: str | None = None):
@@ -47,3 +51,8 @@ def op1_exact_dedup(t: Tables) -> DataFrame:
 def op2_bpe(t: Tables) -> DataFrame:
     definition = read_definition(public_tokenizers.path(VOCABULARY))
     return encode_texts(t("documents"), definition, outputs=("ids_sha256", "decoded_sha256"))
+
+
+@bound(mixing_sql("documents", MIX, MIX_OTHERS))
+def op5_mixing(t: Tables) -> DataFrame:
+    return mix_sources(t("documents"), MIX, MIX_OTHERS)
