@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scholium.llm.bpe import encode_texts, read_definition
 from scholium.llm.exact_dedup import exact_dedup
 from scholium.llm.mixing import mix_sources, mixing_sql
+from scholium.llm.quality import quality_of
 from scholium.sources import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,8 @@ def op2_bpe(t: Tables) -> DataFrame:
 @bound(mixing_sql("documents", MIX, MIX_OTHERS))
 def op5_mixing(t: Tables) -> DataFrame:
     return mix_sources(t("documents"), MIX, MIX_OTHERS)
+
+
+@bound()
+def op7_quality(t: Tables) -> DataFrame:
+    return quality_of(t("documents"), t("labels"), folds=5, held_out=0, threshold=0.3)
