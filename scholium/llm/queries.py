@@ -11,6 +11,7 @@ from scholium.llm.bpe import encode_texts, read_definition
 from scholium.llm.exact_dedup import exact_dedup
 from scholium.llm.mixing import mix_sources, mixing_sql
 from scholium.llm.quality import quality_of
+from scholium.llm.toxicity import toxicity_of
 from scholium.sources import Tables
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,8 @@ def op5_mixing(t: Tables) -> DataFrame:
 @bound()
 def op7_quality(t: Tables) -> DataFrame:
     return quality_of(t("documents"), t("labels"), folds=5, held_out=0, threshold=0.3)
+
+
+@bound()
+def op6_toxicity(t: Tables) -> DataFrame:
+    return toxicity_of(t("documents"), t("labels"), folds=3, held_out=1, threshold=0.7)
