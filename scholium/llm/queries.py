@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from scholium.llm.bpe import encode_texts, read_definition
 from scholium.llm.exact_dedup import exact_dedup
 from scholium.llm.mixing import mix_sources, mixing_sql
+from scholium.llm.pii import digest_spans, find_pii
 from scholium.llm.quality import quality_of
 from scholium.llm.toxicity import toxicity_of
 from scholium.sources import Tables
@@ -68,3 +69,8 @@ def op7_quality(t: Tables) -> DataFrame:
 @bound()
 def op6_toxicity(t: Tables) -> DataFrame:
     return toxicity_of(t("documents"), t("labels"), folds=3, held_out=1, threshold=0.7)
+
+
+@bound()
+def op3_pii(t: Tables) -> DataFrame:
+    return digest_spans(find_pii(t("documents")))
