@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scholium.llm.bpe import encode_texts, read_definition
 from scholium.llm.exact_dedup import exact_dedup
+from scholium.llm.hamming import nearest_codes, nearest_codes_sql
 from scholium.llm.mixing import mix_sources, mixing_sql
 from scholium.llm.pii import digest_spans, find_pii
 from scholium.llm.quality import quality_of
@@ -74,3 +76,8 @@ def op6_toxicity(t: Tables) -> DataFrame:
 @bound()
 def op3_pii(t: Tables) -> DataFrame:
     return digest_spans(find_pii(t("documents")))
+
+
+@bound(nearest_codes_sql("embeddings", "{} % 100 = 0"))
+def op4_hamming_topk(t: Tables) -> DataFrame:
+    return nearest_codes(t("embeddings"), F.col("vec_id") % 100 == 0)
