@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scholium.llm.bpe import encode_texts, read_definition
 from scholium.llm.exact_dedup import exact_dedup
 from scholium.llm.hamming import nearest_codes, nearest_codes_sql
+from scholium.llm.html_blocks import extract_text, train_html
 from scholium.llm.mixing import mix_sources, mixing_sql
 from scholium.llm.pii import digest_spans, find_pii
 from scholium.llm.quality import quality_of
@@ -81,3 +82,9 @@ def op3_pii(t: Tables) -> DataFrame:
 @bound(nearest_codes_sql("embeddings", "{} % 100 = 0"))
 def op4_hamming_topk(t: Tables) -> DataFrame:
     return nearest_codes(t("embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@bound()
+def op9_html_text(t: Tables) -> DataFrame:
+    pages = t("pages")
+    return extract_text(pages, train_html(pages))
