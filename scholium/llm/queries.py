@@ -14,6 +14,7 @@ from scholium.llm.hamming import nearest_codes, nearest_codes_sql
 from scholium.llm.html_blocks import extract_text, train_html
 from scholium.llm.mixing import mix_sources, mixing_sql
 from scholium.llm.pii import digest_spans, find_pii
+from scholium.llm.ppm import score_corpus
 from scholium.llm.quality import quality_of
 from scholium.llm.toxicity import toxicity_of
 from scholium.sources import Tables
@@ -88,3 +89,8 @@ def op4_hamming_topk(t: Tables) -> DataFrame:
 def op9_html_text(t: Tables) -> DataFrame:
     pages = t("pages")
     return extract_text(pages, train_html(pages))
+
+
+@bound()
+def op8_ppm(t: Tables) -> DataFrame:
+    return score_corpus(t("documents"), folds=10, held_out=0)
