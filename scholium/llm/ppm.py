@@ -26,13 +26,14 @@ from scholium.llm.labelled import fold_of
 from scholium.llm.texts import field_type, filled, schema
 from scholium.plans import scratch_dir
 
-ORDER = 3
+ORDER = 5
 END = 0xFF
 PAD = bytes([END] * ORDER)
+_BYTE = np.uint64(8)
 STEP_BYTES = 1 << 22  # text that is turned into grams at a time
 BLOCK_BYTES = 1 << 24
 # Nodes of the deepest order that the trie may have. Beyond it the rarest grams are left to the lower orders.
-TRIE_GRAMS = 4_000_000
+TRIE_GRAMS = 3_000_000
 WORD_ENTRIES = 2_000_000  # (block, word) pairs a task holds before it sends them on
 
 
@@ -50,8 +51,10 @@ def _steps(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every byte of the texts, end marks included, behind its context; with begin and end of each text."""
-    data = np.frombuffer(b"".join(PAD + t + PAD[:1] for t in texts), np.uint8).astype(np.uint32)
-    grams = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
+    data = np.frombuffer(b"".join(PAD + t + PAD[:1] for t in texts), np.uint8).astype(np.uint64)
+    grams = np.zeros(len(data) - ORDER, np.uint64)
+    for k in range(ORDER + 1):
+        grams = grams << _BYTE | data[k : len(data) - ORDER + k]
     sizes = np.array([len(t) + 1 for t in texts])
     ends = np.cumsum(sizes + ORDER) - ORDER
     return grams, ends - sizes, ends
@@ -71,15 +74,13 @@ def count_grams(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """gram (long), n (long): how often each byte followed each context, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, parts = np.zeros(0, np.uint32), np.zeros(0, np.int64), []
+        keys, counts, parts = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
         for batch in batches:
             for step in _steps([t.encode().lower() for t in filled(batch.column(0)).to_pylist()]):
                 grams, begins, ends = _grams(step)
                 inside = np.ones(len(grams), bool)
-                # What lies between two texts belongs to neither.
                 for k in range(ORDER):
-                    gap = ends[:-1] + k
-                    inside[gap] = False
+                    inside[ends[:-1] + k] = False  # what lies between two texts belongs to neither
                 parts.append(np.unique(grams[inside], return_counts=True))
                 if sum(len(p[0]) for p in parts) > 3_000_000:
                     keys, counts = _tally(np.concatenate([keys, *[p[0] for p in parts]]), np.concatenate([counts, *[p[1] for p in parts]]))
@@ -96,7 +97,7 @@ def count_grams(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 @dataclass
 class HashTable:
-    """Numbers by 32-bit key, with open addressing; all lookups of an array at once."""
+    """Numbers by 64-bit key, with open addressing; all lookups of an array at once."""
 
     keys: np.ndarray
     values: np.ndarray
@@ -107,8 +108,8 @@ class HashTable:
     def build(keys: np.ndarray, values: np.ndarray) -> HashTable:
         bits = max(4, int(2 * len(keys)).bit_length())
         size = 1 << bits
-        table = HashTable(np.zeros(size, np.uint32), np.zeros(size, values.dtype), np.zeros(size, bool), bits)
-        keys = keys.astype(np.uint32)
+        table = HashTable(np.zeros(size, np.uint64), np.zeros(size, values.dtype), np.zeros(size, bool), bits)
+        keys = keys.astype(np.uint64)
         left, slot = np.arange(len(keys)), table._slots(keys)
         while len(left):
             free = ~table.filled[slot]
@@ -121,7 +122,7 @@ class HashTable:
         return table
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint32(2654435761)) >> np.uint32(32 - self.bits)).astype(np.int64)
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, -1 where it is missing."""
@@ -142,12 +143,12 @@ class Trie:
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
         order = np.argsort(grams)
-        grams, counts = grams[order].astype(np.uint32), counts[order].astype(np.float64)
+        grams, counts = grams[order].astype(np.uint64), counts[order].astype(np.float64)
         # Level d holds contexts of d bytes: grams of d + 1 bytes, counts, and per context its total and variety.
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {ORDER: (grams, counts)}
         for d in range(ORDER - 1, -1, -1):
             keys, n = self.tables[d + 1]
-            self.tables[d] = _tally(keys & np.uint32((1 << 8 * (d + 1)) - 1), n)
+            self.tables[d] = _tally(keys & np.uint64((1 << 8 * (d + 1)) - 1), n)
         self.contexts = {d: self._contexts(d) for d in range(1, ORDER + 1)}
         keys, n = self.tables[0]
         self.flat = np.zeros(256)
@@ -156,32 +157,27 @@ class Trie:
 
     def _contexts(self, d: int) -> dict[str, np.ndarray]:
         keys, n = self.tables[d]
-        context = keys >> np.uint32(8)
+        context = keys >> _BYTE
         heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.zeros(0, int)
         sums = (lambda x: np.add.reduceat(x, heads)) if len(heads) else (lambda x: np.zeros(0))
         lower_keys, lower_n = self.tables[d - 1]
-        below = keys & np.uint32((1 << 8 * d) - 1)
+        below = keys & np.uint64((1 << 8 * d) - 1)
         # What the bytes seen in this context count for one order lower: left out after an escape.
         shadow = lower_n[np.searchsorted(lower_keys, below)] if len(keys) else np.zeros(0)
         return {"key": context[heads], "total": sums(n), "variety": sums(np.ones(len(n))), "shadow": sums(shadow)}
 
     def _compile(self) -> None:
-        """Hash tables by order: log10 of what a gram adds once its context is reached without exclusion."""
+        """Hash tables: of the deepest grams their log10 in their own context, of the other orders their counts."""
         self.levels = {}
         for d in range(1, ORDER + 1):
-            keys, n = self.tables[d]
             c = self.contexts[d]
-            rows = np.stack([c["total"], c["variety"], c["shadow"]], axis=1) if len(c["key"]) else np.zeros((0, 3))
-            self.levels[d] = (
-                HashTable.build(keys, n),
-                HashTable.build(c["key"], np.arange(len(c["key"]))),
-                rows,
-            )
+            rows = np.stack([c["total"], c["variety"], c["shadow"]], axis=1)
+            self.levels[d] = (HashTable.build(c["key"], np.arange(len(c["key"]))), rows)
+        self.counts = {d: HashTable.build(*self.tables[d]) for d in range(1, ORDER)}
         keys, n = self.tables[ORDER]
         c = self.contexts[ORDER]
-        at = np.searchsorted(c["key"], keys >> np.uint32(8))
-        known = np.log10(n / (c["total"][at] + c["variety"][at])) if len(keys) else np.zeros(0)
-        self.direct = HashTable.build(keys, known)
+        at = np.searchsorted(c["key"], keys >> _BYTE)
+        self.direct = HashTable.build(keys, np.log10(n / (c["total"][at] + c["variety"][at])) if len(keys) else n)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the bytes before it."""
@@ -198,26 +194,28 @@ class Trie:
         # Count and variety of the bytes that a longer context has ruled out, in the terms of the next order.
         gone, gone_kinds = np.zeros(len(grams)), np.zeros(len(grams))
         for d in range(ORDER, 0, -1):
-            table, contexts, rows = self.levels[d]
-            keys = grams[open_] & np.uint32((1 << 8 * (d + 1)) - 1) if d < 3 else grams[open_]
-            slot = contexts.find(keys >> np.uint32(8))
+            contexts, rows = self.levels[d]
+            keys = grams[open_] & np.uint64((1 << 8 * (d + 1)) - 1)
+            slot = contexts.find(keys >> _BYTE)
             seen = slot >= 0
             row = rows[contexts.values[slot[seen]]]
             at = open_[seen]
             total, kinds = row[:, 0] - gone[at], row[:, 1] - gone_kinds[at]
-            hit = table.find(keys[seen])
-            # A byte of this context that is not ruled out; none is, as longer contexts know a part of these bytes.
+            # Deepest grams that are known do not come here. Elsewhere a known byte is never one that is ruled out:
+            # a longer context that had seen it would have coded it.
+            hit = self.counts[d].find(keys[seen]) if d < ORDER else np.full(len(at), -1)
             inside = hit >= 0
             some = total > 0
             scale = np.where(some, total + kinds, 1.0)
-            out[at[inside]] += np.log10(table.values[hit[inside]] / scale[inside])
+            if inside.any():
+                out[at[inside]] += np.log10(self.counts[d].values[hit[inside]] / scale[inside])
             missed = ~inside
             # With nothing left in the context the escape is certain.
             cost = np.where(some, kinds, 1.0) / scale
             out[at[missed]] += np.log10(cost[missed])
             gone[at[missed]], gone_kinds[at[missed]] = row[missed, 2], row[missed, 1]
             open_ = np.concatenate([open_[~seen], at[missed]])
-        byte = (grams[open_] & np.uint32(0xFF)).astype(np.int64)
+        byte = (grams[open_] & np.uint64(0xFF)).astype(np.int64)
         kinds_left = (self.flat > 0).sum() - gone_kinds[open_]
         total_left = self.flat.sum() - gone[open_]
         some = total_left > 0
@@ -248,7 +246,7 @@ def learn_grams(docs: DataFrame, text_column: str = "text", capacity: int = TRIE
     if table.count() > capacity:
         table = table.orderBy(F.desc("n"), "gram").limit(capacity)
     rows = table.toArrow()
-    return rows.column("gram").to_numpy().astype(np.uint32), rows.column("n").to_numpy().astype(np.int64)
+    return rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.int64)
 
 
 _compiled: dict[int, Trie] = {}
