@@ -12,6 +12,7 @@ from scholium.llm.bpe import encode_texts, read_definition
 from scholium.llm.exact_dedup import exact_dedup
 from scholium.llm.hamming import nearest_codes, nearest_codes_sql
 from scholium.llm.html_blocks import extract_text, train_html
+from scholium.llm.jaccard_join import similar_documents
 from scholium.llm.mixing import mix_sources, mixing_sql
 from scholium.llm.pii import digest_spans, find_pii
 from scholium.llm.ppm import score_corpus
@@ -94,3 +95,8 @@ def op9_html_text(t: Tables) -> DataFrame:
 @bound()
 def op8_ppm(t: Tables) -> DataFrame:
     return score_corpus(t("documents"), folds=10, held_out=0)
+
+
+@bound()
+def op10_jaccard(t: Tables) -> DataFrame:
+    return similar_documents(t("documents"))
