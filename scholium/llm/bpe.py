@@ -278,25 +278,30 @@ def encode_texts(
 
 
 def add_tokens(docs: DataFrame, definition: str, text_column: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``ids`` (array of int) after its own columns, which keep their names."""
+    """``docs`` with ``n_tokens``, ``ids`` (array of int) and ``decoded_sha256`` behind its own columns.
+
+    Columns of ``docs`` with these names are replaced.
+    """
+    base = docs.drop("n_tokens", "ids", "decoded_sha256")
     shared = docs.sparkSession.sparkContext.broadcast(definition)
-    at = docs.columns.index(text_column)
-    own = [(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
-    out_type = schema(*own, ("n_tokens", "long"), ("ids", T.ArrayType(T.IntegerType())))
+    at = base.columns.index(text_column)
+    own = [(f"c{i}", f.dataType) for i, f in enumerate(base.schema.fields)]
+    out_type = schema(*own, ("n_tokens", "long"), ("ids", T.ArrayType(T.IntegerType())), ("decoded_sha256", "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _vocabulary(shared.value)
         for batch in batches:
-            ids = [np.frombuffer(bpe.encode(text.as_py()), "<u4").astype("int32") for text in filled(batch.column(at))]
-            counts = pa.array([len(i) for i in ids], pa.int64())
+            raw = [bpe.encode(text) for text in filled(batch.column(at)).to_pylist()]
+            ids = [np.frombuffer(r, "<u4").astype("int32") for r in raw]
             ends = np.cumsum([0, *map(len, ids)]).astype("int32")
-            values = np.concatenate(ids) if ids else np.empty(0, "int32")
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts, lists], names=out_type.names)
-
-    encoded = docs.mapInArrow(run, out_type)
-    names = [*docs.columns, *[n for n in ("n_tokens", "ids") if n not in docs.columns]]
-    return encoded.select(*[F.col(old).alias(new) for old, new in zip([*[n for n, _ in own], *names[len(own):]], names)])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, "int32"), *ids])))
+            digests = pa.array([hashlib.sha256(bpe.decode(r).encode()).hexdigest() for r in raw], pa.string())
+            counts = pa.array(list(map(len, ids)), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts, lists, digests], names=out_type.names)
+
+    encoded = base.mapInArrow(run, out_type)
+    names = [F.col(f"c{i}").alias(name) for i, name in enumerate(base.columns)]
+    return encoded.select(*names, "n_tokens", "ids", "decoded_sha256")
 
 
 def decode_ids(encoded: DataFrame, definition: str, ids_column: str = "ids", into: str = "decoded") -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.llm.components import components
@@ -332,44 +332,79 @@ def _tile_pairs(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
     return found.applyInArrow(compare, out).distinct()
 
 
-def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id.
-
-    ``component_id`` is the smallest id that links reach, the own one included. Null, empty and blank texts have no
-    shingles and are linked with nothing. A null id is never a component's name while another id is there. Repeated
-    rows stay, other columns are not read, an empty table gives no rows.
-    """
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
+def _grouped(rows: DataFrame) -> DataFrame:
+    """_id, _set, _n and a struct _part (group, name) of each row: its component and the smallest id in it."""
     members = cut_lineage(_named_sets(rows))
     classes = cut_lineage(
         members.where("_set is not null")
         .groupBy("_set")
         .agg(F.first("_n").alias("n"), F.min("_id").alias("least_id"), F.min(F.xxhash64("_id")).alias("_h"), F.count("*").alias("copies"))
     )
-    total = members.agg(F.sum("_n")).first()[0] or 0
-    bits = max(0, int(total // RANGE_SHINGLES).bit_length())
+    count, total = members.agg(F.count("*"), F.sum("_n")).first()
+    bits = max(0, int((total or 0) // RANGE_SHINGLES).bit_length())
     shared = _shared_counts(_ranges(rows, bits)).groupBy("_set").agg(F.sum("_shared").alias("shared"))
     wanted = shared.join(classes, "_set").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("_set", "_h")
     sets = _sets_of(rows, wanted)
     labels = _link_classes(sets)
     numbers = sets.select("cid", "_set").join(labels, "cid").select("_set", "comp")
     placed = cut_lineage(classes.join(numbers, "_set", "left"))
-    names = placed.where("comp is not null").groupBy("comp").agg(F.min("least_id").alias("name"))
-    named = placed.join(names, "comp", "left").select("_set", "copies", F.coalesce("name", "least_id").alias("name"))
-    named = cut_lineage(named)
+    names = placed.where("comp is not null").groupBy("comp").agg(F.min("least_id").alias("name"), F.min("_set").alias("group"))
+    part = F.struct(F.coalesce("group", "_set").alias("group"), F.coalesce("name", "least_id").alias("name"))
+    named = cut_lineage(placed.join(names, "comp", "left").select("_set", "copies", part.alias("_part")))
     # Rows of very frequent sets look their component up by broadcast; there are at most SHARES such sets.
-    count = members.count()
     often = F.col("copies") >= max(2, count / SHARES)
-    hot = F.broadcast(named.where(often).select("_set", F.struct("name").alias("_hot")))
-    cold = named.where(~often).select(F.col("_set").alias("_probe"), F.struct("name").alias("_cold"))
-    probe = F.when(F.col("_hot").isNull() & F.col("_set").isNotNull(), F.col("_set")).otherwise(F.unhex(F.hex(F.xxhash64("_id"))))
+    hot = F.broadcast(named.where(often).select("_set", F.col("_part").alias("_hot")))
+    cold = named.where(~often).select(F.col("_set").alias("_probe"), F.col("_part").alias("_cold"))
+    asks = F.col("_hot").isNull() & F.col("_set").isNotNull()
+    probe = F.when(asks, F.col("_set")).otherwise(F.unhex(F.hex(F.xxhash64("_id"))))
     found = members.join(hot, "_set", "left").withColumn("_probe", probe).join(cold, "_probe", "left")
-    component = F.when(F.col("_set").isNull(), F.col("_id")).otherwise(F.coalesce("_hot", "_cold")["name"])
-    return found.select(
+    return found.select("_id", "_set", "_n", F.coalesce("_hot", "_cold").alias("_part"))
+
+
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id.
+
+    ``component_id`` is the smallest id that links reach, the own one included. Null, empty and blank texts have no
+    shingles and are linked with nothing. A null id is never a component's name while another id is there. Repeated
+    rows stay, other columns are not read, an empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
+    component = F.when(F.col("_set").isNull(), F.col("_id")).otherwise(F.col("_part.name"))
+    return _grouped(rows).select(
         F.col("_id").alias(id_column), F.col("_n").alias("n_shingles"), component.alias("component_id")
     )
 
 
+def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest id, and every row without shingles.
+
+    All columns stay. Where rows repeat an id within a component one of them stays.
+    """
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
+    grouped = _grouped(rows).where("_set is not null")
+    kept = (
+        grouped.where(F.col("_id").eqNullSafe(F.col("_part.name")))
+        .groupBy("_part.group")
+        .agg(F.min(F.struct("_set", F.xxhash64("_id").alias("_h"))).alias("_keep"))
+        .select("_keep._set", "_keep._h", F.lit(True).alias("_kept"))
+    )
+    own = schema(*[(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], ("_set", "binary"))
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in filled(batch.column(at)).to_pylist()]
+            names = pa.array([set_name(s) if len(s) else b"" for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=own.names)
+
+    key = f"c{docs.columns.index(id_column)}"
+    marked = docs.mapInArrow(run, own).withColumn("_h", F.xxhash64(key)).withColumn("_row", F.monotonically_increasing_id())
+    joined = marked.join(kept, ["_set", "_h"], "left").where(F.col("_kept") | (F.length("_set") == 0))
+    order = F.row_number().over(Window.partitionBy("_set", "_h", F.when(F.col("_kept").isNull(), F.col("_row"))).orderBy("_row"))
+    single = joined.withColumn("_order", order).where("_order = 1")
+    return single.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
+
+
 def _link_classes(sets: DataFrame) -> DataFrame:
     """cid, comp for all classes with links."""
     spark = sets.sparkSession

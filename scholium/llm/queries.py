@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholium.llm.bpe import encode_texts, read_definition
+from scholium.llm import settings
+from scholium.llm.bpe import encode_texts
 from scholium.llm.exact_dedup import exact_dedup
 from scholium.llm.hamming import nearest_codes, nearest_codes_sql
 from scholium.llm.html_blocks import extract_text, train_html
@@ -23,10 +24,7 @@ from scholium.sources import Tables
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
-VOCABULARY = "word_bpe_49k.json"
-# Shares of the mix: the largest source is held back, two are doubled, all others share the rest.
-MIX = {"src0": 4.0, "src1": 8.0, "src2": 8.0, "src3": 2.0}
-MIX_OTHERS = 60.0
+LLM_QUERIES["pipeline"] = corpus_pipeline.run
 
 
 def bound(sql: str | None = None):
@@ -57,23 +55,22 @@ def op1_exact_dedup(t: Tables) -> DataFrame:
 
 @bound()
 def op2_bpe(t: Tables) -> DataFrame:
-    definition = read_definition(public_tokenizers.path(VOCABULARY))
-    return encode_texts(t("documents"), definition, outputs=("ids_sha256", "decoded_sha256"))
+    return encode_texts(t("documents"), settings.vocabulary(), outputs=("ids_sha256", "decoded_sha256"))
 
 
-@bound(mixing_sql("documents", MIX, MIX_OTHERS))
+@bound(mixing_sql("documents", settings.MIX, settings.MIX_OTHERS))
 def op5_mixing(t: Tables) -> DataFrame:
-    return mix_sources(t("documents"), MIX, MIX_OTHERS)
+    return mix_sources(t("documents"), settings.MIX, settings.MIX_OTHERS)
 
 
 @bound()
 def op7_quality(t: Tables) -> DataFrame:
-    return quality_of(t("documents"), t("labels"), folds=5, held_out=0, threshold=0.3)
+    return quality_of(t("documents"), t("labels"), settings.QUALITY_FOLDS, settings.QUALITY_HELD_OUT, settings.QUALITY_THRESHOLD)
 
 
 @bound()
 def op6_toxicity(t: Tables) -> DataFrame:
-    return toxicity_of(t("documents"), t("labels"), folds=3, held_out=1, threshold=0.7)
+    return toxicity_of(t("documents"), t("labels"), settings.TOXIC_FOLDS, settings.TOXIC_HELD_OUT, settings.TOXIC_THRESHOLD)
 
 
 @bound()
@@ -94,7 +91,7 @@ def op9_html_text(t: Tables) -> DataFrame:
 
 @bound()
 def op8_ppm(t: Tables) -> DataFrame:
-    return score_corpus(t("documents"), folds=10, held_out=0)
+    return score_corpus(t("documents"), settings.PPM_FOLDS, settings.PPM_HELD_OUT)
 
 
 @bound()
