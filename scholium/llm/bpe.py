@@ -14,12 +14,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,16 @@ from scholium.llm.texts import field_type, filled, schema
 
 # Unicode white space, which the vocabulary's pre-tokenizer drops.
 WHITE = r"\t-\r \x85\xa0  -     　"
-WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
+CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+# Letters and numbers of Unicode 16.0 that older tables of Python leave out, and its new capitals.
+NEW_LETTERS = (
+    "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 "
+    "113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 18cff 1e5d0-1e5ed 1e5f0"
+)
+NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 16130-16139 16d70-16d79 1ccf0-1ccf9 1e5f1-1e5fa"
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {
+    c: c + 0x20 for c in range(0x10D50, 0x10D66)
+}
 # Python's split() takes these for white space, the vocabulary does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 # Symbols at the end of a word are shifted, so that one character stands for one symbol.
@@ -52,6 +62,22 @@ def byte_symbols() -> list[str]:
     return symbols
 
 
+def word_pattern() -> str:
+    """How texts are split: contractions, runs of letters, single numbers, runs of anything else but white space."""
+    ranges: dict[str, list[str]] = {"L": [], "N": []}
+    for kind, run in groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c))[0]):
+        if kind in ranges:
+            first, *rest = run
+            last = rest[-1] if rest else first
+            ranges[kind].append(f"\\U{first:08x}-\\U{last:08x}")
+    for kind, added in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)):
+        for part in added.split():
+            first, _, last = part.partition("-")
+            ranges[kind].append(f"\\U{first:0>8}-\\U{last or first:0>8}")
+    letters, numbers = "".join(ranges["L"]), "".join(ranges["N"])
+    return rf"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+"
+
+
 class TokenAutomaton:
     """The states and arcs of a merge list. Symbols are single characters.
 
@@ -167,9 +193,9 @@ class WordBpe:
         self.ends = [chr(ord(s) + END) for s in symbols]
         special = {token["content"]: token["id"] for token in definition["added_tokens"]}
         self.special = {text: np.uint32(number).tobytes() for text, number in special.items()}
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.find_words = regex.compile(WORD).findall
-        self.split_white = regex.compile(rf"[{WHITE}]+").split
+        self.split_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.find_words = re.compile(word_pattern()).findall
+        self.split_white = re.compile(rf"[{WHITE}]+").split
         labels = {number: text for text, number in model["vocab"].items()}
         labels.update({number: text for text, number in special.items()})
         self.labels = [labels.get(i, "") for i in range(max(labels, default=-1) + 1)]
@@ -197,7 +223,7 @@ class WordBpe:
                 continue
             if not piece.isascii():
                 # Letters are lowered one by one: no final form of sigma.
-                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+                piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").translate(NEW_CAPITALS)
             out.extend(map(self._word, self.find_words(piece.lower())))
         found = b"".join(out)
         if len(self.chunks) >= CACHE_ENTRIES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.plans import cut_lineage
+from scholium.llm.texts import written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,20 +15,19 @@ def components(links: DataFrame) -> DataFrame:
     aggregated before they are shuffled, so a node with very many links is one row per task.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both.where("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("comp")))
+    both = written(both.where("a <> b").distinct(), "links")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("comp")), "labels")
     while True:
         near = (
             both.join(labels.select(F.col("node").alias("b"), "comp"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("comp").alias("least"))
         )
-        taken = labels.join(near, "node", "left").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("comp"))
-        taken = cut_lineage(taken)
-        up = taken.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        # A label is a node, but only nodes that changed need to be asked again.
-        jumped = taken.join(up, "comp", "left").select("node", "old", F.coalesce("above", "comp").alias("comp"))
-        jumped = cut_lineage(jumped)
+        taken = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("comp"))
+        above = labels.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
+        # A label is a node itself; its own label is as good as its label after this round, or better next time.
+        jumped = taken.join(above, "comp").select("node", "old", F.least("comp", "above").alias("comp"))
+        jumped = written(jumped, "labels")
         labels = jumped.select("node", "comp")
         if jumped.where("old <> comp").isEmpty():
             return labels

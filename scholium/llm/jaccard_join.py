@@ -5,9 +5,9 @@ A document's set holds the hashes of its distinct five-word shingles. Documents
 1. A class can only have a partner if three quarters of its shingles occur in another class too. Tasks send
    the shingles of many documents together, cut into ranges of the hash; a range says which of them are shared. Classes
    with too few shared shingles leave here. That is nearly all of them, and no pair has been looked at.
-2. Two linked sets share one of the smallest hashes of each ("prefix"). The first few are enough to find
-   most links: each class is compared with the leader of those that share such a hash, until that finds no more.
-   Large groups of near copies become one component this way, without a pair of each two.
+2. Two linked sets share one of the first quarter of each ("prefix") in any common order; rare hashes come first. The
+   first few hashes are enough to find most links: each class is compared with the leader of those that share such a
+   hash. Large groups of near copies become one component this way, without a pair of each two.
 3. What is left are prefix hashes whose classes lie in different components. They are compared in tiles: classes of
    like size, at most ``TILE`` by ``TILE`` of them, with hashed bitmaps of their sets. The bits in which two bitmaps
    differ bound the overlap from above; pairs that may still be linked are decided by intersecting the sorted hashes.
@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.llm.components import components
-from scholium.llm.texts import field_type, filled, schema
-from scholium.plans import cut_lineage, scratch_dir
+from scholium.llm.texts import field_type, filled, schema, written
 from scholium.plans.skew import SHARES
 
 WORDS = 5
@@ -36,6 +35,9 @@ STEP_BYTES = 1 << 23  # text whose shingles travel together
 STEP_DOCS = 60_000
 RANGE_SHINGLES = 1 << 20  # shingles of one hash range, about
 FIRST = 8  # prefix hashes that are tried first
+STAR_ROUNDS = 2
+# Hashes that more classes have than COMMON stand at the end of the order, at most the MOST_COMMON of them by count.
+COMMON, MOST_COMMON = 4, 200_000
 TILE = 256
 CACHE_ENTRIES = 400_000
 
@@ -219,26 +221,48 @@ def _sets_of(rows: DataFrame, owners: DataFrame) -> DataFrame:
 
     texts = rows.withColumn("_h", F.xxhash64("_id")).join(owners.select("_h", "_set"), "_h").select("_set", "_text")
     once = texts.mapInArrow(run, out).groupBy("_set").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
-    path = scratch_dir(rows.sparkSession, "sets")
     numbered = once.select(F.monotonically_increasing_id().alias("cid"), "_set", "hashes", "bits")
-    numbered.withColumn("n", (F.length("hashes") / 8).cast("long")).write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return written(numbered.withColumn("n", (F.length("hashes") / 8).cast("long")), "sets")
 
 
-def _prefixes(sets: DataFrame, first: int | None) -> DataFrame:
-    """token, cid: the ``first`` smallest hashes of each class, or all of its prefix."""
-    out = schema(("token", "long"), ("cid", "long"))
+def _common_hashes(sets: DataFrame) -> np.ndarray:
+    """The hashes that most classes have, the rarest first; of bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, cids = [], []
+            raw = b"".join(batch.column(0).to_pylist())
+            tokens, counts = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], names=["token", "count"])
+
+    partial = sets.select("hashes").mapInArrow(run, schema(("token", "long"), ("count", "long")))
+    counts = partial.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") > COMMON)
+    rows = counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).toArrow()
+    return rows.column("token").to_numpy()[::-1].copy()
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """cid, token, at: the prefix of each class, in the common order."""
+    common = _common_hashes(sets)
+    shared = sets.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common, kind="stable")))
+    out = schema(("cid", "long"), ("token", "long"), ("at", "int"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, places = shared.value
+        for batch in batches:
+            parts: list[list[np.ndarray]] = [[], [], []]
             for cid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = np.frombuffer(raw, np.int64)
-                size = prefix_size(len(hashes))
-                tokens.append(hashes[: size if first is None else min(first, size)])
-                cids.append(np.full(len(tokens[-1]), cid))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(cids))], names=out.names)
+                place = np.full(len(hashes), -1)
+                if len(tokens):
+                    where = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
+                    found = tokens[where] == hashes
+                    place[found] = places[where[found]]
+                # Rare hashes in their own order, then the common ones in theirs.
+                first = hashes[np.lexsort((hashes, place))][: prefix_size(len(hashes))]
+                for part, values in zip(parts, (np.full(len(first), cid), first, np.arange(len(first), dtype=np.int32))):
+                    part.append(values)
+            if parts[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=out.names)
 
     return sets.select("cid", "hashes").mapInArrow(run, out)
 
@@ -289,32 +313,29 @@ def _star_pairs(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
     return beside.select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct()
 
 
-def _band(n: int) -> int:
-    """Sets that can be linked lie in the same or in neighbouring bands."""
-    return int(math.log(n) / math.log(100 / PERCENT) + 1e-9)
-
-
 def _tile_pairs(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a prefix hash and that size and bitmap let pass."""
     placed = prefixes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     spread = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     open_ = placed.join(spread.select("token"), "token", "left_semi").select("cid", "token", "comp")
     band = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9).cast("int")
-    sized = open_.join(sets.select("cid", "n", "bits"), "cid").withColumn("_band", band)
+    sized = open_.join(sets.select("cid", "n"), "cid").withColumn("_band", band)
     # A class stands in its own band and in the next one, so neighbours meet once at least.
-    banded = cut_lineage(sized.withColumn("band", F.explode(F.array("_band", F.col("_band") + 1))))
+    banded = written(sized.withColumn("band", F.explode(F.array("_band", F.col("_band") + 1))).drop("_band"), "banded")
     counts = banded.groupBy("token", "band").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     counts = counts.where("lo < hi").select("token", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("sides"))
-    sided = banded.join(counts, ["token", "band"])
+    sided = banded.join(counts, ["token", "band"]).join(sets.select("cid", "bits"), "cid")
     side = F.pmod(F.xxhash64("cid"), F.col("sides")).cast("int")
     # Each class meets every side of its group: tile (i, j) holds side i and side j.
     dealt = sided.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    tiles = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    keys = ["token", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")]
+    tiles = dealt.select(*keys, "cid", "comp", "n", "bits").repartition("token", "band", "i", "j")
+    tiles = tiles.sortWithinPartitions("token", "band", "i", "j")
     out = schema(("a", "long"), ("b", "long"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        cid, comp, n = (table.column(c).to_numpy() for c in ("cid", "comp", "n"))
-        bitmaps = [np.frombuffer(b, np.uint64) for b in table.column("bits").to_pylist()]
+    def compared(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        cid, comp, n = (tile.column(c).to_numpy() for c in ("cid", "comp", "n"))
+        bitmaps = [np.frombuffer(b, np.uint64) for b in tile.column("bits").to_pylist()]
         width = min(map(len, bitmaps))
         bits = np.stack([folded(b, width) for b in bitmaps])
         a, b = [], []
@@ -325,20 +346,42 @@ def _tile_pairs(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
             hit = np.flatnonzero((comp[rest] != comp[k]) & sizes & may_link(int(n[k]), n[rest], apart)) + k + 1
             a.append(np.minimum(cid[hit], cid[k]))
             b.append(np.maximum(cid[hit], cid[k]))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table([pa.array(a), pa.array(b)], names=out.names)
+        return np.concatenate(a), np.concatenate(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            """The pairs of all tiles of ``table`` but the last, which may go on, and that one."""
+            key = np.stack([table.column(c).to_numpy() for c in ("token", "band", "i", "j")])
+            heads = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+            ends = [*heads[1:], table.num_rows]
+            whole = len(heads) if last else len(heads) - 1
+            found = [compared(table.slice(h, e - h)) for h, e in zip(heads[:whole], ends[:whole]) if e - h > 1]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]) for i in (0, 1))
+            both = np.unique(np.stack([a, b]), axis=1)
+            rest = table.slice(heads[whole]) if whole < len(heads) else table.slice(table.num_rows)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=out.names), rest
+
+        for batch in batches:
+            if batch.num_rows:
+                done, rest = pairs(pa.Table.from_batches([*held, batch]).combine_chunks(), last=False)
+                held = rest.to_batches()
+                yield done
+        if held:
+            yield pairs(pa.Table.from_batches(held).combine_chunks(), last=True)[0]
 
-    found = tiles.select("token", "band", "i", "j", "cid", "comp", "n", "bits").groupBy("token", "band", "i", "j")
-    return found.applyInArrow(compare, out).distinct()
+    return tiles.mapInArrow(run, out).distinct()
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
     """_id, _set, _n and a struct _part (group, name) of each row: its component and the smallest id in it."""
-    members = cut_lineage(_named_sets(rows))
-    classes = cut_lineage(
+    members = written(_named_sets(rows), "members")
+    classes = written(
         members.where("_set is not null")
         .groupBy("_set")
-        .agg(F.first("_n").alias("n"), F.min("_id").alias("least_id"), F.min(F.xxhash64("_id")).alias("_h"), F.count("*").alias("copies"))
+        .agg(F.first("_n").alias("n"), F.min("_id").alias("least_id"), F.min(F.xxhash64("_id")).alias("_h"), F.count("*").alias("copies")),
+        "classes",
     )
     count, total = members.agg(F.count("*"), F.sum("_n")).first()
     bits = max(0, int((total or 0) // RANGE_SHINGLES).bit_length())
@@ -347,10 +390,10 @@ def _grouped(rows: DataFrame) -> DataFrame:
     sets = _sets_of(rows, wanted)
     labels = _link_classes(sets)
     numbers = sets.select("cid", "_set").join(labels, "cid").select("_set", "comp")
-    placed = cut_lineage(classes.join(numbers, "_set", "left"))
+    placed = classes.join(numbers, "_set", "left")
     names = placed.where("comp is not null").groupBy("comp").agg(F.min("least_id").alias("name"), F.min("_set").alias("group"))
     part = F.struct(F.coalesce("group", "_set").alias("group"), F.coalesce("name", "least_id").alias("name"))
-    named = cut_lineage(placed.join(names, "comp", "left").select("_set", "copies", part.alias("_part")))
+    named = written(placed.join(names, "comp", "left").select("_set", "copies", part.alias("_part")), "named")
     # Rows of very frequent sets look their component up by broadcast; there are at most SHARES such sets.
     often = F.col("copies") >= max(2, count / SHARES)
     hot = F.broadcast(named.where(often).select("_set", F.col("_part").alias("_hot")))
@@ -408,20 +451,19 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def _link_classes(sets: DataFrame) -> DataFrame:
     """cid, comp for all classes with links."""
     spark = sets.sparkSession
-    first = cut_lineage(_prefixes(sets, FIRST))
-    none = schema(("node", "long"), ("comp", "long"))
-    labels = spark.createDataFrame([], none).withColumnRenamed("node", "cid")
-    links = spark.createDataFrame([], schema(("a", "long"), ("b", "long")))
-    tried = spark.createDataFrame([], schema(("a", "long"), ("b", "long")))
-    while True:
-        pairs = cut_lineage(_star_pairs(first, labels).join(tried, ["a", "b"], "left_anti"))
-        more = cut_lineage(_verified(pairs, sets))
+    prefixes = written(_prefixes(sets), "prefixes")
+    first = prefixes.where(F.col("at") < FIRST)
+    labels = spark.createDataFrame([], schema(("cid", "long"), ("comp", "long")))
+    links = tried = spark.createDataFrame([], schema(("a", "long"), ("b", "long")))
+    for _ in range(STAR_ROUNDS):
+        pairs = written(_star_pairs(first, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = written(_verified(pairs, sets), "verified")
         if more.isEmpty():
             break
         links, tried = links.unionByName(more), tried.unionByName(pairs)
         labels = components(links).withColumnRenamed("node", "cid")
-    left = cut_lineage(_tile_pairs(_prefixes(sets, None), labels, sets).join(tried, ["a", "b"], "left_anti"))
-    more = cut_lineage(_verified(left, sets))
+    left = _tile_pairs(prefixes, labels, sets).join(tried, ["a", "b"], "left_anti")
+    more = written(_verified(written(left, "pairs"), sets), "verified")
     if more.isEmpty():
         return labels
     return components(links.unionByName(more)).withColumnRenamed("node", "cid")

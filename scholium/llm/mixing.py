@@ -75,21 +75,24 @@ def mix_sources(
     if any(w < 0 or not math.isfinite(w) for w in [*weights.values(), other_weight, size]) or OTHERS in weights:
         raise ValueError(f"weights are finite and not negative, and none is named {OTHERS}")
     rates = repetition_rates(docs, weights, other_weight, source_column, size)
+    draw = "_draw"
+    while draw in docs.columns:
+        draw += "_"
     copies = F.lit(0)
     source = F.col(source_column).cast("string")
 
     def inverted(rate: float) -> Column:
         # The number of steps at or below the draw. Few distinct rates: the steps are literals of the plan.
         steps = F.array(*[F.lit(s) for s in poisson_steps(rate)])
-        return F.size(F.filter(steps, lambda step: step <= F.col("_draw")))
+        return F.size(F.filter(steps, lambda step: step <= F.col(draw)))
 
     named = [name for name in rates if name != OTHERS]
     if OTHERS in rates:
         copies = inverted(rates[OTHERS])
     for name in named:
         copies = F.when(source == name, inverted(rates[name])).otherwise(copies)
-    base = docs.drop("copy_no", "shuffle_key").withColumn("_draw", unit_hash(seed, F.col(id_column)))
-    drawn = base.withColumn("copy_no", copies).drop("_draw").where(F.col("copy_no") > 0)
+    base = docs.drop("copy_no", "shuffle_key").withColumn(draw, unit_hash(seed, F.col(id_column)))
+    drawn = base.withColumn("copy_no", copies).drop(draw).where(F.col("copy_no") > 0)
     copied = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copy_no"))))
     keyed = copied.withColumn("shuffle_key", unit_hash(seed + "-order", F.col(id_column), F.col("copy_no")))
     dealt = keyed.repartition("shuffle_key") if partitions is None else keyed.repartition(partitions, "shuffle_key")
