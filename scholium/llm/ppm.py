@@ -30,11 +30,12 @@ ORDER = 5
 END = 0xFF
 PAD = bytes([END] * ORDER)
 _BYTE = np.uint64(8)
-STEP_BYTES = 1 << 22  # text that is turned into grams at a time
-BLOCK_BYTES = 1 << 24
+STEP_BYTES = 1 << 21  # text that is turned into grams at a time
+BLOCK_BYTES = 1 << 23
 # Nodes of the deepest order that the trie may have. Beyond it the rarest grams are left to the lower orders.
 TRIE_GRAMS = 3_000_000
-WORD_ENTRIES = 2_000_000  # (block, word) pairs a task holds before it sends them on
+HELD_GRAMS = 1_000_000  # grams a task holds unsorted
+WORD_ENTRIES = 400_000  # (block, word) pairs a task holds before it sends them on
 
 
 def _steps(texts: list[bytes]) -> Iterator[list[bytes]]:
@@ -82,7 +83,7 @@ def count_grams(docs: DataFrame, text_column: str = "text") -> DataFrame:
                 for k in range(ORDER):
                     inside[ends[:-1] + k] = False  # what lies between two texts belongs to neither
                 parts.append(np.unique(grams[inside], return_counts=True))
-                if sum(len(p[0]) for p in parts) > 3_000_000:
+                if sum(len(p[0]) for p in parts) > HELD_GRAMS:
                     keys, counts = _tally(np.concatenate([keys, *[p[0] for p in parts]]), np.concatenate([counts, *[p[1] for p in parts]]))
                     parts = []
         keys, counts = _tally(np.concatenate([keys, *[p[0] for p in parts]]), np.concatenate([counts, *[p[1] for p in parts]]))
@@ -154,6 +155,7 @@ class Trie:
         self.flat = np.zeros(256)
         self.flat[keys] = n
         self._compile()
+        del self.tables, self.contexts
 
     def _contexts(self, d: int) -> dict[str, np.ndarray]:
         keys, n = self.tables[d]
