@@ -16,6 +16,7 @@ from scholium.llm.exact_dedup import drop_copies
 from scholium.llm.jaccard_join import drop_similar
 from scholium.llm.labelled import fold_of
 from scholium.llm.mixing import mix_sources
+from scholium.llm.texts import fresh
 from scholium.llm.toxicity import drop_toxic, train_toxicity
 from scholium.plans import scratch_dir
 from scholium.sources import Tables
@@ -43,7 +44,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources have their target weights, in shuffled order."""
-    return mix_sources(docs, settings.MIX, settings.MIX_OTHERS).select(*docs.columns)
+    copy, key = fresh("copy_no", docs.columns), fresh("shuffle_key", docs.columns)
+    mixed = mix_sources(docs, settings.MIX, settings.MIX_OTHERS, copy_column=copy, key_column=key)
+    return mixed.select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scholium.llm.labelled import first_by_hash
 from scholium.llm.texts import field_type, filled, schema
 
 # How HTML treats its elements.
@@ -384,9 +385,12 @@ def training_pages(pages: list[str], seed: int = 5) -> list[tuple[np.ndarray, np
 
 def train_html(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
     """A labeller trained on at most ``sample`` pages, picked by a hash of their id."""
-    picked = pages.where(F.col(html_column).isNotNull()).orderBy(F.xxhash64(F.col(id_column).cast("string")), F.col(id_column))
-    rows = picked.select(F.col(html_column).cast("string").alias("h")).limit(sample).collect()
-    return train_labeller(training_pages([row.h for row in rows]))
+    filled_pages = pages.where(F.col(html_column).isNotNull() & F.col(id_column).isNotNull())
+    ids = first_by_hash(filled_pages.select(F.col(id_column).alias("_id")).distinct(), "_id", sample, filled_pages.count())
+    texts = filled_pages.select(F.col(id_column).alias("_id"), F.col(html_column).cast("string").alias("_html"))
+    # At most one page of each picked id.
+    rows = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_html").alias("_html")).orderBy("_id").collect()
+    return train_labeller(training_pages([row["_html"] for row in rows]))
 
 
 def main_text(blocks: list[Block], probabilities: np.ndarray) -> str:

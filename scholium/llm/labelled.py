@@ -23,6 +23,18 @@ def fold_of(id_column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def first_by_hash(rows: DataFrame, key: str, most: int, total: int) -> DataFrame:
+    """``most`` of the ``total`` rows, those whose key has the smallest hashes.
+
+    Only hashes up to a bound that four times as many rows can be expected to meet are sorted, so what tasks send does
+    not grow with their number.
+    """
+    hashed = F.xxhash64(F.col(key).cast("string"))
+    share = min(1.0, 4.0 * most / max(1, total))
+    near = rows if share == 1.0 else rows.where(hashed < int(-(2**63) + share * 2**64))
+    return near.orderBy(hashed, key).limit(most)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_label: int) -> Sample:
     """At most ``per_label`` documents of each label, picked by a hash of the id from all labelled training rows.
 
@@ -38,7 +50,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     )
     totals = {row["_label"]: row["count"] for row in marked.groupBy("_label").count().collect()}
     picks = [
-        marked.where(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
+        first_by_hash(marked.where(F.col("_label") == value), "doc_id", per_label, totals.get(value, 0))
         for value in (0, 1)
     ]
     chosen = picks[0].unionByName(picks[1])  # at most 2 * per_label rows

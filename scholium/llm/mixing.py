@@ -14,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scholium.llm.texts import fresh
+
 OTHERS = "others"
 HEX_DIGITS = 13  # of an MD5: 52 bits, exact in a double
 
@@ -64,20 +66,20 @@ def mix_sources(
     source_column: str = "source",
     size: float = 1.0,
     partitions: int | None = None,
+    copy_column: str = "copy_no",
+    key_column: str = "shuffle_key",
 ) -> DataFrame:
-    """The mix: every column of ``docs``, then ``copy_no`` (from 1) and ``shuffle_key``.
+    """The mix: every column of ``docs``, then the number of the copy (from 1) and the key of its place.
 
     Rows of sources without a weight, null included, share ``other_weight`` in proportion to their number. Rows that
-    repeat an id are drawn alike. The mix is in order of (partition, ``shuffle_key``), a global shuffle. An
+    repeat an id are drawn alike. The mix is in order of (partition, key), a global shuffle. An
     empty table gives an empty mix, and so do weights that are all zero. Columns of ``docs`` named as the two new
     ones are replaced.
     """
     if any(w < 0 or not math.isfinite(w) for w in [*weights.values(), other_weight, size]) or OTHERS in weights:
         raise ValueError(f"weights are finite and not negative, and none is named {OTHERS}")
     rates = repetition_rates(docs, weights, other_weight, source_column, size)
-    draw = "_draw"
-    while draw in docs.columns:
-        draw += "_"
+    draw = fresh("_draw", docs.columns)
     copies = F.lit(0)
     source = F.col(source_column).cast("string")
 
@@ -91,12 +93,12 @@ def mix_sources(
         copies = inverted(rates[OTHERS])
     for name in named:
         copies = F.when(source == name, inverted(rates[name])).otherwise(copies)
-    base = docs.drop("copy_no", "shuffle_key").withColumn(draw, unit_hash(seed, F.col(id_column)))
-    drawn = base.withColumn("copy_no", copies).drop(draw).where(F.col("copy_no") > 0)
-    copied = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copy_no"))))
-    keyed = copied.withColumn("shuffle_key", unit_hash(seed + "-order", F.col(id_column), F.col("copy_no")))
-    dealt = keyed.repartition("shuffle_key") if partitions is None else keyed.repartition(partitions, "shuffle_key")
-    return dealt.sortWithinPartitions("shuffle_key")
+    base = docs.drop(copy_column, key_column).withColumn(draw, unit_hash(seed, F.col(id_column)))
+    drawn = base.withColumn(copy_column, copies).drop(draw).where(F.col(copy_column) > 0)
+    copied = drawn.withColumn(copy_column, F.explode(F.sequence(F.lit(1), F.col(copy_column))))
+    keyed = copied.withColumn(key_column, unit_hash(seed + "-order", F.col(id_column), F.col(copy_column)))
+    dealt = keyed.repartition(key_column) if partitions is None else keyed.repartition(partitions, key_column)
+    return dealt.sortWithinPartitions(key_column)
 
 
 def mixing_sql(table: str, weights: Mapping[str, float], other_weight: float = 1.0, seed: str = "mix", size: float = 1.0) -> str:
