@@ -5,10 +5,10 @@ A document's set holds the hashes of its distinct five-word shingles. Documents
 1. A class can only have a partner if three quarters of its shingles occur in another class too. Tasks send
    the shingles of many documents together, cut into ranges of the hash; a range says which of them are shared. Classes
    with too few shared shingles leave here. That is nearly all of them, and no pair has been looked at.
-2. Two linked sets share one of the first quarter of each ("prefix") in any common order; rare hashes come first. The
-   first few hashes are enough to find most links: each class is compared with the leader of those that share such a
-   hash. Large groups of near copies become one component this way, without a pair of each two.
-3. What is left are prefix hashes whose classes lie in different components. They are compared in tiles: classes of
+2. Most linked sets share one of their smallest hashes. Each class is compared with a few leaders of those that do.
+   Large groups of near copies become one component this way, without a pair of each two.
+3. All linked sets share one of the first quarter of each ("prefix") in any common order; rare hashes come first. What
+   is left are prefix hashes whose classes lie in different components. They are compared in tiles: classes of
    like size, at most ``TILE`` by ``TILE`` of them, with hashed bitmaps of their sets. The bits in which two bitmaps
    differ bound the overlap from above; pairs that may still be linked are decided by intersecting the sorted hashes.
 """
@@ -33,9 +33,10 @@ WORDS = 5
 PERCENT = 75
 STEP_BYTES = 1 << 23  # text whose shingles travel together
 STEP_DOCS = 60_000
-RANGE_SHINGLES = 1 << 20  # shingles of one hash range, about
-FIRST = 8  # prefix hashes that are tried first
-STAR_ROUNDS = 2
+NAME_BYTES = 8  # of a set's name, to tell classes apart while shingles are counted
+RANGE_SHINGLES = 1 << 22  # shingles of one hash range, about
+FIRST = 8  # smallest hashes by which classes meet leaders
+LEADERS, STAR_ROUNDS = 4, 3
 # Hashes that more classes have than COMMON stand at the end of the order, at most the MOST_COMMON of them by count.
 COMMON, MOST_COMMON = 4, 200_000
 TILE = 256
@@ -86,8 +87,11 @@ def prefix_size(n: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Parity of the hashes per bit, as 64-bit words; the number of bits is the power of two from the set's size on."""
-    bits = max(64, 1 << max(0, int(len(hashes) - 1).bit_length()))
+    """Parity of the hashes per bit, as 64-bit words; four times as many bits as the power of two from the set's size on.
+
+    So few hashes meet in a bit that the bound is close where sets are similar.
+    """
+    bits = max(64, 4 << max(0, int(len(hashes) - 1).bit_length()))
     odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -128,14 +132,18 @@ def _named_sets(rows: DataFrame) -> DataFrame:
 
 
 def _ranges(rows: DataFrame, bits: int) -> DataFrame:
-    """Shingles of many documents together, by hash range. Of a step's classes: their own count of shingles that are
-    shared within the step, and the shingles that only one class of the step has, in sorted order; and all shared ones."""
-    out = schema(("_range", "int"), ("names", "binary"), ("own", "binary"), ("at", "binary"), ("rest", "binary"), ("shared", "binary"))
+    """Shingles of many documents together, by hash range.
+
+    Of each class that a step of texts has in a range: the first bytes of its name, its count of shingles that are
+    shared within the step, and its count of shingles that no other class of the step has. These follow class by
+    class, as the 32 bits of their hash behind the range; then the shared ones, once each.
+    """
+    out = schema(("_range", "int"), ("names", "binary"), ("own", "binary"), ("sizes", "binary"), ("alone", "binary"), ("shared", "binary"))
 
     def send(step: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        names, sets = list(step), list(step.values())
+        names, sets = np.array([int.from_bytes(n[:NAME_BYTES], "big") for n in step], np.uint64), list(step.values())
         hashes = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
         new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
@@ -150,12 +158,11 @@ def _ranges(rows: DataFrame, bits: int) -> DataFrame:
             present, local = np.unique(owner[part], return_inverse=True)
             alone = single[part]
             own = np.bincount(local[~alone], minlength=len(present)).astype(np.int32)
-            values = (
-                k, b"".join(names[i] for i in present), own.tobytes(), local[alone].astype(np.uint16).tobytes(),
-                rest[part][alone].tobytes(), rest[part][~alone & new[part]].tobytes(),
-            )
+            sizes = np.bincount(local[alone], minlength=len(present)).astype(np.int32)
+            by_class = np.argsort(local[alone], kind="stable")
+            values = (k, names[present], own, sizes, rest[part][alone][by_class], rest[part][~alone & new[part]])
             for column, value in zip(columns, values):
-                column.append(value)
+                column.append(value if column is columns[0] else value.tobytes())
         kinds = [pa.int32(), *[pa.binary()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=out.names)
 
@@ -179,27 +186,30 @@ def _ranges(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def _shared_counts(ranges: DataFrame) -> DataFrame:
-    """_set, _shared: at least the number of its shingles that another class has, in parts to be added up.
+    """_name, _shared: at least the number of its shingles that another class has, in parts to be added up.
 
-    Within a range shingles are told apart by the next 32 bits of their hash, so the count may only be too high.
+    Shingles of a range are told apart by 32 more bits of their hash and classes by the first bytes of their name,
+    so a count may be too high but never too low.
     """
-    out = schema(("_set", "binary"), ("_shared", "long"))
+    out = schema(("_name", "long"), ("_shared", "long"))
 
     def count(table: pa.Table) -> pa.Table:
-        rests = [np.frombuffer(b, np.uint32) for b in table.column("rest").to_pylist()]
-        alls = np.sort(np.concatenate([*rests, *[np.frombuffer(b, np.uint32) for b in table.column("shared").to_pylist()]]))
+        alone = [np.frombuffer(b, np.uint32) for b in table.column("alone").to_pylist()]
+        alls = np.sort(np.concatenate([*alone, *[np.frombuffer(b, np.uint32) for b in table.column("shared").to_pylist()]]))
         twice = np.unique(alls[1:][alls[1:] == alls[:-1]])
         # Shared within one step and alone in another is met twice too.
         names, counts = [], []
-        for rest, name, own, at in zip(rests, *[table.column(c).to_pylist() for c in ("names", "own", "at")]):
-            where = np.searchsorted(twice, rest)
-            where[where == len(twice)] = 0
-            again = twice[where] == rest if len(twice) else np.zeros(len(rest), bool)
-            total = np.frombuffer(own, np.int32) + np.bincount(np.frombuffer(at, np.uint16)[again], minlength=len(own) // 4)
-            for i in np.flatnonzero(total):
-                names.append(name[16 * i : 16 * i + 16])
-                counts.append(int(total[i]))
-        return pa.table([pa.array(names, pa.binary()), pa.array(counts, pa.int64())], names=out.names)
+        for rest, name, own, sizes in zip(alone, *[table.column(c).to_pylist() for c in ("names", "own", "sizes")]):
+            again = np.zeros(len(rest), bool)
+            if len(twice):
+                again = twice[np.minimum(np.searchsorted(twice, rest), len(twice) - 1)] == rest
+            sizes = np.frombuffer(sizes, np.int32)
+            local = np.repeat(np.arange(len(sizes)), sizes)
+            total = np.frombuffer(own, np.int32) + np.bincount(local[again], minlength=len(sizes))
+            some = np.flatnonzero(total)
+            names.append(np.frombuffer(name, np.int64)[some])
+            counts.append(total[some])
+        return pa.table([pa.array(np.concatenate(names)), pa.array(np.concatenate(counts).astype(np.int64))], names=out.names)
 
     return ranges.groupBy("_range").applyInArrow(count, out)
 
@@ -267,6 +277,21 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     return sets.select("cid", "hashes").mapInArrow(run, out)
 
 
+def _smallest(sets: DataFrame) -> DataFrame:
+    """cid, token: the FIRST smallest hashes of each class."""
+    out = schema(("cid", "long"), ("token", "long"))
+    most = FIRST
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = [np.frombuffer(raw, np.int64)[:most] for raw in batch.column(1).to_pylist()]
+            cids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in firsts])
+            tokens = np.concatenate([np.zeros(0, np.int64), *firsts])
+            yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(tokens)], names=out.names)
+
+    return sets.select("cid", "hashes").mapInArrow(run, out)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked: first by size and bitmap, then by intersection. ``a`` may repeat often."""
     small = sets.select("cid", "n", "bits")
@@ -301,16 +326,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrays.select("a", "b", "x", "y").mapInArrow(exact, out)
 
 
-def _star_pairs(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Classes beside the leader of each prefix hash, where they are not in its component yet.
+def _star_pairs(first: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Classes beside LEADERS of those that share one of their smallest hashes and are in other components yet.
 
-    The leader is the class of the smallest component, so all classes of a hash have few leaders between them.
+    Leaders are picked by a hash that changes with every turn, so a class that is like some of a group soon meets one.
     """
-    placed = prefixes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    leaders = placed.groupBy("token").agg(F.min(F.struct("comp", "cid")).alias("lead"), F.max("comp").alias("most"))
-    open_ = leaders.where(F.col("lead.comp") < F.col("most")).select("token", "lead")
-    beside = placed.join(open_, "token").where(F.col("comp") > F.col("lead.comp"))
-    return beside.select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct()
+    placed = first.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    member = F.struct("comp", "cid")
+    picks = [F.min_by(member, F.xxhash64("cid", F.lit(LEADERS * turn + k))) for k in range(LEADERS)]
+    groups = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.array(*picks).alias("leads"))
+    leads = groups.where("lo < hi").select("token", F.explode(F.array_distinct("leads")).alias("lead"))
+    beside = placed.join(leads, "token").where(F.col("comp") != F.col("lead.comp"))
+    pair = [F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b")]
+    return beside.select(*pair).distinct()
 
 
 def _tile_pairs(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -385,8 +413,9 @@ def _grouped(rows: DataFrame) -> DataFrame:
     )
     count, total = members.agg(F.count("*"), F.sum("_n")).first()
     bits = max(0, int((total or 0) // RANGE_SHINGLES).bit_length())
-    shared = _shared_counts(_ranges(rows, bits)).groupBy("_set").agg(F.sum("_shared").alias("shared"))
-    wanted = shared.join(classes, "_set").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("_set", "_h")
+    shared = _shared_counts(_ranges(rows, bits)).groupBy("_name").agg(F.sum("_shared").alias("shared"))
+    name = F.conv(F.hex(F.substring("_set", 1, NAME_BYTES)), 16, -10).cast("long")
+    wanted = classes.withColumn("_name", name).join(shared, "_name").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("_set", "_h")
     sets = _sets_of(rows, wanted)
     labels = _link_classes(sets)
     numbers = sets.select("cid", "_set").join(labels, "cid").select("_set", "comp")
@@ -452,11 +481,11 @@ def _link_classes(sets: DataFrame) -> DataFrame:
     """cid, comp for all classes with links."""
     spark = sets.sparkSession
     prefixes = written(_prefixes(sets), "prefixes")
-    first = prefixes.where(F.col("at") < FIRST)
+    first = written(_smallest(sets), "smallest")
     labels = spark.createDataFrame([], schema(("cid", "long"), ("comp", "long")))
     links = tried = spark.createDataFrame([], schema(("a", "long"), ("b", "long")))
-    for _ in range(STAR_ROUNDS):
-        pairs = written(_star_pairs(first, labels).join(tried, ["a", "b"], "left_anti"), "pairs")
+    for turn in range(STAR_ROUNDS):
+        pairs = written(_star_pairs(first, labels, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
         more = written(_verified(pairs, sets), "verified")
         if more.isEmpty():
             break
