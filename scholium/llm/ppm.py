@@ -31,11 +31,11 @@ END = 0xFF
 PAD = bytes([END] * ORDER)
 _BYTE = np.uint64(8)
 STEP_BYTES = 1 << 21  # text that is turned into grams at a time
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 24
 # Nodes of the deepest order that the trie may have. Beyond it the rarest grams are left to the lower orders.
 TRIE_GRAMS = 3_000_000
 HELD_GRAMS = 1_000_000  # grams a task holds unsorted
-WORD_ENTRIES = 400_000  # (block, word) pairs a task holds before it sends them on
+WORD_ENTRIES = 800_000  # (block, word) pairs a task holds before it sends them on
 
 
 def _steps(texts: list[bytes]) -> Iterator[list[bytes]]:
