@@ -30,10 +30,10 @@ freq AS (
 KEY_TERMS = SENTENCES + """
 , scored AS (
   SELECT doc_id, term, pos, round(tf * idf, 6) AS score FROM (
-    SELECT doc_id, term, count(*) AS tf, min(pos) AS pos FROM uses WHERE length(term) >= 4 GROUP BY doc_id, term
+    SELECT doc_id, term, count(*) AS tf, min(pos) AS pos FROM uses GROUP BY doc_id, term
   ) JOIN freq USING (term)
 ), key_terms AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS card FROM scored
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) < 4, score DESC, term) AS card FROM scored
 )
 """
 
@@ -43,19 +43,30 @@ def _blank(sentence: str, term: str) -> str:
     return rf"regexp_replace({once}, '(?i)(^|[^\p{{L}}])' || {term} || '($|[^\p{{L}}])', '\1____\2', 'g')"
 
 
-@query("""
+LIST = """
 SELECT 'Note ' || doc_id::VARCHAR AS title, source AS subject, substr(text, 1, 80) AS description,
        TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * doc_id AS created
 FROM documents
-""")
-def list_notes(t):
-    notes = t("documents").select(
+"""
+
+
+def _notes(t):
+    return t("documents").select(
         F.concat(F.lit("Note "), F.col("doc_id").cast("string")).alias("title"),
         "source",
         "text",
-        F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id as int))").alias("created"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00' + doc_id * interval '1' minute").alias("created"),
     )
-    return op.list_notes(notes, "title", "source", "text", "created")
+
+
+@query(LIST)
+def list_notes(t):
+    return op.list_notes(_notes(t), "title", "source", "text", "created")
+
+
+@query(LIST + "WHERE source = 'src3'")
+def notes_of_subject(t):
+    return op.list_notes(_notes(t), "title", "source", "text", "created", only="src3")
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE contains(lower(text), 'license')")
@@ -117,15 +128,14 @@ def make_flashcards(t):
     return practice.make_flashcards(t.spread("documents", "doc_id"), "doc_id", "source", "text", 2)
 
 
-@query(KEY_TERMS + f"""
+QUIZ = f"""
 , vocabulary AS (
   SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY df DESC, term) AS rank,
          count(*) OVER (PARTITION BY lang) AS size,
          ntile(3) OVER (PARTITION BY lang ORDER BY df DESC, term) AS third
   FROM (
     SELECT lang, term, count(*) AS df
-    FROM (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM documents)
-    WHERE length(term) >= 4 GROUP BY lang, term
+    FROM (SELECT DISTINCT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS term FROM documents) GROUP BY lang, term
   )
 ), card AS (
   SELECT doc_id, source, lang, {_blank("sentence", "term")} AS question, term AS answer
@@ -135,16 +145,31 @@ def make_flashcards(t):
 ), options AS (
   SELECT p.doc_id, list_sort(list(v.term) || [any_value(p.answer)]) AS options
   FROM placed p, range(1, 4) r(step), vocabulary v
-  WHERE v.lang = p.lang AND v.rank = (p.rank - 1 + step) % p.size + 1 GROUP BY p.doc_id
+  WHERE step < p.size AND v.lang = p.lang AND v.rank = (p.rank - 1 + step) % p.size + 1 GROUP BY p.doc_id
 )
 SELECT doc_id, source AS topic, CASE third WHEN 1 THEN 'Easy' WHEN 2 THEN 'Medium' ELSE 'Hard' END AS difficulty,
        question, array_to_string(options, ' | ') AS options, list_position(options, answer)::BIGINT AS right_option
 FROM placed JOIN options USING (doc_id)
-""")
+"""
+
+
+@query(KEY_TERMS + QUIZ)
 def make_quiz(t):
     return practice.make_quiz(t.spread("documents", "doc_id"), "doc_id", "source", "text", "lang")
 
 
+# Key words are those of the chosen documents; difficulty is that of all words of the language.
+CHOSEN = KEY_TERMS.replace("FROM documents", "FROM chosen").replace(
+    "WITH pieces", "WITH chosen AS (SELECT * FROM documents WHERE source = 'src1'), pieces"
+)
+
+
+@query("SELECT * FROM (" + CHOSEN + QUIZ + ") WHERE difficulty = 'Easy' ORDER BY doc_id LIMIT 20")
+def quiz_of_topic(t):
+    docs = t.spread("documents", "doc_id")
+    return practice.make_quiz(docs, "doc_id", "source", "text", "lang", topic="src1", difficulty="Easy", n=20)
+
+
 @query(f"SELECT conv_id, turn, role, {_trim('text')} AS text FROM conversations WHERE length({_trim('text')}) > 0")
 def clean_transcript(t):
     return op.clean_transcript(t("conversations"))

@@ -121,3 +121,22 @@ def weekly_report(t):
     studied = rows.where(F.col("kind") != "purchase")
     marked = rows.where(F.col("kind") == "purchase").withColumn("correct", F.col("minutes") >= 15)
     return op.weekly_report(studied, marked, "learner_id", "ts", "minutes")
+
+
+@query("""
+WITH weekly AS (
+  SELECT l_suppkey AS learner_id, date_trunc('week', l_shipdate)::DATE AS period,
+         count(*) FILTER (l_returnflag = 'A') AS correct, count(*) AS total
+  FROM lineitem GROUP BY ALL
+), rated AS (SELECT *, round(100.0 * correct / total, 4) AS accuracy FROM weekly),
+lagged AS (
+  SELECT *, CASE WHEN lag(period) OVER w = period - 7 THEN lag(accuracy) OVER w END AS previous
+  FROM rated WINDOW w AS (PARTITION BY learner_id ORDER BY period)
+)
+SELECT *, round(accuracy - previous, 4) AS change_points FROM lagged
+""")
+def accuracy_change(t):
+    answers = t("lineitem").select(
+        F.col("l_suppkey").alias("learner_id"), F.col("l_shipdate").alias("ts"), (F.col("l_returnflag") == "A").alias("correct")
+    )
+    return op.accuracy_change(answers, "learner_id", "ts")

@@ -8,7 +8,7 @@ from scholium.operators import search as op
 DIMENSIONS = 64
 
 
-@query(r"""
+RANKED = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS words FROM documents),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(len(words)) AS mean FROM w),
 asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM benchmark),
@@ -26,11 +26,21 @@ hits AS (
 SELECT * FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS position FROM hits
 ) WHERE position <= 10
-""")
+"""
+
+
+@query(RANKED)
 def ranked_search(t):
     return op.ranked_search(t.spread("documents"), t("benchmark"), "doc_id", "text", "item_id", "text", 10)
 
 
+@query(RANKED)
+def ranked_search_in_slabs(t):
+    """The way taken for more queries than are broadcast."""
+    docs, asked = t.spread("documents"), t("benchmark")
+    return op.ranked_search(docs, asked, "doc_id", "text", "item_id", "text", 10, broadcast_entries=0)
+
+
 CENTRES = """
 WITH centre AS (
   SELECT label::BIGINT AS query_id, list(mean ORDER BY i) AS embedding FROM (
@@ -58,15 +68,25 @@ def semantic_search(t):
     return op.semantic_search(t("embeddings").select("vec_id", "embedding"), _centres(t), 10)
 
 
+@query(CENTRES + "SELECT * FROM best")
+def semantic_search_in_slabs(t):
+    """The way taken for more queries than are broadcast."""
+    return op.semantic_search(t("embeddings").select("vec_id", "embedding"), _centres(t), 10, broadcast_queries=0)
+
+
 @query(CENTRES + """
 , used AS (
   SELECT query_id, position, text,
-         sum(length(text)) OVER (PARTITION BY query_id ORDER BY position) AS used
+         sum(length(text) + 2) OVER (PARTITION BY query_id ORDER BY position) - 2 AS used
   FROM best JOIN documents ON doc_id = vec_id
 )
-SELECT query_id, count(*) AS n_chunks, max(used)::BIGINT AS chars,
-       string_agg(text, chr(10) || chr(10) ORDER BY position) AS context
-FROM used WHERE used <= 4000 GROUP BY query_id
+, packed AS (
+  SELECT query_id, count(*) AS n_chunks, max(used)::BIGINT AS chars,
+         string_agg(text, chr(10) || chr(10) ORDER BY position) AS context
+  FROM used WHERE used <= 4000 GROUP BY query_id
+)
+SELECT query_id, coalesce(n_chunks, 0) AS n_chunks, coalesce(chars, 0) AS chars, coalesce(context, '') AS context
+FROM centre LEFT JOIN packed USING (query_id)
 """)
 def retrieve_context(t):
     return op.retrieve_context(t("embeddings").select("vec_id", "embedding"), t("documents"), _centres(t), 10, 4000)

@@ -6,13 +6,16 @@ import numpy as np
 
 
 class BestPerQuery:
-    """The ``k`` highest scores per query seen so far; equal scores go to the lower id."""
+    """The ``k`` highest scores per query seen so far; equal scores go to the lower id.
+
+    Ids are numbers or texts, of one kind.
+    """
 
     def __init__(self, k: int, digits: int):
         self.k = k
         self.digits = digits
         self.queries = np.empty(0, dtype=np.int64)
-        self.ids = np.empty(0, dtype=np.int64)
+        self.ids: np.ndarray | None = None
         self.scores = np.empty(0, dtype=np.float64)
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -26,7 +29,7 @@ class BestPerQuery:
             keep = ~np.isnan(rounded)
         row, query = np.nonzero(keep)
         queries = np.concatenate([self.queries, query])
-        all_ids = np.concatenate([self.ids, ids[row]])
+        all_ids = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
         all_scores = np.concatenate([self.scores, rounded[row, query]])
         order = np.lexsort((all_ids, -all_scores, queries))
         queries = queries[order]

@@ -187,7 +187,12 @@ def focus_sessions(df: DataFrame, key: str, ts: str, measure: str, gap: timedelt
     learner is bounded by the calendar, and the merge happens before the shuffle.
     """
     width = int(gap.total_seconds() * 1_000_000)
-    instant = F.unix_micros(F.col(ts).cast("timestamp"))
+    # Counted without a zone, as silence is: a change of clocks would shift the cells.
+    since = F.col(ts).cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    instant = F.extract(F.lit("DAY"), since).cast("bigint") * 86_400_000_000 + (
+        (F.extract(F.lit("HOUR"), since) * 3600 + F.extract(F.lit("MINUTE"), since) * 60).cast("bigint") * 1_000_000
+        + (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
+    )
     cells = (
         df.groupBy(key, F.floor(instant / width).alias("_cell"))
         .agg(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from typing import Any
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def leaderboard(df: DataFrame, key: str, points: str, k: int) -> DataFrame:
     )
 
 
-def own_rank(df: DataFrame, key: str, points: str, learner: int) -> DataFrame:
+def own_rank(df: DataFrame, key: str, points: str, learner: Any) -> DataFrame:
     """Rank of one learner: one more than the number of learners with more points."""
     totals = points_total(df, key, points)
     mine = totals.where(F.col(key) == learner)
@@ -92,7 +94,7 @@ def own_rank(df: DataFrame, key: str, points: str, learner: int) -> DataFrame:
         )
         .where(F.col("points").isNotNull())
         .select(
-            F.lit(learner).cast("bigint").alias(key),
+            F.lit(learner).cast(df.schema[key].dataType).alias(key),
             "points",
             (F.col("_above") + 1).alias("rank"),
             rank_label(F.col("_above") + 1).alias("rank_label"),

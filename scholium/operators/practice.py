@@ -12,20 +12,21 @@ from scholium.functions.text import blank_out
 from scholium.operators.terms import document_frequency, rounded, sentence_rows, sentence_words, with_idf
 from scholium.plans import number_rows, top_per_key, weighted_lookup
 
-# Shorter words make poor answers.
+# Shorter words make poor answers; they are taken where a document has no others.
 ANSWER_LENGTH = 4
 LEVELS = ("Easy", "Medium", "Hard")
 DISTRACTORS = 3
 
 
 def key_terms(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """The ``k`` words of each document with the highest tf-idf and their first sentence's position."""
-    uses = sentence_words(docs, doc_id, text).where(F.length("term") >= ANSWER_LENGTH)
+    """The ``k`` words of each document with the highest tf-idf, long ones first, and their first sentence's position."""
+    uses = sentence_words(docs, doc_id, text)
     counted = uses.groupBy(doc_id, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("pos"))
     scored = with_idf(counted, docs, doc_id, text).select(
         doc_id, "term", "pos", rounded(F.col("tf") * F.col("idf")).alias("score")
     )
-    return top_per_key(scored, [doc_id], [F.col("score").desc(), F.col("term")], k)
+    is_short = F.length("term") < ANSWER_LENGTH
+    return top_per_key(scored, [doc_id], [is_short, F.col("score").desc(), F.col("term")], k)
 
 
 def make_flashcards(
@@ -44,7 +45,7 @@ def make_flashcards(
 
 def ranked_vocabulary(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """Words of each language by falling document frequency, with rank, size and difficulty third."""
-    counted = document_frequency(docs, text, [lang], ANSWER_LENGTH)
+    counted = document_frequency(docs, text, [lang])
     ranked = number_rows(counted, [F.col("df").desc(), F.col("term")], [lang], "rank", "size")
     # Thirds as even as possible, the first ones taking the remainder.
     base, rest = F.floor(F.col("size") / 3), F.col("size") % 3
@@ -65,11 +66,11 @@ def make_quiz(
     difficulty: str | None = None,
     n: int | None = None,
 ) -> DataFrame:
-    """One cloze question per document with four options, one of them right.
+    """One cloze question per document that has a word, with four options, one of them right.
 
     The wrong options are the answer's neighbours in the language's frequency ranking, so they
-    are about as common; a language of fewer than four words has no questions. ``topic`` keeps documents of one title, ``difficulty`` a third of the
-    vocabulary, ``n`` the first questions by document.
+    are about as common; a language of fewer than four words has as many options as words. ``topic`` keeps documents
+    of one title, ``difficulty`` a third of the vocabulary, ``n`` the first questions by document.
     """
     chosen = docs if topic is None else docs.where(F.col(title) == topic)
     cards = make_flashcards(chosen, doc_id, title, text, 1, [lang])
@@ -84,7 +85,7 @@ def make_quiz(
     own = lambda c: F.max(F.when(F.col("_step") == 0, F.col(c)))
     choice = F.struct(own("difficulty").alias("difficulty"), F.sort_array(F.collect_list("term")).alias("options"))
     choices = (
-        offered.where(F.col("size") > DISTRACTORS)
+        offered.where(F.col("_step") < F.col("size"))
         .groupBy(lang, "_rank")
         .agg(own("term").alias("answer"), own("df").alias("df"), choice.alias("choice"))
         .drop("_rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.functions.columns import clamp_pct, percent, score_label
@@ -57,6 +57,28 @@ def quiz_accuracy(scores: DataFrame, key: str) -> DataFrame:
     )
 
 
+def accuracy_change(answers: DataFrame, key: str, ts: str, correct: str = "correct") -> DataFrame:
+    """Accuracy per learner and week, and its change in points against the week before.
+
+    A week without answers has no row, and the week that follows it no change.
+    """
+    weekly = answers.groupBy(key, week_of(ts).alias("period")).agg(
+        F.count_if(F.col(correct)).alias("correct"), F.count("*").alias("total")
+    )
+    weekly = weekly.withColumn("accuracy", percent("correct", "total"))
+    before = F.lag(F.struct("period", "accuracy")).over(Window.partitionBy(key).orderBy("period"))
+    previous = F.when(F.col("_before.period") == F.date_sub("period", 7), F.col("_before.accuracy"))
+    return weekly.withColumn("_before", before).select(
+        key,
+        "period",
+        "correct",
+        "total",
+        "accuracy",
+        previous.alias("previous"),
+        F.round(F.col("accuracy") - previous, 4).alias("change_points"),
+    )
+
+
 def quiz_history(scores: DataFrame, key: str, quiz: str, ts: str, k: int) -> DataFrame:
     """Last ``k`` quizzes per learner with their score text."""
     latest = top_per_key(scores, [key], [F.col(ts).desc(), F.col(quiz).desc()], k)

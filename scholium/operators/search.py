@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scholium.functions.kernels import BestPerQuery, unit_rows
 from scholium.functions.text import words
-from scholium.operators.terms import SCORE_DIGITS, rounded
-from scholium.plans import collect_bounded, salted_join, top_per_key
+from scholium.operators.terms import SCORE_DIGITS, document_frequency
+from scholium.plans import collect_bounded, top_per_key
 
 # Usual constants of the BM25 formula.
 K1, B = 1.2, 0.75
@@ -22,7 +23,11 @@ K1, B = 1.2, 0.75
 BROADCAST_QUERIES = 2048
 BROADCAST_ENTRIES = 200_000
 BROADCAST_HITS = 200_000
+# Between the texts of a context.
+SEPARATOR = "\n\n"
 SLAB_QUERIES = 1024
+# Most widths of query vectors.
+WIDTHS = 16
 BLOCK_NUMBERS = 4_000_000
 # Numbers held in one score matrix of a task.
 MATRIX_CELLS = 8_000_000
@@ -70,57 +75,111 @@ def ranked_search(
     k: int,
     broadcast_entries: int = BROADCAST_ENTRIES,
 ) -> DataFrame:
-    """BM25 top ``k`` documents for every query.
+    """BM25 top ``k`` documents for every query; equal scores go to the lower document.
 
-    Up to ``broadcast_entries`` (query, word) pairs go to every task: a task then scores its
-    documents against all queries and passes on the best ``k`` of each. More pairs are joined
-    with the postings by word.
+    Tasks score their documents against all queries and pass on the best ``k`` of each, so no pair of query and
+    document is ever a row. Up to ``broadcast_entries`` (query, word) pairs go to every task; of more, slabs of
+    queries meet blocks of documents. Both ways score, round and rank in the same kernel.
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(words(query_text))).alias("term"))
     entries = collect_bounded(asked, broadcast_entries)
     order = [F.col("score").desc(), F.col(doc_id)]
-    empty = queries.sparkSession.range(1).select(F.lit("").alias("term"))
+    schema = _hit_schema(queries, query_id, docs, doc_id)
     if entries is None:
-        postings = _postings(docs, asked.select("term").distinct().unionByName(empty), doc_id, text)
-        idf, impact = _impacts(postings)
-        hits = (
-            salted_join(postings, asked.join(idf, "term"), ["term"], [doc_id])
-            .groupBy(query_id, doc_id)
-            .agg(rounded(F.sum(impact)).alias("score"))
-        )
-        return top_per_key(hits, [query_id], order, k)
+        return top_per_key(_score_in_blocks(docs, asked, doc_id, text, query_id, k, schema), [query_id], order, k)
     names = sorted({row[0] for row in entries})
     terms = sorted({row[1] for row in entries})
+    empty = queries.sparkSession.range(1).select(F.lit("").alias("term"))
     numbered = queries.sparkSession.createDataFrame(list(enumerate(terms)), "no int, term string")
     postings = _postings(docs, F.broadcast(numbered.select("term").unionByName(empty)), doc_id, text)
     idf, impact = _impacts(postings)
     known = F.broadcast(idf.join(F.broadcast(numbered), "term"))
-    scored = postings.join(known, "term").select(
-        F.col(doc_id).cast("bigint").alias(doc_id), "no", impact.alias("impact")
-    )
+    scored = postings.join(known, "term").select(doc_id, "no", impact.alias("impact"))
     of_doc = scored.groupBy(doc_id).agg(F.collect_list("no").alias("no"), F.collect_list("impact").alias("impact"))
     number_of_term = {term: i for i, term in enumerate(terms)}
     number_of_query = {name: i for i, name in enumerate(names)}
     pairs = sorted((number_of_query[q], number_of_term[t]) for q, t in entries)
-    schema = _hit_schema(queries, query_id, doc_id)
     partial = _score_documents(of_doc, names, pairs, len(terms), k, schema)
     return top_per_key(partial, [query_id], order, k)
 
 
-def _hit_schema(queries: DataFrame, query_id: str, item_id: str) -> T.StructType:
+def _score_in_blocks(
+    docs: DataFrame, asked: DataFrame, doc_id: str, text: str, query_id: str, k: int, schema: T.StructType
+) -> DataFrame:
+    """Best documents per query and block; the words of a document stay together, so no word is a key of a join
+    with the corpus."""
+    split = docs.select(doc_id, words(text).alias("_words"))
+    n, length = split.agg(F.count("*").cast("double"), F.sum(F.size("_words")).cast("double")).first()
+    mean_length = (length or 0.0) / n if n else 0.0
+    df = document_frequency(docs, text).withColumnRenamed("df", "_df")
+    idf = F.log(1 + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    known = asked.join(df, "term").select(F.col(query_id).alias("_query"), "term", idf.alias("idf"))
+    slabs = max(1, -(-asked.select(query_id).distinct().count() // SLAB_QUERIES))
+    blocks = max(1, -(-int(length or 0) // BLOCK_NUMBERS))
+    left = split.select(doc_id, "_words", _place(doc_id, blocks).alias("_block"), _every(slabs).alias("_slab"))
+    right = known.select("_query", "term", "idf", _place("_query", slabs).alias("_slab"), _every(blocks).alias("_block"))
+
+    def best_of_block(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
+        best = BestPerQuery(k, SCORE_DIGITS)
+        names, query = np.unique(right_rows["_query"].to_numpy(), return_inverse=True)
+        terms, term = np.unique(right_rows["term"].to_numpy(), return_inverse=True)
+        weight = np.zeros(len(terms))
+        weight[term] = right_rows["idf"].to_numpy()
+        entries = np.stack([query, term], axis=1)[np.lexsort((term, query))]
+        number = {t: i for i, t in enumerate(terms)}
+        rows_at_once = max(1, MATRIX_CELLS // max(1, len(terms) + len(entries)))
+        for first in range(0, len(left_rows) if len(entries) else 0, rows_at_once):
+            part = left_rows.iloc[first : first + rows_at_once]
+            tf = np.zeros((len(part), len(terms)))
+            for row, used in enumerate(part["_words"]):
+                np.add.at(tf[row], [number[w] for w in used if w in number], 1)
+            size = part["_words"].map(len).to_numpy()[:, None]
+            impact = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_length))
+            best.offer(_query_sums(impact, entries, len(names)), _id_array(part[doc_id]))
+        ids = best.ids if best.ids is not None else np.empty(0)
+        return pd.DataFrame(dict(zip(schema.names, (names[best.queries], ids, best.scores), strict=True)))
+
+    return left.groupBy("_block", "_slab").cogroup(right.groupBy("_block", "_slab")).applyInPandas(best_of_block, schema)
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _place(name: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+
+def _id_array(ids) -> np.ndarray:
+    """Ids of a batch in a form that sorts: numbers, or texts of fixed width."""
+    values = ids.to_numpy(zero_copy_only=False) if isinstance(ids, pa.Array) else ids.to_numpy()
+    return values.astype(str) if values.dtype == object else values
+
+
+def _query_sums(weights: np.ndarray, entries: np.ndarray, n_queries: int) -> np.ndarray:
+    """(rows, queries) sums of the weights of each query's words; not-a-number where none occurs."""
+    asking, starts = np.unique(entries[:, 0], return_index=True)
+    sums = np.add.reduceat(weights[:, entries[:, 1]], starts, axis=1)
+    scores = np.full((len(weights), n_queries), np.nan)
+    scores[:, asking] = np.where(sums > 0, sums, np.nan)
+    return scores
+
+
+def _hit_schema(queries: DataFrame, query_id: str, items: DataFrame, item_id: str) -> T.StructType:
     return T.StructType(
         [
             T.StructField(query_id, queries.schema[query_id].dataType),
-            T.StructField(item_id, T.LongType()),
+            T.StructField(item_id, items.schema[item_id].dataType),
             T.StructField("score", T.DoubleType()),
         ]
     )
 
 
 def _best_rows(best: BestPerQuery, names: list, schema: T.StructType) -> Iterator[pa.RecordBatch]:
-    if len(best.ids):
-        columns = [pa.array(np.asarray(names)[best.queries]), pa.array(best.ids), pa.array(best.scores)]
-        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+    if best.ids is not None and len(best.ids):
+        kinds = [to_arrow_type(field.dataType) for field in schema.fields]
+        values = [[names[q] for q in best.queries], best.ids.tolist(), best.scores.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names=schema.names)
 
 
 def _score_documents(
@@ -131,7 +190,6 @@ def _score_documents(
 
     def best_of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_names, entries = shared.value
-        asking, starts = np.unique(entries[:, 0], return_index=True)
         rows_at_once = max(1, MATRIX_CELLS // max(1, n_terms + len(entries)))
         best = BestPerQuery(k, SCORE_DIGITS)
         for whole in batches:
@@ -141,10 +199,7 @@ def _score_documents(
                 row = np.repeat(np.arange(batch.num_rows), term_lists.value_lengths().to_numpy())
                 weights = np.zeros((batch.num_rows, n_terms))
                 weights[row, term_lists.flatten().to_numpy()] = batch.column(2).flatten().to_numpy()
-                sums = np.add.reduceat(weights[:, entries[:, 1]], starts, axis=1)
-                scores = np.full((batch.num_rows, len(query_names)), np.nan)
-                scores[:, asking] = np.where(sums > 0, sums, np.nan)
-                best.offer(scores, batch.column(0).to_numpy())
+                best.offer(_query_sums(weights, entries, len(query_names)), _id_array(batch.column(0)))
         yield from _best_rows(best, query_names, schema)
 
     return of_doc.mapInArrow(best_of_task, schema)
@@ -165,7 +220,7 @@ def _cosine_from_broadcast(chunks: DataFrame, names: list, matrix, k: int, width
             for first in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(first, rows_at_once)
                 vectors = unit_rows(_chunk_matrix(batch.column(1), width))
-                best.offer(vectors @ unit_queries.T, batch.column(0).to_numpy())
+                best.offer(vectors @ unit_queries.T, _id_array(batch.column(0)))
         yield from _best_rows(best, query_names, schema)
 
     return chunks.mapInArrow(best_of_task, schema)
@@ -176,8 +231,7 @@ def _cosine_in_blocks(chunks: DataFrame, queries: DataFrame, k: int, width: int,
     slabs = max(1, -(-queries.count() // SLAB_QUERIES))
     blocks = max(1, -(-chunks.count() * width // BLOCK_NUMBERS))
     chunk_id, vector = chunks.columns
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every, place = _every, _place
     left = chunks.select(chunk_id, vector, place(chunk_id, blocks).alias("_block"), every(slabs).alias("_slab"))
     right = queries.select(
         F.col(queries.columns[0]).alias("_query"),
@@ -193,9 +247,10 @@ def _cosine_in_blocks(chunks: DataFrame, queries: DataFrame, k: int, width: int,
             for start in range(0, len(left_rows), 8192):
                 part = left_rows.iloc[start : start + 8192]
                 vectors = unit_rows(np.stack(part[vector]).astype(np.float64))
-                best.offer(vectors @ unit_queries.T, part[chunk_id].to_numpy())
+                best.offer(vectors @ unit_queries.T, _id_array(part[chunk_id]))
         names = right_rows["_query"].to_numpy()[best.queries]
-        return pd.DataFrame(dict(zip(schema.names, (names, best.ids, best.scores), strict=True)))
+        ids = best.ids if best.ids is not None else np.empty(0)
+        return pd.DataFrame(dict(zip(schema.names, (names, ids, best.scores), strict=True)))
 
     return (
         left.groupBy("_block", "_slab").cogroup(right.groupBy("_block", "_slab")).applyInPandas(best_of_block, schema)
@@ -208,20 +263,25 @@ def _hits(
     """Best chunks per query, and whether their number is known to be small."""
     asked = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
     rows = collect_bounded(asked, most)
-    first = asked.first() if rows is None else (rows[0] if rows else None)
-    schema = _hit_schema(queries, query_id, chunk_id)
-    if first is None:
-        return queries.sparkSession.createDataFrame([], schema).withColumn("position", F.lit(1).cast("bigint")), True
-    width = len(first[1])
-    # Vectors of another width cannot be compared; no element may be missing.
-    comparable = chunks.where((F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull()))
-    comparable = comparable.select(F.col(chunk_id).cast("bigint").alias(chunk_id), vector)
-    if rows is not None:
-        same_width = [row for row in rows if len(row[1]) == width]
-        matrix = np.array([row[1] for row in same_width], dtype=np.float64)
-        partial = _cosine_from_broadcast(comparable, [row[0] for row in same_width], matrix, k, width, schema)
+    schema = _hit_schema(queries, query_id, chunks, chunk_id)
+    if rows is None:
+        found = collect_bounded(asked.select(F.size(vector).alias("width")).distinct(), WIDTHS)
+        if found is None:
+            raise ValueError(f"query vectors of more than {WIDTHS} widths")
+        widths = sorted(row["width"] for row in found)
     else:
-        partial = _cosine_in_blocks(comparable, asked.where(F.size(vector) == width), k, width, schema)
+        widths = sorted({len(row[1]) for row in rows})
+    partial = queries.sparkSession.createDataFrame([], schema)
+    # Only vectors of one width can be compared, and no element may be missing.
+    for width in widths:
+        comparable = chunks.where((F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull())).select(chunk_id, vector)
+        if rows is None:
+            hits = _cosine_in_blocks(comparable, asked.where(F.size(vector) == width), k, width, schema)
+        else:
+            same = [row for row in rows if len(row[1]) == width]
+            matrix = np.array([row[1] for row in same], dtype=np.float64)
+            hits = _cosine_from_broadcast(comparable, [row[0] for row in same], matrix, k, width, schema)
+        partial = hits if width == widths[0] else partial.unionByName(hits)
     hits = top_per_key(partial, [query_id], [F.col("score").desc(), F.col(chunk_id)], k)
     return hits, rows is not None and len(rows) * k <= BROADCAST_HITS
 
@@ -256,15 +316,26 @@ def retrieve_context(
     query_id: str = "query_id",
     vector: str = "embedding",
 ) -> DataFrame:
-    """Texts of the best hits per query in rank order, as many as fit in ``budget`` characters."""
+    """Texts of the best hits per query in rank order, as many as fit in ``budget`` characters, separators included.
+
+    Every query has a row: where not even the first text fits, or nothing was found, its context is empty.
+    """
     hits, few = _hits(chunks, queries, k, chunk_id, query_id, vector, BROADCAST_QUERIES)
     found = hits.withColumnRenamed(chunk_id, doc_id)
     texts = docs.select(doc_id, text).join(F.broadcast(found) if few else found, doc_id)
     so_far = Window.partitionBy(query_id).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    packed = texts.withColumn("_used", F.sum(F.length(text)).over(so_far)).where(F.col("_used") <= budget)
+    used = F.sum(F.length(text) + len(SEPARATOR)).over(so_far) - len(SEPARATOR)
+    packed = texts.withColumn("_used", used).where(F.col("_used") <= budget)
     ordered = F.sort_array(F.collect_list(F.struct("position", text)))
-    return packed.groupBy(query_id).agg(
+    contexts = packed.groupBy(query_id).agg(
         F.count("*").alias("n_chunks"),
         F.max("_used").alias("chars"),
-        F.array_join(F.transform(ordered, lambda hit: hit[text]), "\n\n").alias("context"),
+        F.array_join(F.transform(ordered, lambda hit: hit[text]), SEPARATOR).alias("context"),
+    )
+    every = queries.select(query_id).distinct()
+    return every.join(contexts, query_id, "left").select(
+        query_id,
+        F.coalesce("n_chunks", F.lit(0).cast("bigint")).alias("n_chunks"),
+        F.coalesce("chars", F.lit(0).cast("bigint")).alias("chars"),
+        F.coalesce("context", F.lit("")).alias("context"),
     )

@@ -57,7 +57,9 @@ def fill_from(
     Facts that need no lookup get a second key that matches nothing and spreads them evenly.
     """
     side = F.when(F.col(value).isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*spread_by), F.lit(1000)))
-    found = others.select(*on, F.col(value).alias("_found"), F.lit(0).alias("_side"))
+    # Always 0, but not for the optimizer, which would take a constant out of the join's keys.
+    zero = F.pmod(F.xxhash64(*on), F.lit(1))
+    found = others.select(*on, F.col(value).alias("_found"), zero.cast("int").alias("_side"))
     joined = facts.withColumn("_side", side.cast("int")).join(found, [*on, "_side"], "left")
     return joined.withColumn(value, F.coalesce(value, "_found")).drop("_found", "_side")
 

@@ -13,8 +13,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scholium.operators.rows import drop_blank
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def daily_activity(stream: DataFrame, key: str, ts: str, measure: str, delay: str) -> DataFrame:
     """Running total per learner and day; write it in update mode."""
@@ -34,9 +32,8 @@ def dedup(stream: DataFrame, ts: str, ids: Sequence[str], delay: str) -> DataFra
 def sessions(stream: DataFrame, key: str, ts: str, measure: str, gap: str, delay: str) -> DataFrame:
     """Sessions by silence longer than ``gap``, emitted once the watermark has passed their end.
 
-    Sessions of a partition are merged before the shuffle, so a busy learner sends few rows.
+    The sinks start it so that sessions of a partition are merged before the shuffle; a busy learner sends few rows.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         stream.withWatermark(ts, delay)
         .groupBy(key, F.session_window(ts, gap))
@@ -86,7 +83,6 @@ def milestones(stream: DataFrame, key: str, ts: str, lengths: Sequence[int], del
     Days come out of a windowed count only when the watermark has closed them, so they reach
     the state in order whatever the order of arrival, and as one row per learner and day.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     days = (
         stream.withWatermark(ts, delay)
         .groupBy(key, F.window(ts, "1 day"))

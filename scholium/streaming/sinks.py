@@ -12,29 +12,44 @@ from pyspark.sql.streaming import StreamingQuery
 from scholium.plans import scratch_dir
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 @contextmanager
-def _partition_per_core(spark: SparkSession) -> Iterator[None]:
-    """A new stream fixes its number of state partitions for good, and adaptive execution does not
-    merge them; give it one per core of the cluster instead of the setting meant for batch jobs."""
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+def _stream_settings(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Settings a stream takes over when it starts; the session has its own again afterwards.
+
+    State lives in RocksDB instead of the executors' heap, and sessions are merged before they are shuffled. A new
+    stream fixes its number of state partitions for good: ``partitions``, by default one per core of the moment.
+    """
+    wanted = {
+        "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism),
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
-def append_parquet(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def append_parquet(stream: DataFrame, path: str, checkpoint: str, once: bool = True, partitions: int | None = None) -> StreamingQuery:
     """Append finished rows; the file sink's log makes a repeated batch harmless."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
-    with _partition_per_core(stream.sparkSession):
+    with _stream_settings(stream.sparkSession, partitions):
         return writer.start(path)
 
 
-def write_versions(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def write_versions(stream: DataFrame, path: str, checkpoint: str, once: bool = True, partitions: int | None = None) -> StreamingQuery:
     """Keep the changed rows of each batch in a folder of their own.
 
     A repeated batch overwrites its own folder only, and no batch rewrites older data.
@@ -46,7 +61,7 @@ def write_versions(stream: DataFrame, path: str, checkpoint: str, once: bool = T
     writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     if once:
         writer = writer.trigger(availableNow=True)
-    with _partition_per_core(stream.sparkSession):
+    with _stream_settings(stream.sparkSession, partitions):
         return writer.start()
 
 
@@ -58,6 +73,15 @@ def latest_versions(spark: SparkSession, path: str, keys: Sequence[str]) -> Data
     return latest.select(*keys, "_v.*")
 
 
+def merge_versions(spark: SparkSession, path: str, keys: Sequence[str], into: str) -> None:
+    """Write the last row per key as one version that replaces all so far; a reader changes over to ``into``.
+
+    Its version number is that of the last batch, so batches written to ``into`` afterwards win over it.
+    """
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    latest_versions(spark, path, keys).write.mode("overwrite").parquet(f"{into}/batch={last}")
+
+
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """Process all available input of an append-mode stream once and read the result back."""
     spark = stream.sparkSession

@@ -96,9 +96,38 @@ def test_context_stays_within_budget(spark):
     chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
     texts = spark.createDataFrame([(1, "aaaa"), (2, "bbbb"), (3, "c")], "doc_id bigint, text string")
     asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<float>")
-    got = search.retrieve_context(chunks, texts, asked, 3, 8).first()
-    assert (got.n_chunks, got.chars, got.context) == (2, 8, "aaaa\n\nbbbb")
-    assert search.retrieve_context(chunks, texts, asked, 3, 3).count() == 0
+    got = search.retrieve_context(chunks, texts, asked, 3, 10).first()
+    assert (got.n_chunks, got.chars, got.context) == (2, 10, "aaaa\n\nbbbb")
+    assert search.retrieve_context(chunks, texts, asked, 3, 9).first().n_chunks == 1
+    assert tuple(search.retrieve_context(chunks, texts, asked, 3, 3).first()) == ("q", 0, 0, "")
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_queries_of_any_width_are_answered(spark, most):
+    chunks = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0, 0.0])], "vec_id bigint, embedding array<float>")
+    rows = [("narrow", [1.0, 0.0]), ("wide", [0.0, 1.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        asked = spark.createDataFrame(order, "query_id string, embedding array<float>")
+        got = search.semantic_search(chunks, asked, 3, broadcast_queries=most).collect()
+        assert sorted((r.query_id, r.vec_id) for r in got) == [("narrow", 1), ("wide", 2)]
+
+
+@pytest.mark.parametrize("kind, name", [("int", int), ("bigint", int), ("string", lambda i: f"d{i:03}")])
+def test_both_ways_to_rank_give_the_same_rows_and_types(spark, kind, name):
+    texts = [(name(i), f"alpha {'beta ' * (i % 5)} gamma{i % 7}") for i in range(60)]
+    docs = spark.createDataFrame(texts, f"d {kind}, text string").repartition(4)
+    asked = spark.createDataFrame([("q1", "beta gamma3"), ("q2", "alpha"), ("q3", "nothing"), ("q4", "")], "q string, text string")
+    few, many = (search.ranked_search(docs, asked, "d", "text", "q", "text", 5, broadcast_entries=n) for n in (100, 0))
+    assert few.dtypes == many.dtypes and dict(few.dtypes)["d"] == kind
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert few.count() == 10
+
+
+def test_documents_of_short_words_have_a_card_and_a_question(spark):
+    frame = spark.createDataFrame([(1, "t", "a big cat sat. it ran", "en"), (2, "t", "un", "fr")], "doc_id int, topic string, text string, lang string")
+    assert practice.make_flashcards(frame, "doc_id", "topic", "text", 1).count() == 2
+    quiz = {r.doc_id: r for r in practice.make_quiz(frame, "doc_id", "topic", "text", "lang").collect()}
+    assert len(quiz[1].options.split(" | ")) == 4 and quiz[2].options == "un" and quiz[2].right_option == 1
 
 
 def test_summary_keeps_text_order(docs):

@@ -100,6 +100,24 @@ def test_sessions_keep_a_gap_equal_to_the_limit(spark):
     assert [r.n for r in got] == [3, 1, 1]
 
 
+def test_sessions_do_not_follow_a_change_of_clocks(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    data = [(1, datetime(2024, 3, 10, 1, 40), 1.0), (1, datetime(2024, 3, 10, 3, 9), 1.0), (2, datetime(1969, 12, 31, 23, 59), 1.0)]
+    frame = spark.createDataFrame(data, "learner int, ts timestamp_ntz, minutes double")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = activity.focus_sessions(frame, "learner", "ts", "minutes", timedelta(minutes=70)).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted((r.learner, r.n) for r in got) == [(1, 1), (1, 1), (2, 1)]
+
+
+def test_own_rank_of_a_text_key(spark):
+    board = spark.createDataFrame([("Ann", 5), ("Bo", 9)], "name string, points int")
+    got = goals.own_rank(board, "name", "points", "Ann").first()
+    assert (got["name"], got.rank) == ("Ann", 2)
+
+
 def test_sessions_of_a_busy_learner(spark):
     chance = random.Random(5)
     start = datetime(2024, 5, 1)

@@ -8,6 +8,8 @@ from __spark_entry__ import entry
 from scholium.bindings import ORACLES, QUERIES
 from tests.oracle import differences
 
+# Queries that may find nothing on the smallest tables.
+EMPTY: set[str] = set()
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -25,4 +27,4 @@ def test_every_query_has_sql():
 def test_same_rows_as_sql(spark, name):
     problems, rows, _ = differences(spark, FOLDER, name, QUERIES, ORACLES)
     assert not problems
-    assert rows > 0 or name == "weekly_leaderboard"
+    assert rows > 0 or name in EMPTY

@@ -103,3 +103,26 @@ def test_stream_equals_batch(spark):
         .agg(F.round(F.sum("value"), 2).alias("total"), F.count("*").alias("n"))
     )
     assert live.exceptAll(batch).count() == 0 and batch.exceptAll(live).count() == 0
+
+
+def test_settings_of_the_session_stay_as_they_were(spark, inbox, tmp_path):
+    names = [
+        "spark.sql.shuffle.partitions",
+        "spark.sql.streaming.stateStore.providerClass",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition",
+    ]
+    before = [spark.conf.get(n, None) for n in names]
+    stream = feeds.sessions(inbox([(1, day(1), 7, 1.0)]), "learner", "ts", "minutes", "4 hours", "1 day")
+    state = str(tmp_path / "state")
+    sinks.append_parquet(stream, str(tmp_path / "rows"), state, partitions=3).awaitTermination()
+    assert [spark.conf.get(n, None) for n in names] == before
+    assert len([f for f in os.listdir(f"{state}/state/0") if f.isdigit()]) == 3
+
+
+def test_merged_versions_read_like_all_of_them(spark, tmp_path):
+    for batch, rows in enumerate([[(1, "a"), (2, "b")], [(1, "c")], [(3, "d")]]):
+        spark.createDataFrame(rows, "k int, v string").write.parquet(str(tmp_path / f"all/batch={batch}"))
+    sinks.merge_versions(spark, str(tmp_path / "all"), ["k"], str(tmp_path / "new"))
+    assert os.listdir(tmp_path / "new") == ["batch=2"]
+    read = lambda folder: sorted(map(tuple, sinks.latest_versions(spark, str(tmp_path / folder), ["k"]).collect()))
+    assert read("new") == read("all") == [(1, "c"), (2, "b"), (3, "d")]
