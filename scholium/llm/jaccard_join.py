@@ -31,7 +31,7 @@ from scholium.plans.skew import SHARES
 
 WORDS = 5
 PERCENT = 75
-STEP_BYTES = 1 << 23  # text whose shingles travel together
+STEP_BYTES = 1 << 22  # text whose shingles travel together
 STEP_DOCS = 60_000
 NAME_BYTES = 8  # of a set's name, to tell classes apart while shingles are counted
 RANGE_SHINGLES = 1 << 22  # shingles of one hash range, about
@@ -40,12 +40,20 @@ LEADERS, STAR_ROUNDS = 4, 3
 # Hashes that more classes have than COMMON stand at the end of the order, at most the MOST_COMMON of them by count.
 COMMON, MOST_COMMON = 4, 200_000
 TILE = 256
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
+SLICE_ROWS = 512  # rows whose sets a task has in memory at a time
+LEAST_RANGE_BITS = 6
 
 _words: dict[bytes, int] = {}
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WORDS)], dtype=np.uint64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
 def _word_hash(word: bytes) -> int:
     found = _words.get(word)
     if found is None:
@@ -122,7 +130,7 @@ def _named_sets(rows: DataFrame) -> DataFrame:
     """_id, _set (null without words), _n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(t) for t in filled(batch.column(1)).to_pylist()]
             names = pa.array([set_name(s) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(list(map(len, sets)), pa.int64())], names=out.names)
@@ -169,7 +177,7 @@ def _ranges(rows: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step: dict[bytes, np.ndarray] = {}
         size = 0
-        for batch in batches:
+        for batch in _slices(batches):
             for text in filled(batch.column(1)).to_pylist():
                 hashes = shingle_set(text)
                 if not len(hashes):
@@ -219,7 +227,7 @@ def _sets_of(rows: DataFrame, owners: DataFrame) -> DataFrame:
     out = schema(("_set", "binary"), ("hashes", "binary"), ("bits", "binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             names, hashes, bits = [], [], []
             for wanted, text in zip(batch.column(0).to_pylist(), filled(batch.column(1)).to_pylist()):
                 found = shingle_set(text)
@@ -239,7 +247,7 @@ def _common_hashes(sets: DataFrame) -> np.ndarray:
     """The hashes that most classes have, the rarest first; of bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             raw = b"".join(batch.column(0).to_pylist())
             tokens, counts = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], names=["token", "count"])
@@ -258,7 +266,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, places = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             parts: list[list[np.ndarray]] = [[], [], []]
             for cid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = np.frombuffer(raw, np.int64)
@@ -283,7 +291,7 @@ def _smallest(sets: DataFrame) -> DataFrame:
     most = FIRST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             firsts = [np.frombuffer(raw, np.int64)[:most] for raw in batch.column(1).to_pylist()]
             cids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in firsts])
             tokens = np.concatenate([np.zeros(0, np.int64), *firsts])
@@ -297,7 +305,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     small = sets.select("cid", "n", "bits")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             keep = []
             for n, m, x, y in zip(*[batch.column(i).to_pylist() for i in range(2, 6)]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -308,7 +316,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             mask = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sides], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
@@ -412,7 +420,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
         "classes",
     )
     count, total = members.agg(F.count("*"), F.sum("_n")).first()
-    bits = max(0, int((total or 0) // RANGE_SHINGLES).bit_length())
+    bits = max(LEAST_RANGE_BITS, int((total or 0) // RANGE_SHINGLES).bit_length())
     shared = _shared_counts(_ranges(rows, bits)).groupBy("_name").agg(F.sum("_shared").alias("shared"))
     name = F.conv(F.hex(F.substring("_set", 1, NAME_BYTES)), 16, -10).cast("long")
     wanted = classes.withColumn("_name", name).join(shared, "_name").where(100 * F.col("shared") >= PERCENT * F.col("n")).select("_set", "_h")
@@ -464,7 +472,7 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(t) for t in filled(batch.column(at)).to_pylist()]
             names = pa.array([set_name(s) if len(s) else b"" for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, names], names=own.names)
