@@ -2,7 +2,9 @@
 
 A code of 64 bits is cut into m segments. Two codes at distance d agree in some segment up to d // m bits, so codes
 that no segment finds within radius r are further away than m * (r + 1) - 1. The radius grows shell by
-shell. A query stops when its last neighbour, whose distance is verified on the whole codes, lies within what is covered.
+shell and, within a shell, by segments: with the first a of them at radius r, distances up to m * r + a - 1 are covered. A
+query stops when its last neighbour, whose distance is verified on the whole codes, lies within what is covered, and
+never probes more segments than that takes.
 
 Equal codes share one index entry with their smallest ids, and equal queries one search: a code that holds a third
 of all rows is one row here.
@@ -10,6 +12,7 @@ of all rows is one row here.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +36,7 @@ def sign_code(vector: Column) -> Column:
 
 def segment_widths(codes: int) -> list[int]:
     """As many segments as leave about one code per segment value, of at most 24 bits each."""
-    target = min(24, max(8, codes.bit_length() - 1))
+    target = min(24, max(8, round(math.log2(max(1, codes)))))
     count = -(-BITS // target)
     return [BITS // count + (i < BITS % count) for i in range(count)]
 
@@ -88,9 +91,12 @@ def nearest_codes(
     parts = F.array(*[F.struct(F.lit(i).alias("segment"), part.alias("value")) for i, part in enumerate(_segments(F.col("code"), widths))])
     entries = index.select("code", "least_id", F.size("ids").alias("n"), F.inline(parts))
     asked = cut_lineage(rows.where("asks").select(F.col("code").alias("q")).distinct())
-    open_queries, best, done = asked, None, []
+    open_queries, best, done = asked.withColumn("last", F.lit(None).cast("int")), None, []
     for radius in range(max(widths) + 1):
-        probes = open_queries.select("q", F.inline(_probes(widths, radius)))
+        # As many segments as cover the last neighbour known so far.
+        needed = F.least(F.coalesce(F.col("last") - count * radius + 1, F.lit(count)), F.lit(count))
+        asking_now = open_queries.withColumn("segments", needed)
+        probes = asking_now.select("q", F.inline(_probes(widths, radius)))
         met = probes.join(entries, ["segment", "value"])
         apart = F.col("q").bitwiseXOR(F.col("code"))
         fresh = met.where(_first_found(apart, widths, F.col("segment"), radius)).select(
@@ -101,19 +107,20 @@ def nearest_codes(
         # Rows up to the keep-th, and the distance of that one.
         ahead = F.sum("n").over(Window.partitionBy("q").orderBy("distance", "least_id", "code"))
         reach = found.withColumn("_ahead", ahead).groupBy("q").agg(
-            F.min(F.when(F.col("_ahead") >= keep, F.col("distance"))).alias("last"),
+            F.min(F.when(F.col("_ahead") >= keep, F.col("distance"))).cast("int").alias("now"),
             F.count("*").alias("seen"),
         )
-        covered = count * (radius + 1) - 1
-        settled = (F.col("last") <= covered) | (F.col("seen") >= codes)
-        finished = reach.where(settled).select("q")
-        done.append(found.join(finished, "q", "left_semi"))
-        open_queries = cut_lineage(open_queries.join(finished, "q", "left_anti"))
+        covered = F.col("segments") + (count * radius - 1)
+        settled = F.coalesce(F.col("now") <= covered, F.lit(False)) | F.coalesce(F.col("seen") >= codes, F.lit(False))
+        state = asking_now.join(reach, "q", "left").withColumn("settled", settled)
+        state = cut_lineage(state.select("q", F.col("now").alias("last"), "settled"))
+        done.append(found.join(state.where("settled"), "q", "left_semi"))
+        open_queries = state.where("not settled").select("q", "last")
         if open_queries.isEmpty():
             break
         best = found.join(open_queries, "q", "left_semi")
     else:
-        done.append(best.join(open_queries, "q", "left_semi"))
+        done.append(best)
     near = done[0]
     for more in done[1:]:
         near = near.unionByName(more)
@@ -133,13 +140,14 @@ def nearest_codes(
 
 
 def _probes(widths: list[int], radius: int) -> Column:
-    """Every segment value of ``q`` with ``radius`` bits flipped, as an array of (segment, value)."""
+    """Values of the first ``segments`` segments of ``q`` with ``radius`` bits flipped, as an array of (segment, value)."""
     by_segment = []
     for i, part in enumerate(_segments(F.col("q"), widths)):
         masks = [sum(1 << b for b in bits) for bits in combinations(range(widths[i]), radius)]
         if masks:
             flips = F.from_json(F.lit(str(masks)), "array<int>")  # folded to one literal
-            by_segment.append(_flipped(flips, part, i))
+            flipped = _flipped(flips, part, i)
+            by_segment.append(F.when(F.col("segments") > i, flipped).otherwise(F.slice(flipped, 1, 0)))
     return F.concat(*by_segment)
 
 
