@@ -2,23 +2,27 @@
 
 The byte model is a context trie of depth ``ORDER``. A byte is coded in the longest context that has been seen; a byte
 that is new there costs an escape and is coded one order lower, without the bytes that the longer context would have
-coded (symbol exclusion). Escapes are estimated by the number of different bytes of a context (method C). The trie is
-kept as one sorted table of grams; a lower order's counts are sums of it. The text is scored with A-Z
-lower-cased, followed by an end mark, a byte that UTF-8 does not use.
-
-The word model is add-one-tenth over all words of the corpus, whose table has no bound. Documents are dealt into
-blocks of bounded size; every block asks for its own words once, and the counts come back to the block.
+coded (symbol exclusion). Escapes are estimated by the number of different bytes of a context (method C). The text is
+scored with A-Z lower-cased, followed by an end mark, a byte that UTF-8 does not use.
+
+The word model is add-one-tenth over all words of the corpus. Neither its table nor that of the grams has a bound.
+Documents are dealt into blocks of bounded size; every block asks for its own words and grams once, and the counts of
+the words and the probabilities of the grams come back to the block. The table of all grams stays in Spark, dealt by
+the last two bytes of the context: whoever holds all grams of such a pair can sum up every order from two on, and
+the counts of byte pairs, at most 65,536, are sent to all for the lower ones.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +36,8 @@ PAD = bytes([END] * ORDER)
 _BYTE = np.uint64(8)
 STEP_BYTES = 1 << 21  # text that is turned into grams at a time
 BLOCK_BYTES = 1 << 24
-# Nodes of the deepest order that the trie may have. Beyond it the rarest grams are left to the lower orders.
-TRIE_GRAMS = 3_000_000
+PART_GRAMS = 100_000  # distinct grams from which a task computes probabilities at a time, unless byte pairs have more
+LEAST_BUCKETS = 64
 HELD_GRAMS = 1_000_000  # grams a task holds unsorted
 WORD_ENTRIES = 800_000  # (block, word) pairs a task holds before it sends them on
 
@@ -71,22 +75,27 @@ def _tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[heads], np.add.reduceat(counts, heads)
 
 
+def _count(steps: Iterator[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of all texts, sorted, with their counts."""
+    keys, counts, parts = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    for step in steps:
+        grams, begins, ends = _grams(step)
+        inside = np.ones(len(grams), bool)
+        for k in range(ORDER):
+            inside[ends[:-1] + k] = False  # what lies between two texts belongs to neither
+        parts.append(np.unique(grams[inside], return_counts=True))
+        if sum(len(p[0]) for p in parts) > HELD_GRAMS:
+            keys, counts = _tally(np.concatenate([keys, *[p[0] for p in parts]]), np.concatenate([counts, *[p[1] for p in parts]]))
+            parts = []
+    return _tally(np.concatenate([keys, *[p[0] for p in parts]]), np.concatenate([counts, *[p[1] for p in parts]]))
+
+
 def count_grams(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """gram (long), n (long): how often each byte followed each context, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, parts = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-        for batch in batches:
-            for step in _steps([t.encode().lower() for t in filled(batch.column(0)).to_pylist()]):
-                grams, begins, ends = _grams(step)
-                inside = np.ones(len(grams), bool)
-                for k in range(ORDER):
-                    inside[ends[:-1] + k] = False  # what lies between two texts belongs to neither
-                parts.append(np.unique(grams[inside], return_counts=True))
-                if sum(len(p[0]) for p in parts) > HELD_GRAMS:
-                    keys, counts = _tally(np.concatenate([keys, *[p[0] for p in parts]]), np.concatenate([counts, *[p[1] for p in parts]]))
-                    parts = []
-        keys, counts = _tally(np.concatenate([keys, *[p[0] for p in parts]]), np.concatenate([counts, *[p[1] for p in parts]]))
+        lowered = ([t.encode().lower() for t in filled(batch.column(0)).to_pylist()] for batch in batches)
+        keys, counts = _count(step for texts in lowered for step in _steps(texts))
         for i in range(0, len(keys), 200_000):
             columns = [pa.array(keys[i : i + 200_000].astype(np.int64)), pa.array(counts[i : i + 200_000].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=["gram", "n"])
@@ -138,11 +147,20 @@ class HashTable:
             at, slot = at[go], (slot[go] + 1) & (len(self.keys) - 1)
         return found
 
+    def values_of(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; not a number where it is missing, as what lies between two texts is."""
+        slot = self.find(keys)
+        return np.where(slot >= 0, self.values[slot], np.nan)
+
 
 class Trie:
-    """The byte model, from the counts of its deepest grams."""
+    """The byte model, from the counts of its deepest grams.
+
+    With ``pairs``, the counts of each byte (column) after each byte (row) of the whole corpus, the grams may be those
+    of some last two context bytes only, as long as they are all grams of these.
+    """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray | None = None):
         order = np.argsort(grams)
         grams, counts = grams[order].astype(np.uint64), counts[order].astype(np.float64)
         # Level d holds contexts of d bytes: grams of d + 1 bytes, counts, and per context its total and variety.
@@ -150,6 +168,9 @@ class Trie:
         for d in range(ORDER - 1, -1, -1):
             keys, n = self.tables[d + 1]
             self.tables[d] = _tally(keys & np.uint64((1 << 8 * (d + 1)) - 1), n)
+            if d == 1 and pairs is not None:
+                seen = np.flatnonzero(pairs)
+                self.tables[d] = seen.astype(np.uint64), pairs.ravel()[seen].astype(np.float64)
         self.contexts = {d: self._contexts(d) for d in range(1, ORDER + 1)}
         keys, n = self.tables[0]
         self.flat = np.zeros(256)
@@ -229,48 +250,114 @@ class Trie:
         out[open_] += np.log10(np.where(inside, known, new))
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each whole text with its end."""
-        out = []
-        for step in _steps(texts):
-            grams, begins, ends = _grams(step)
-            bounds = np.stack([begins, ends], axis=1).ravel()
-            logs = np.append(self.log10(grams), 0.0)
-            out.append(np.add.reduceat(logs, bounds)[::2])
-        return np.concatenate(out) if out else np.zeros(0)
-
-
-def learn_grams(docs: DataFrame, text_column: str = "text", capacity: int = TRIE_GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """The deepest grams with their counts, from all rows; at most ``capacity`` of them, the most frequent."""
-    path = scratch_dir(docs.sparkSession, "grams")
-    count_grams(docs, text_column).write.parquet(path)
-    table = docs.sparkSession.read.parquet(path)
-    if table.count() > capacity:
+
+def text_scores(texts: list[bytes], log10: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """log10 of the probability of each whole text with its end, from that of its grams."""
+    out = []
+    for step in _steps(texts):
+        grams, begins, ends = _grams(step)
+        bounds = np.stack([begins, ends], axis=1).ravel()
+        logs = np.append(log10(grams), 0.0)
+        out.append(np.add.reduceat(logs, bounds)[::2])
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def learn_grams(docs: DataFrame, text_column: str = "text", capacity: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The deepest grams with their counts, from all rows, on the driver; with ``capacity`` only the most frequent.
+
+    For a ``Trie`` of a small corpus in one place. ``score_corpus`` does not use it.
+    """
+    table = count_grams(docs, text_column)
+    if capacity is not None:
         table = table.orderBy(F.desc("n"), "gram").limit(capacity)
     rows = table.toArrow()
     return rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.int64)
 
 
-_compiled: dict[int, Trie] = {}
+def _pack(numbers: np.ndarray) -> bytes:
+    """64-bit numbers with equal bytes of all of them together, compressed."""
+    return zlib.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def _pack_sorted(numbers: np.ndarray) -> bytes:
+    return _pack(np.diff(numbers, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed), dtype=np.uint64)
+
+
+def _bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
+
+
+def _block_grams(blocked: DataFrame, buckets: int) -> DataFrame:
+    """_block, _bucket, _grams, _counts: the grams of each block, packed by a hash, with their counts in its training rows."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        lowered = [t.encode().lower() for t in rows.column("_text").to_pylist()]
+        learn = rows.column("_learn").to_pylist()
+        keys, counts = _count(_steps([t for t, x in zip(lowered, learn) if x]))
+        others, _ = _count(_steps([t for t, x in zip(lowered, learn) if not x]))
+        keys, counts = _tally(np.concatenate([keys, others]), np.concatenate([counts, np.zeros(len(others), np.int64)]))
+        bucket = _bucket_of(keys, buckets)
+        order = np.argsort(bucket, kind="stable")
+        names, begins = np.unique(bucket[order], return_index=True)
+        slices = np.split(order, begins[1:])
+        return pa.table(
+            {
+                "_block": pa.array([key[0].as_py()] * len(names), pa.int32()),
+                "_bucket": pa.array(names, pa.int32()),
+                "_grams": pa.array([_pack_sorted(keys[at]) for at in slices], pa.binary()),
+                "_counts": pa.array([_pack(counts[at]) for at in slices], pa.binary()),
+            }
+        )
+
+    kinds = schema(("_block", "int"), ("_bucket", "int"), ("_grams", "binary"), ("_counts", "binary"))
+    return blocked.select("_block", "_learn", "_text").groupBy("_block").applyInArrow(run, kinds)
+
+
+def _sum_grams(asked: DataFrame) -> DataFrame:
+    """gram, n: every gram of the corpus once, with its count in all training rows (0 where only held-out rows have it)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys = np.concatenate([_unpack_sorted(p) for p in rows.column("_grams").to_pylist()])
+        counts = np.concatenate([_unpack(p).astype(np.int64) for p in rows.column("_counts").to_pylist()])
+        keys, counts = _tally(keys, counts)
+        return pa.table({"gram": pa.array(keys.astype(np.int64)), "n": pa.array(counts)})
+
+    return asked.select("_bucket", "_grams", "_counts").groupBy("_bucket").applyInArrow(run, schema(("gram", "long"), ("n", "long")))
+
+
+def _gram_logs(table: DataFrame, parts: int, buckets: int, shared) -> DataFrame:
+    """_bucket, gram, log: of every gram the log10 of the probability of its last byte after the others."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        grams, n = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+        logs = Trie(grams[n > 0], n[n > 0], shared.value).log10(grams)
+        return pa.table({"_bucket": pa.array(_bucket_of(grams, buckets), pa.int32()), "gram": pa.array(grams.astype(np.int64)), "log": pa.array(logs)})
 
-def _trie(shared) -> Trie:
-    """Built once per Python worker."""
-    if shared.bid not in _compiled:
-        _compiled.clear()
-        _compiled[shared.bid] = Trie(*shared.value)
-    return _compiled[shared.bid]
+    pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    part = F.pmod(F.xxhash64(pair), F.lit(parts)).alias("_part")
+    return table.select(part, "gram", "n").groupBy("_part").applyInArrow(run, schema(("_bucket", "int"), ("gram", "long"), ("log", "double")))
 
 
-class _Shared:
-    """A broadcast with a number by which workers know it again."""
+def _answers(asked: DataFrame, logs: DataFrame) -> DataFrame:
+    """_block, _grams, _logs: what each block asked for, with the log10 of each gram."""
 
-    def __init__(self, broadcast, bid: int):
-        self._broadcast, self.bid = broadcast, bid
+    def run(wanted: pa.Table, known: pa.Table) -> pa.Table:
+        keys, values = known.column("gram").to_numpy().astype(np.uint64), known.column("log").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        found = [values[np.searchsorted(keys, _unpack_sorted(p))].tobytes() for p in wanted.column("_grams").to_pylist()]
+        return pa.table([wanted.column("_block"), wanted.column("_grams"), pa.array(found, pa.binary())], names=["_block", "_grams", "_logs"])
 
-    @property
-    def value(self):
-        return self._broadcast.value
+    kinds = schema(("_block", "int"), ("_grams", "binary"), ("_logs", "binary"))
+    return asked.select("_block", "_bucket", "_grams").groupBy("_bucket").cogroup(logs.groupBy("_bucket")).applyInArrow(run, kinds)
 
 
 def _block_words(blocked: DataFrame) -> DataFrame:
@@ -313,12 +400,23 @@ def score_corpus(
     rows = docs.select(
         F.col(id_column).alias("_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_text")
     )
-    grams = learn_grams(rows.where(~is_held), "_text")
-    shared = _Shared(spark.sparkContext.broadcast(grams), hash((len(grams[0]), int(grams[1].sum()), id(grams))))
     sizes = rows.agg(F.sum(F.octet_length("_text")), F.sum(F.when(is_held, 0).otherwise(1))).first()
     blocks, train_rows = max(1, -(-(sizes[0] or 0) // BLOCK_BYTES)), sizes[1] or 0
     block = F.pmod(F.xxhash64("_id", F.octet_length("_text")), F.lit(blocks)).cast("int")
     blocked = rows.select(block.alias("_block"), (~is_held).alias("_learn"), "_id", "_text").repartition("_block")
+    buckets = max(LEAST_BUCKETS, 2 * blocks)
+    path = scratch_dir(spark, "asked")
+    _block_grams(blocked, buckets).write.parquet(path)
+    asked = spark.read.parquet(path)
+    path = scratch_dir(spark, "grams")
+    _sum_grams(asked).write.parquet(path)
+    grams = spark.read.parquet(path)
+    last_two = F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")
+    ends = grams.groupBy(last_two).agg(F.sum("n").alias("n"), F.count("*").alias("grams")).collect()  # at most 65,536 rows
+    pairs = np.zeros((256, 256))
+    pairs.ravel()[[row["pair"] for row in ends]] = [row["n"] for row in ends]
+    parts = max(LEAST_BUCKETS, -(-sum(row["grams"] for row in ends) // PART_GRAMS))
+    gram_logs = _answers(asked, _gram_logs(grams, parts, buckets, spark.sparkContext.broadcast(pairs)))
     path = scratch_dir(spark, "words")
     # A word has at most one row per block here, whatever its frequency.
     by_word = _block_words(blocked).groupBy("_word").agg(F.sum("_n").alias("_c"), F.collect_set("_block").alias("_blocks"))
@@ -328,15 +426,17 @@ def score_corpus(
     n, distinct = (n or 0) + train_rows, distinct + (train_rows > 0)
     norm = math.log10(n + 0.1 * (distinct + 1))
     end_log = math.log10(train_rows + 0.1)
-    wanted = words.select(F.explode("_blocks").alias("_block"), "_word", "_c")
+    wanted = words.select(F.explode("_blocks").alias("_block"), "_word", "_c").unionByName(gram_logs, allowMissingColumns=True)
     id_type = field_type(rows, "_id")
     out = schema(
         (id_column, id_type), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"),
         ("base_score", "double"), ("score", "double"),
     )
 
-    def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        trie = _trie(shared)
+    def score(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        counts, grams = wanted.filter(pc.is_valid(wanted.column("_word"))), wanted.filter(pc.is_valid(wanted.column("_grams")))
+        keys = np.concatenate([_unpack_sorted(p) for p in grams.column("_grams").to_pylist()])
+        byte_logs = HashTable.build(keys, np.concatenate([np.frombuffer(p) for p in grams.column("_logs").to_pylist()]))
         logs = np.log10(counts.column("_c").to_numpy() + 0.1)
         of = dict(zip(counts.column("_word").to_pylist(), logs.tolist()))
         lowered = [t.encode().lower() for t in texts.column("_text").to_pylist()]
@@ -354,7 +454,7 @@ def score_corpus(
                 pa.array(n_known, pa.int64()),
                 pa.array([n] * len(lowered), pa.int64()),
                 pa.array(base, pa.float64()),
-                pa.array(trie.scores(lowered), pa.float64()),
+                pa.array(text_scores(lowered, byte_logs.values_of), pa.float64()),
             ],
             names=out.names,
         )

@@ -100,6 +100,20 @@ def test_capacity_keeps_a_proper_model(spark):
     assert (10 ** trie.log10(keys)).sum() == pytest.approx(1.0)
 
 
+def test_no_gram_of_a_large_corpus_is_left_out(spark):
+    # 4,000 texts of 1,000 random letters: 3.6 million different grams to learn from, nearly all of them seen once.
+    letters = np.random.default_rng(4).integers(ord("a"), ord("z") + 1, (4000, 1000)).astype(np.uint8)
+    texts = [row.tobytes() for row in letters]
+    path = str(ppm.scratch_dir(spark, "random"))
+    spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(path)
+    parts = [ppm._grams([t])[0] for i, t in enumerate(texts) if not held(i)]
+    whole = Trie(*np.unique(np.concatenate(parts), return_counts=True))
+    assert whole.direct.filled.sum() > 3_000_000
+    got = {r.doc_id: r.score for r in score_corpus(spark.read.parquet(path), 10, 0).select("doc_id", "score").collect()}
+    for i in (*range(40), 3998, 3999):
+        assert got[i] == pytest.approx(whole.log10(ppm._grams([texts[i]])[0]).sum(), rel=1e-9)
+
+
 def test_hash_table_finds_all_and_nothing_else():
     random = np.random.default_rng(1)
     keys = np.unique(random.integers(0, 1 << 40, 5000).astype(np.uint64))
