@@ -24,7 +24,7 @@ from scholium.llm.labelled import first_by_hash
 from scholium.llm.texts import field_type, filled, schema
 
 # How HTML treats its elements.
-HIDDEN = "script style noscript template head title svg iframe object select option button textarea canvas".split()
+HIDDEN = set("script style noscript template head title svg iframe textarea canvas".split())  # never article text
 RAW = ["script", "style", "textarea", "title", "noscript", "iframe"]
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
@@ -33,8 +33,13 @@ INLINE = set(
 )
 # Elements that end an open paragraph or item of their own kind.
 CLOSES_OWN = {"p": "p", "li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-# Elements that never hold article text.
-NEVER = set("nav footer aside form menu dialog".split()) | set(HIDDEN)
+# What may stand in head; anything else ends it, as its end tag may be left out.
+IN_HEAD = set("base link meta title style script noscript template".split())
+# Elements that are not the article in the weak labels; elsewhere the labeller decides.
+ASIDE_TAGS = set("nav footer aside form menu dialog object select option button".split())
+# Of these, elements that may be left open, or stand around a whole page.
+WRAPPERS = set("nav footer aside form menu dialog".split())
+ARTICLE_TAGS = {"article", "main"}
 # Class and id words of parts that are not the article.
 ASIDE_WORDS = set(
     "ad ads advert advertisement banner breadcrumb comment comments consent cookie cookies disqus footer gdpr login "
@@ -69,7 +74,7 @@ class Block:
 
 
 def parse_blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order. Unclosed and stray tags are forgiven."""
+    """Blocks with text, in page order. Unclosed and stray tags are forgiven, wrappers of the page left out."""
     stack: list[tuple[str, tuple[str, ...]]] = []
     blocks: list[Block] = []
     parts: list[str] = []
@@ -86,6 +91,8 @@ def parse_blocks(page: str) -> list[Block]:
     for token in _TOKEN.finditer(page):
         kind = token.lastgroup
         if kind == "text":
+            if stack and stack[-1][0] == "head" and not token["text"].isspace():
+                stack.pop()
             parts.append(token["text"])
             if links:
                 linked += len(token["text"])
@@ -95,6 +102,9 @@ def parse_blocks(page: str) -> list[Block]:
                 parts.append("")
             continue
         tag = token["tag"].lower()
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD and not token["close"]:
+            flush()
+            stack.pop()
         if tag == "br":
             parts.append("\n")
         if tag in VOID:
@@ -120,11 +130,41 @@ def parse_blocks(page: str) -> list[Block]:
         if not attrs.endswith("/"):
             stack.append((tag, words))
     flush()
+    return see_through(blocks)
+
+
+def see_through(blocks: list[Block]) -> list[Block]:
+    """Without the wrappers that stand around the article: they tell nothing about what is inside.
+
+    Such are a form around an article or main element or around more than half of the page's text, and a nav, footer,
+    aside, menu or dialog around both, which was left open. Of each kind only the outermost is looked at.
+    """
+    held: dict[Path, list] = {}
+    wraps: list[list[int]] = []
+    for block in blocks:
+        tags = [tag for tag, _ in block.path]
+        wraps.append([tags.index(tag) for tag in WRAPPERS.intersection(tags)])
+        for i in wraps[-1]:
+            inside = held.setdefault(block.path[: i + 1], [0, False])
+            inside[0] += len(block.text)
+            inside[1] |= not ARTICLE_TAGS.isdisjoint(tags[i + 1 :])
+    if not held:
+        return blocks
+    half = sum(len(b.text) for b in blocks) / 2
+    clear = {path for path, (size, article) in held.items() if size > half and article or path[-1][0] == "form" and (size > half or article)}
+    for block, at in zip(blocks, wraps):
+        gone = {i for i in at if block.path[: i + 1] in clear}
+        if gone:
+            block.path = tuple(part for i, part in enumerate(block.path) if i not in gone)
     return blocks
 
 
-def never_article(path: Path) -> bool:
-    return any(tag in NEVER for tag, _ in path)
+def hidden(path: Path) -> bool:
+    return any(tag in HIDDEN for tag, _ in path)
+
+
+def aside_part(path: Path) -> bool:
+    return any(tag in ASIDE_TAGS or tag in HIDDEN or any(w in ASIDE_WORDS for w in words) for tag, words in path)
 
 
 def _bucket(text: str, size: int) -> int:
@@ -337,9 +377,7 @@ def weak_labels(blocks: list[Block]) -> np.ndarray | None:
     """1 inside an article or main element and outside all aside parts; None where a page marks no article."""
     marked = np.zeros(len(blocks))
     for i, block in enumerate(blocks):
-        inside = any(tag in ("article", "main") for tag, _ in block.path)
-        aside = never_article(block.path) or any(w in ASIDE_WORDS for _, words in block.path for w in words)
-        marked[i] = inside and not aside
+        marked[i] = any(tag in ARTICLE_TAGS for tag, _ in block.path) and not aside_part(block.path)
     return marked if marked.any() else None
 
 
@@ -394,7 +432,7 @@ def train_html(pages: DataFrame, id_column: str = "page_id", html_column: str =
 
 
 def main_text(blocks: list[Block], probabilities: np.ndarray) -> str:
-    kept = [b.text for b, p in zip(blocks, probabilities) if p >= 0.5 and not never_article(b.path)]
+    kept = [b.text for b, p in zip(blocks, probabilities) if p >= 0.5 and not hidden(b.path)]
     return "\n\n".join(kept)
 
 

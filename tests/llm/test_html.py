@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 
 from scholium.llm.html_blocks import (
     HIDDEN_SIZE, INPUT_SIZE, Labeller, _backward, _forward, block_vectors, extract_text, main_text, parse_blocks, train_html,
-    train_labeller, training_pages,
+    train_labeller, training_pages, weak_labels,
 )
 from scholium.llm.queries import LLM_QUERIES
 from tests.llm.frames import clashing
@@ -51,6 +51,29 @@ def test_blocks():
     assert [b.text for b in parse_blocks("<" * 2000)] == ["<" * 2000]
 
 
+def test_pages_without_end_of_head_in_a_form_or_behind_an_open_part():
+    pages = pq.read_table(f"{FOLDER}/pages.parquet").column("html").to_pylist()
+    model = train_labeller(training_pages(pages))
+
+    def text(page):
+        blocks = parse_blocks(page)
+        assert weak_labels(blocks) is not None
+        return main_text(blocks, model.probabilities([block_vectors(blocks)])[0])
+
+    changes = {
+        "head": lambda p: re.sub("</head>", "", p),
+        "head and body": lambda p: re.sub("</head>|</?body[^>]*>", "", p),
+        "form": lambda p: re.sub("(<body[^>]*>)", r"\1<form id='aspnetForm'>", p).replace("</body>", "</form></body>"),
+        "open form": lambda p: re.sub("(<body[^>]*>)", r"\1<form>", p),
+        "open nav": lambda p: p.replace("</nav>", ""),
+    }
+    for name, change in changes.items():
+        changed = [change(p) for p in pages[:40]]
+        assert changed != pages[:40], name
+        right = sum(text(c) == article(p) for c, p in zip(changed, pages))
+        assert right >= 38, (name, right)
+
+
 def test_gradients_like_differences():
     random = np.random.default_rng(3)
     model = Labeller.fresh(1)
