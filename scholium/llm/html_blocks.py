@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from scholium.llm.labelled import first_by_hash
 from scholium.llm.texts import field_type, filled, schema
+from scholium.plans import scratch_dir
 
 # How HTML treats its elements.
 HIDDEN = set("script style noscript template head title svg iframe textarea canvas".split())  # never article text
@@ -230,11 +231,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Labeller:
-    """Weights of the two directions and of the output."""
+    """Weights of the two directions and of the output; ``taught`` is false where no page marked an article."""
 
     forward: dict[str, np.ndarray] = field(default_factory=dict)
     backward: dict[str, np.ndarray] = field(default_factory=dict)
     out: np.ndarray = field(default_factory=lambda: np.zeros(2 * HIDDEN_SIZE + 1))
+    taught: bool = True
 
     @staticmethod
     def fresh(seed: int) -> Labeller:
@@ -421,14 +423,41 @@ def training_pages(pages: list[str], seed: int = 5) -> list[tuple[np.ndarray, np
     return out
 
 
+def teaching_pages(pages: DataFrame) -> DataFrame:
+    """_id, _digest: of each id, one page (by the smallest hash of its text) that marks an article."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [weak_labels(parse_blocks(page)) is not None for page in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(marks, pa.bool_())) for c in batch.columns[:2]], names=["_id", "_digest"])
+
+    # Without such a tag there is nothing to parse.
+    likely = pages.where(F.col("_html").rlike("(?i)<(article|main)")).select("_id", F.xxhash64("_html").alias("_digest"), "_html")
+    marked = likely.mapInArrow(run, schema(("_id", field_type(pages, "_id")), ("_digest", "long")))
+    return marked.groupBy("_id").agg(F.min("_digest").alias("_digest"))
+
+
 def train_html(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", sample: int = SAMPLE_PAGES) -> Labeller:
-    """A labeller trained on at most ``sample`` pages, picked by a hash of their id."""
-    filled_pages = pages.where(F.col(html_column).isNotNull() & F.col(id_column).isNotNull())
-    ids = first_by_hash(filled_pages.select(F.col(id_column).alias("_id")).distinct(), "_id", sample, filled_pages.count())
-    texts = filled_pages.select(F.col(id_column).alias("_id"), F.col(html_column).cast("string").alias("_html"))
+    """A labeller trained on at most ``sample`` of the pages that mark their article, picked by a hash of their id.
+
+    Where no page does, the labeller is not taught, and ``extract_text`` goes by the rule of ``rule_odds``.
+    """
+    texts = pages.select(F.col(id_column).alias("_id"), F.col(html_column).cast("string").alias("_html")).where("_id IS NOT NULL AND _html IS NOT NULL")
+    path = scratch_dir(pages.sparkSession, "teaching")
+    teaching_pages(texts).write.parquet(path)
+    marked = pages.sparkSession.read.parquet(path)
+    chosen = first_by_hash(marked, "_id", sample, marked.count())
     # At most one page of each picked id.
-    rows = texts.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min("_html").alias("_html")).orderBy("_id").collect()
-    return train_labeller(training_pages([row["_html"] for row in rows]))
+    picked = texts.withColumn("_digest", F.xxhash64("_html")).join(F.broadcast(chosen), ["_id", "_digest"])
+    rows = picked.groupBy("_id").agg(F.min("_html").alias("_html")).orderBy("_id").collect()
+    model = train_labeller(training_pages([row["_html"] for row in rows]))
+    model.taught = bool(rows)
+    return model
+
+
+def rule_odds(blocks: list[Block]) -> np.ndarray:
+    """Without a taught labeller: all but the parts whose tags or class words tell that they are not the article."""
+    return np.array([float(not aside_part(block.path)) for block in blocks])
 
 
 def main_text(blocks: list[Block], probabilities: np.ndarray) -> str:
@@ -439,7 +468,7 @@ def main_text(blocks: list[Block], probabilities: np.ndarray) -> str:
 def extract_text(pages: DataFrame, model: Labeller, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, text, n_chars.
 
-    A page without article blocks, and one whose html is null or empty, has the empty text. Ids and urls may be null
+    Where no page taught the labeller, ``rule_odds`` decides. A page without article blocks, and one whose html is null or empty, has the empty text. Ids and urls may be null
     or repeat; other columns are not read.
     """
     rows = pages.select(F.col(id_column).alias("_id"), F.col(url_column).alias("_url"), F.col(html_column).cast("string").alias("_html"))
@@ -449,7 +478,8 @@ def extract_text(pages: DataFrame, model: Labeller, id_column: str = "page_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parsed = [parse_blocks(page) for page in filled(batch.column(2)).to_pylist()]
-            odds = shared.value.probabilities([block_vectors(blocks) for blocks in parsed])
+            model = shared.value
+            odds = model.probabilities([block_vectors(b) for b in parsed]) if model.taught else [rule_odds(b) for b in parsed]
             texts = [main_text(blocks, p) for blocks, p in zip(parsed, odds)]
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=names)

@@ -5,8 +5,8 @@ import numpy as np
 import pyarrow.parquet as pq
 
 from scholium.llm.html_blocks import (
-    HIDDEN_SIZE, INPUT_SIZE, Labeller, _backward, _forward, block_vectors, extract_text, main_text, parse_blocks, train_html,
-    train_labeller, training_pages, weak_labels,
+    HIDDEN_SIZE, INPUT_SIZE, Labeller, _backward, _forward, block_vectors, extract_text, main_text, parse_blocks,
+    teaching_pages, train_html, train_labeller, training_pages, weak_labels,
 )
 from scholium.llm.queries import LLM_QUERIES
 from tests.llm.frames import clashing
@@ -74,6 +74,30 @@ def test_pages_without_end_of_head_in_a_form_or_behind_an_open_part():
         assert right >= 38, (name, right)
 
 
+def test_few_teaching_pages_among_many(spark):
+    pages = pq.read_table(f"{FOLDER}/pages.parquet").column("html").to_pylist()
+    bare = "<body><nav><p>menu</p></nav><div class='x'><p>No article is marked here.</p></div></body>"
+    # 120 of 6,000 rows teach; one id has 3,000 rows, of which only some teach.
+    rows = [(i, "u", pages[i]) for i in range(119)] + [(i, "u", bare) for i in range(1000, 3880)]
+    rows += [(7000, "u", bare)] * 3000 + [(7000, "u", pages[119])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = df.selectExpr("page_id AS _id", "html AS _html")
+    assert {r._id for r in teaching_pages(texts).collect()} == {*range(119), 7000}
+    model = train_html(df)
+    blocks = [parse_blocks(p) for p in pages[120:]]
+    odds = model.probabilities([block_vectors(b) for b in blocks])
+    right = sum(main_text(b, o) == article(p) for b, o, p in zip(blocks, odds, pages[120:]))
+    assert model.taught and right >= 0.95 * len(blocks)
+
+
+def test_rule_where_no_page_teaches(spark):
+    page = "<nav><p>menu</p></nav><div class='x'><p>The text.</p><script>no</script></div><div class='comments'>me too</div>"
+    df = spark.createDataFrame([(1, "u", page), (2, "v", "plain")], "page_id long, url string, html string")
+    model = train_html(df)
+    assert not model.taught
+    assert {r.page_id: r.text for r in extract_text(df, model).collect()} == {1: "The text.", 2: "plain"}
+
+
 def test_gradients_like_differences():
     random = np.random.default_rng(3)
     model = Labeller.fresh(1)
