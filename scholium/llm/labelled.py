@@ -39,7 +39,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     """At most ``per_label`` documents of each label, picked by a hash of the id from all labelled training rows.
 
     Both tables have ``doc_id``; ``train`` is a condition on it. Rows without a label are left out, and
-    ids that carry both labels too.
+    ids that carry both labels too. Of an id with several texts the smallest is taken.
     """
     marked = (
         labels.where(train & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
@@ -55,7 +55,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     ]
     chosen = picks[0].unionByName(picks[1])  # at most 2 * per_label rows
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_label").collect())
+    # One text of each picked id, however many rows repeat it.
+    single = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    rows = sorted(single.select("doc_id", "text", "_label").collect())
     y = np.array([row["_label"] for row in rows], dtype=np.int64)
     weights = np.array([totals[v] / max(1, int((y == v).sum())) for v in y], dtype=np.float64)
     return Sample([row["text"] for row in rows], y, weights)

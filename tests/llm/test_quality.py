@@ -1,4 +1,6 @@
-from scholium.llm.labelled import fold_of
+from pyspark.sql import functions as F
+
+from scholium.llm.labelled import fold_of, labelled_sample
 from scholium.llm.quality import score_quality, train_quality
 from scholium.llm.queries import LLM_QUERIES
 from tests.llm.frames import ROWS, clashing, documents
@@ -26,3 +28,11 @@ def test_awkward_rows(spark):
         assert len(scored) == len(ROWS) and all(0 <= r.score <= 1 for r in scored)
         assert len({r.score for r in scored if r.doc_id == 3}) == 1
     assert score_quality(documents(spark, []), model).collect() == []
+
+
+def test_one_text_of_each_sampled_id(spark):
+    docs = documents(spark, [(1, "b")] * 500 + [(1, "a"), (2, "c"), (3, "d"), (4, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, keep int")
+    sample = labelled_sample(docs, labels, "keep", F.lit(True), 10)
+    assert sample.texts == ["a", "c", "d", ""] and list(sample.labels) == [1, 1, 0, 0]
+    assert list(sample.weights) == [1.0, 1.0, 1.0, 1.0]
