@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from scholium.llm import settings
 from scholium.llm.bpe import encode_texts
+from scholium.llm.byte_bpe import encode_bytes
 from scholium.llm.exact_dedup import exact_dedup
+from scholium.llm.fill_middle import fill_in_middle, fill_in_middle_sql, restore_texts
 from scholium.llm.hamming import nearest_codes, nearest_codes_sql
 from scholium.llm.html_blocks import extract_text, train_html
 from scholium.llm.jaccard_join import similar_documents
@@ -97,3 +99,16 @@ def op8_ppm(t: Tables) -> DataFrame:
 @bound()
 def op10_jaccard(t: Tables) -> DataFrame:
     return similar_documents(t("documents"))
+
+
+@bound(fill_in_middle_sql("documents"))
+def op12_fill_middle(t: Tables) -> DataFrame:
+    whole = restore_texts(fill_in_middle(t("documents")))
+    digests = [F.sha2(name, 256).alias(f"{name}_sha256") for name in ("output", "restored")]
+    return whole.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@bound()
+def op13_byte_bpe(t: Tables) -> DataFrame:
+    coded = encode_bytes(t("documents"), settings.byte_ranks(), settings.BYTE_PATTERN)
+    return coded.select("doc_id", "n_tokens", *[F.sha2(name, 256).alias(f"{name}_sha256") for name in ("ids", "decoded")])

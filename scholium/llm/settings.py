@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 
 from scholium.llm.bpe import read_definition
+from scholium.llm.byte_bpe import read_ranks
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_RANKS, BYTE_PATTERN = "byte_bpe_multi_50k.tiktoken", public_tokenizers.PATTERN
 
 # Shares of the mix: the largest source is held back, two are doubled, all others share the rest.
 MIX = {"src0": 4.0, "src1": 8.0, "src2": 8.0, "src3": 2.0}
@@ -20,3 +22,7 @@ PPM_FOLDS, PPM_HELD_OUT = 10, 0
 
 def vocabulary() -> str:
     return read_definition(public_tokenizers.path(VOCABULARY))
+
+
+def byte_ranks() -> bytes:
+    return read_ranks(public_tokenizers.path(BYTE_RANKS))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -9,6 +12,9 @@ from pyspark.sql import types as T
 
 from scholium.plans import scratch_dir
 
+# Text that a task works on at a time, but for a single longer one.
+SLICE_BYTES = 1 << 22
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder: no lineage, and no broadcast that a plan would hold on to."""
@@ -43,3 +49,15 @@ def filled(column: pa.Array) -> pa.Array:
 def lowered(column: pa.Array) -> pa.Array:
     """Texts with A-Z lower-cased, null as the empty text; other letters stay as they are."""
     return pc.ascii_lower(filled(column))
+
+
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in runs whose texts (column ``at``) have at most ``most`` bytes together; a longer text is a run alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
