@@ -87,8 +87,7 @@ def quiz_history(scores: DataFrame, key: str, quiz: str, ts: str, k: int) -> Dat
 
 def quiz_progress(answers: DataFrame, sizes: DataFrame, quiz: str, order: Sequence[Column]) -> DataFrame:
     """``Question i / n`` for each answer of a quiz and ``Completed c / n`` for the quiz so far."""
-    placed = number_rows(answers, order, [quiz], "question", "completed")
-    sized = placed.join(sizes.select(quiz, "size"), quiz, "left")
+    sized = number_rows(answers, order, [quiz], "question", "completed", lookup=sizes.select(quiz, "size"))
     label = lambda word, n: F.concat(
         F.lit(f"{word} "), F.col(n).cast("string"), F.lit(" / "), F.col("size").cast("string")
     )

@@ -1,23 +1,42 @@
 """Row numbers and next rows over ordered groups of any size.
 
-A plain window hands a whole group to one task. Here the rows are range-partitioned on
-(group, order), so a large group is cut into several ordered slices; only one small row per
+A plain window hands a whole group to one task. That is right for groups that fit in one; rows of larger ones are
+range-partitioned on (group, order), so that such a group is cut into several ordered slices, and only one small row per
 slice travels between them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholium.plans.durable import cut_lineage
-from scholium.plans.skew import SHARES, is_small, split_frequent
+from scholium.plans.skew import is_small
 
 # monotonically_increasing_id() keeps the partition number above this many bits.
 _ROW_BITS = 33
+# A group of more bytes is cut into slices; up to so many of these are broadcast.
+GROUP_BYTES = 64 << 20
+MOST_LARGE = 200_000
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row. Only texts and arrays need to be read for this."""
+    fixed, sizes = 0, []
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(column), F.lit(0)))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
+            sizes.append(8 * F.coalesce(F.greatest(F.size(column), F.lit(0)), F.lit(0)))
+        fixed += 8
+    total = F.lit(fixed).cast("bigint")
+    for size in sizes:
+        total = total + size
+    return total
 
 
 def number_rows(
@@ -26,42 +45,67 @@ def number_rows(
     group: Sequence[str] = (),
     position: str = "position",
     size: str | None = None,
+    lookup: DataFrame | None = None,
+    always_slices: bool = False,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, and the group's size if asked for.
 
-    ``order`` should decide every pair of rows; ties fall in an arbitrary order. Rows are written
-    once (range partition bounds are sampled, so a recomputed partition could differ).
+    ``order`` should decide every pair of rows; ties fall in an arbitrary order. One partial count finds the groups
+    above ``GROUP_BYTES``: their rows are written once and numbered slice by slice, all others by one window. Without
+    ``group`` the whole table is such a group, and with ``always_slices`` every group is. ``df`` is read more than once and must give the same rows each time.
+    ``lookup`` has at most one row per value of ``group``, whose other columns are added (null where there is none); it meets
+    the rows where the groups are together anyway, so a hot group is no hot key of this join either.
     """
+    if not group or always_slices:
+        return _in_slices(df, order, list(group), position, size, lookup)
+    sizes = df.groupBy(*group).agg(F.sum(row_bytes(df)).alias("_bytes"))
+    large = sizes.where(F.col("_bytes") > GROUP_BYTES).select(F.struct(*group).alias("_group"))
+    if large.isEmpty():
+        return _in_window(df, order, group, position, size, lookup)
+    large = _light(cut_lineage(large))
+    keyed = df.withColumn("_group", F.struct(*group))
+    small = keyed.join(large, "_group", "left_anti").drop("_group")
+    cut = keyed.join(large, "_group", "left_semi").drop("_group")
+    return _in_window(small, order, group, position, size, lookup).unionByName(
+        _in_slices(cut, order, group, position, size, lookup)
+    )
+
+
+def _light(table: DataFrame) -> DataFrame:
+    """``table``, marked for a broadcast if it is counted to have few enough rows."""
+    return F.broadcast(table) if is_small(table, MOST_LARGE) else table
+
+
+def _in_window(df, order, group, position, size, lookup) -> DataFrame:
+    if lookup is not None:
+        df = df.join(lookup, list(group), "left").select(*df.columns, *[c for c in lookup.columns if c not in group])
+    of_group = Window.partitionBy(*group)
+    numbered = df.withColumn(position, F.row_number().over(of_group.orderBy(*order)).cast("bigint"))
+    return numbered if size is None else numbered.withColumn(size, F.count("*").over(of_group))
+
+
+def _in_slices(df, order, group, position, size, lookup) -> DataFrame:
     ranges = [F.col(g) for g in group] + list(order)
-    numbered = cut_lineage(
-        df.repartitionByRange(*ranges)
-        .sortWithinPartitions(*ranges)
-        .withColumn("_row", F.monotonically_increasing_id())
+    # Written once: range bounds are sampled, so a recomputed partition could differ.
+    placed = cut_lineage(
+        df.repartitionByRange(*ranges).sortWithinPartitions(*ranges).withColumn("_row", F.monotonically_increasing_id())
+    ).withColumn("_slice", F.shiftright("_row", _ROW_BITS))
+    cells = placed.groupBy("_slice", *group).agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"))
+    of_group = Window.partitionBy(*group)
+    earlier = of_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).withColumn(
+        "_size", F.sum("_rows").over(of_group)
     )
-    # One number per slice; the driver adds them up.
-    slice_no = F.shiftright("_row", _ROW_BITS).cast("int")
-    sizes = dict(numbered.groupBy(slice_no).agg(F.count("*")).collect())
-    before = list(accumulate((sizes.get(i, 0) for i in range(max(sizes, default=0))), initial=0))
-    offset = F.get(F.lit(before).cast("array<bigint>"), slice_no)
-    in_slice = F.col("_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    placed = numbered.withColumn("_at", offset + in_slice + 1).drop("_row")
-    if not group:
-        result = placed.withColumnRenamed("_at", position)
-        return result if size is None else result.withColumn(size, F.lit(sum(sizes.values())).cast("bigint"))
-    # Compared as one struct, so that rows without a group value form a group too.
-    placed = placed.withColumn("_group", F.struct(*group))
-    starts = placed.groupBy("_group").agg(F.min("_at").alias("_start"), F.count("*").alias("_size"))
-    if is_small(starts, SHARES):
-        result = placed.join(F.broadcast(starts), "_group")
-    else:
-        # Rows of large groups stay where they are; only rows of small groups are moved by group.
-        large, small = split_frequent(starts.withColumn("_rows", F.col("_size")), "_rows")
-        of_small = placed.join(large.select("_group"), "_group", "left_anti")
-        result = placed.join(large, "_group").unionByName(of_small.join(small, "_group"))
-    result = result.withColumn(position, F.col("_at") - F.col("_start") + 1)
-    if size is not None:
-        result = result.withColumn(size, F.col("_size"))
-    return result.drop("_group", "_at", "_start", "_size")
+    added = [] if lookup is None else [c for c in lookup.columns if c not in group]
+    if lookup is not None:
+        starts = starts.join(lookup, list(group), "left")
+    # About one row per partition and group. Compared as one struct, so that rows without a group value form a group too.
+    cell = F.struct("_slice", *group).alias("_cell")
+    starts = starts.select(cell, "_first", "_start", "_size", *added)
+    joined = placed.select(*df.columns, "_row", cell).join(_light(starts), "_cell")
+    at = F.col("_row") - F.col("_first") + F.col("_start") + 1
+    numbered = [at.cast("bigint").alias(position)] + ([] if size is None else [F.col("_size").cast("bigint").alias(size)])
+    return joined.select(*df.columns, *added, *numbered)
 
 
 def lead_in_order(

@@ -15,9 +15,11 @@ def rows(spark):
     return data, spark.createDataFrame(data, "k string, v int, i bigint").repartition(7)
 
 
-@pytest.mark.parametrize("most", [20_000, 50])
-def test_number_rows_in_groups(rows, most, monkeypatch):
-    monkeypatch.setattr(positions, "SHARES", most)
+@pytest.mark.parametrize("group_bytes, most", [(64 << 20, 9), (100_000, 9), (0, 10_000), (0, 9)])
+def test_number_rows_in_groups(rows, group_bytes, most, monkeypatch):
+    """No large group, one, all of them, and more of them than are broadcast."""
+    monkeypatch.setattr(positions, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(positions, "MOST_LARGE", most)
     data, df = rows
     got = number_rows(df, [F.col("v").desc(), F.col("i")], ["k"], "position", "size").collect()
     expected = {}
@@ -27,12 +29,40 @@ def test_number_rows_in_groups(rows, most, monkeypatch):
     assert all(expected[r.k][r.position - 1] == r.i and r.size == len(expected[r.k]) for r in got)
 
 
-def test_number_rows_without_a_group_value(spark):
+@pytest.mark.parametrize("group_bytes", [64 << 20, 0])
+def test_number_rows_without_a_group_value(spark, group_bytes, monkeypatch):
+    monkeypatch.setattr(positions, "GROUP_BYTES", group_bytes)
     df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "k string, i int")
     got = sorted((r.k or "", r.i, r.position) for r in number_rows(df, [F.col("i")], ["k"]).collect())
     assert got == [("", 1, 1), ("", 3, 2), ("a", 2, 1)]
 
 
+@pytest.mark.parametrize("group_bytes", [64 << 20, 100_000, 0])
+def test_number_rows_with_a_lookup(spark, rows, group_bytes, monkeypatch):
+    monkeypatch.setattr(positions, "GROUP_BYTES", group_bytes)
+    data, df = rows
+    names = spark.createDataFrame([("hot", "x", 1), ("k3", "y", 2)], "k string, name string, other int")
+    got = number_rows(df, [F.col("i")], ["k"], lookup=names)
+    assert got.columns == ["k", "v", "i", "name", "other", "position"]
+    want = {"hot": ("x", 1), "k3": ("y", 2)}
+    found = got.collect()
+    assert len(found) == len(data)
+    assert all((r.name, r.other) == want.get(r.k, (None, None)) for r in found)
+
+
+def test_small_groups_are_numbered_by_one_window(spark, rows):
+    """No written copy, no literal per slice; the only exchange of the rows is by group."""
+    plan = number_rows(rows[1], [F.col("i")], ["k"], lookup=rows[1].groupBy("k").agg(F.max("v").alias("most")))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "RDD" not in text.replace("Scan ExistingRDD", "") and text.count("Window [") == 1
+    assert "rangepartitioning" not in text
+
+
+def test_row_bytes_of_all_kinds(spark):
+    df = spark.createDataFrame([("añ", 1, [1, 2], None), (None, 2, None, b"abc")], "s string, i int, a array<int>, b binary")
+    assert [r[0] for r in df.select(positions.row_bytes(df)).collect()] == [32 + 3 + 16, 32 + 3]
+
+
 def test_number_rows_overall(rows):
     data, df = rows
     got = {r.i: (r.position, r.n) for r in number_rows(df, [F.col("v"), F.col("i")], size="n").collect()}
