@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scholium.bindings.content import _trim
 from scholium.bindings.registry import query
 from scholium.plans import scratch_dir
-from scholium.sources import event_stream, parquet_stream
+from scholium.sources import KeyedTable, event_stream, parquet_stream
 from scholium.streaming import feeds, sinks
 
 DELAY = "1 day"
@@ -23,8 +23,9 @@ SELECT user_id AS learner_id, ts::DATE AS day, round(sum(value), 2) AS total, co
 def stream_daily_activity(t):
     totals = feeds.daily_activity(_events(t), "learner_id", "ts", "minutes", DELAY)
     target = scratch_dir(t.spark, "daily")
-    sinks.write_versions(totals, f"{target}/rows", f"{target}/state").awaitTermination()
-    return sinks.latest_versions(t.spark, f"{target}/rows", ["learner_id", "day"])
+    table = KeyedTable(t.spark, f"{target}/table", ["learner_id", "day"], buckets=8)
+    sinks.upsert_table(totals, table, f"{target}/state").awaitTermination()
+    return table.read()
 
 
 @query("SELECT event_id, ts, user_id AS learner_id FROM events")

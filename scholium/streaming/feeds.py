@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import date, datetime, timedelta, timezone
 from typing import Any
 
 import pandas as pd
@@ -48,20 +49,36 @@ def sessions(stream: DataFrame, key: str, ts: str, measure: str, gap: str, delay
     )
 
 
+# A run can go on until the day after its last one is over.
+_RUN_ENDS_AFTER = timedelta(days=2)
+
+
+def _start_of(day: date) -> datetime:
+    return datetime(day.year, day.month, day.day, tzinfo=timezone.utc)
+
+
 class StreakProcessor(StatefulProcessor):
-    """Keeps a learner's last active day and the length of the run that ends there."""
+    """Keeps a learner's last active day and the length of the run that ends there, for as long as the run can go on.
+
+    A timer at the end of the day after the last one drops a run that was broken. Days arrive when the watermark closes
+    them, and timers fire after the days of the same watermark, so no run is dropped that goes on.
+    """
 
     def __init__(self, key: str, milestones: Sequence[int]):
         self.key = key
         self.milestones = frozenset(milestones)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.run = handle.getValueState("run", "last_day date, length bigint")
 
+    def _ends_at(self, last: date) -> int:
+        return int((_start_of(last) + _RUN_ENDS_AFTER).timestamp() * 1000)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         days = sorted({day for part in rows for day in part["day"]})
-        last, length = self.run.get() if self.run.exists() else (None, 0)
-        reached = []
+        known, length = self.run.get() if self.run.exists() else (None, 0)
+        last, reached = known, []
         for day in days:
             if last is not None and day <= last:
                 continue
@@ -69,10 +86,18 @@ class StreakProcessor(StatefulProcessor):
             last = day
             if length in self.milestones:
                 reached.append((key[0], day, length))
-        if last is not None:
+        if last != known:
+            if known is not None:
+                self.handle.deleteTimer(self._ends_at(known))
             self.run.update((last, length))
+            self.handle.registerTimer(self._ends_at(last))
         yield pd.DataFrame(reached, columns=[self.key, "day", "streak"])
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.run.exists() and self._ends_at(self.run.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.run.clear()
+        yield pd.DataFrame([], columns=[self.key, "day", "streak"])
+
     def close(self) -> None:
         pass
 
@@ -81,13 +106,14 @@ def milestones(stream: DataFrame, key: str, ts: str, lengths: Sequence[int], del
     """A row whenever a learner's run of active days reaches one of ``lengths``.
 
     Days come out of a windowed count only when the watermark has closed them, so they reach
-    the state in order whatever the order of arrival, and as one row per learner and day.
+    the state in order whatever the order of arrival, and as one row per learner and day. State is held for learners
+    whose run can still go on: one whose last day and the day after it are over costs nothing.
     """
     days = (
         stream.withWatermark(ts, delay)
         .groupBy(key, F.window(ts, "1 day"))
         .agg(F.count("*").alias("n"))
-        .select(key, F.col("window.start").cast("date").alias("day"))
+        .select(key, F.window_time("window").alias("_time"), F.col("window.start").cast("date").alias("day"))
     )
     schema = T.StructType(
         [
@@ -100,7 +126,7 @@ def milestones(stream: DataFrame, key: str, ts: str, lengths: Sequence[int], del
         statefulProcessor=StreakProcessor(key, lengths),
         outputStructType=schema,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scholium.plans import scratch_dir
-
+from scholium.sources.keyed import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,14 +48,14 @@ def append_parquet(stream: DataFrame, path: str, checkpoint: str, once: bool = T
         return writer.start(path)
 
 
-def write_versions(stream: DataFrame, path: str, checkpoint: str, once: bool = True, partitions: int | None = None) -> StreamingQuery:
-    """Keep the changed rows of each batch in a folder of their own.
+def upsert_table(stream: DataFrame, table: KeyedTable, checkpoint: str, once: bool = True, partitions: int | None = None) -> StreamingQuery:
+    """Keep a keyed table up to date with the changed rows of each batch; it can be read all the while.
 
-    A repeated batch overwrites its own folder only, and no batch rewrites older data.
+    A repeated batch is left alone, and a new query on another checkpoint goes on with the same table.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table.upsert(batch, checkpoint, batch_id)
 
     writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
     if once:
@@ -65,23 +64,6 @@ def write_versions(stream: DataFrame, path: str, checkpoint: str, once: bool = T
         return writer.start()
 
 
-def latest_versions(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The last written row per key."""
-    versions = spark.read.parquet(path)
-    values = [c for c in versions.columns if c not in keys and c != "batch"]
-    latest = versions.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return latest.select(*keys, "_v.*")
-
-
-def merge_versions(spark: SparkSession, path: str, keys: Sequence[str], into: str) -> None:
-    """Write the last row per key as one version that replaces all so far; a reader changes over to ``into``.
-
-    Its version number is that of the last batch, so batches written to ``into`` afterwards win over it.
-    """
-    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
-    latest_versions(spark, path, keys).write.mode("overwrite").parquet(f"{into}/batch={last}")
-
-
 def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     """Process all available input of an append-mode stream once and read the result back."""
     spark = stream.sparkSession

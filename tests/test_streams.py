@@ -1,13 +1,14 @@
 """Streams over several files: late rows, repeats, order of arrival, restarts."""
 
 import os
+import random
 import time
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from scholium.sources import event_stream, parquet_stream
+from scholium.sources import KeyedTable, event_stream, parquet_stream
 from scholium.streaming import feeds, sinks
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, learner bigint, minutes double"
@@ -36,7 +37,7 @@ def day(d, hour=12):
 
 
 def test_daily_totals_take_updates_and_drop_late_rows(spark, inbox, tmp_path):
-    target = str(tmp_path / "out")
+    target, table = str(tmp_path / "out"), KeyedTable(spark, str(tmp_path / "table"), ["learner", "day"], buckets=4)
     stream = inbox(
         [(1, day(1), 1, 5.0)],
         [(2, day(1, 20), 1, 2.0), (3, day(4), 1, 1.0)],
@@ -44,8 +45,8 @@ def test_daily_totals_take_updates_and_drop_late_rows(spark, inbox, tmp_path):
         [(5, day(1), 1, 100.0)],  # the watermark is past this day
     )
     totals = feeds.daily_activity(stream, "learner", "ts", "minutes", "1 day")
-    sinks.write_versions(totals, f"{target}/rows", f"{target}/state").awaitTermination()
-    got = sinks.latest_versions(spark, f"{target}/rows", ["learner", "day"]).orderBy("learner", "day").collect()
+    sinks.upsert_table(totals, table, target).awaitTermination()
+    got = table.read().orderBy("learner", "day").collect()
     assert [tuple(r) for r in got] == [
         (1, date(2024, 5, 1), 7.0, 2),
         (1, date(2024, 5, 4), 1.0, 1),
@@ -54,9 +55,9 @@ def test_daily_totals_take_updates_and_drop_late_rows(spark, inbox, tmp_path):
     # A restart goes on from the checkpoint.
     stream = inbox([(6, day(5), 2, 4.0)])
     totals = feeds.daily_activity(stream, "learner", "ts", "minutes", "1 day")
-    sinks.write_versions(totals, f"{target}/rows", f"{target}/state").awaitTermination()
-    latest = sinks.latest_versions(spark, f"{target}/rows", ["learner", "day"])
-    assert latest.where("learner = 2").first().total == 5.0
+    sinks.upsert_table(totals, table, target).awaitTermination()
+    assert table.read().where("learner = 2").first().total == 5.0
+    assert table.read().count() == 3
 
 
 def test_dedup_drops_repeats_across_batches(inbox):
@@ -95,8 +96,9 @@ def test_stream_equals_batch(spark):
     from scholium.plans import scratch_dir
 
     target = scratch_dir(spark, "totals")
-    sinks.write_versions(totals, f"{target}/rows", f"{target}/state").awaitTermination()
-    live = sinks.latest_versions(spark, f"{target}/rows", ["user_id", "day"])
+    table = KeyedTable(spark, f"{target}/table", ["user_id", "day"])
+    sinks.upsert_table(totals, table, f"{target}/state").awaitTermination()
+    live = table.read()
     batch = (
         spark.read.parquet(path)
         .groupBy("user_id", F.col("ts").cast("date").alias("day"))
@@ -119,10 +121,44 @@ def test_settings_of_the_session_stay_as_they_were(spark, inbox, tmp_path):
     assert len([f for f in os.listdir(f"{state}/state/0") if f.isdigit()]) == 3
 
 
-def test_merged_versions_read_like_all_of_them(spark, tmp_path):
-    for batch, rows in enumerate([[(1, "a"), (2, "b")], [(1, "c")], [(3, "d")]]):
-        spark.createDataFrame(rows, "k int, v string").write.parquet(str(tmp_path / f"all/batch={batch}"))
-    sinks.merge_versions(spark, str(tmp_path / "all"), ["k"], str(tmp_path / "new"))
-    assert os.listdir(tmp_path / "new") == ["batch=2"]
-    read = lambda folder: sorted(map(tuple, sinks.latest_versions(spark, str(tmp_path / folder), ["k"]).collect()))
-    assert read("new") == read("all") == [(1, "c"), (2, "b"), (3, "d")]
+def islands(rows, lengths):
+    """Milestones of a batch: (learner, day, length) for the runs of consecutive days that get that far."""
+    out = []
+    for learner in {r[2] for r in rows}:
+        run, last = 0, None
+        for d in sorted({r[1].date() for r in rows if r[2] == learner}):
+            run = run + 1 if last is not None and d - last == timedelta(days=1) else 1
+            last = d
+            if run in lengths:
+                out.append((learner, d, run))
+    return sorted(out)
+
+
+def test_milestones_in_any_order_of_files_are_those_of_a_batch(inbox):
+    chance = random.Random(11)
+    rows = [(i, day(1 + chance.randrange(24), chance.randrange(24)), chance.randrange(6), 1.0) for i in range(160)]
+    # Days arrive up to eight days out of order, which is within the delay.
+    ordered = sorted(rows, key=lambda r: (r[1] + timedelta(days=chance.randrange(8)), r[0]))
+    parts = [ordered[i : i + 20] for i in range(0, len(ordered), 20)]
+    closing = [[(900, day(1) + timedelta(days=50), 99, 1.0)]]
+    got = sinks.run_to_end(feeds.milestones(inbox(*parts, *closing), "learner", "ts", [2, 3, 5], "9 days"), "milestones")
+    assert sorted(map(tuple, got.collect())) == islands(rows, {2, 3, 5})
+
+
+def test_broken_runs_leave_no_state(spark, inbox, tmp_path):
+    """Learners 1 and 2 fall silent; once their next day is over, only learner 9's run is held."""
+    state = str(tmp_path / "state")
+
+    def held(*batches):
+        stream = feeds.milestones(inbox(*batches), "learner", "ts", [2], "1 day")
+        sinks.append_parquet(stream, str(tmp_path / "rows"), state, partitions=2).awaitTermination()
+        reader = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "run")
+        return sorted(r.key[0] for r in reader.load(state).select("key").collect())
+
+    assert held([(i, day(1), i, 1.0) for i in (1, 2, 9)], [(4, day(3, 1), 9, 1.0)]) == [1, 2, 9]
+    # Day 2 is closed when day 3 is over the delay: learners 1 and 2 were not active on it, nor was learner 9.
+    assert held([(5, day(4, 1), 9, 1.0)]) == []
+    assert held([(6, day(5, 1), 9, 1.0)]) == [9]
+    assert held([(7, day(20), 8, 1.0)]) == []
+    got = spark.read.schema("learner bigint, day date, streak bigint").parquet(str(tmp_path / "rows"))
+    assert sorted(map(tuple, got.collect())) == [(9, date(2024, 5, 4), 2)]
