@@ -16,6 +16,7 @@ from scholium.llm.fill_middle import fill_in_middle, fill_in_middle_sql, restore
 from scholium.llm.hamming import nearest_codes, nearest_codes_sql
 from scholium.llm.html_blocks import extract_text, train_html
 from scholium.llm.jaccard_join import similar_documents
+from scholium.llm.merkle import lowercased, merkle_manifest, merkle_sql
 from scholium.llm.mixing import mix_sources, mixing_sql
 from scholium.llm.pii import digest_spans, find_pii
 from scholium.llm.ppm import score_corpus
@@ -112,3 +113,10 @@ def op12_fill_middle(t: Tables) -> DataFrame:
 def op13_byte_bpe(t: Tables) -> DataFrame:
     coded = encode_bytes(t("documents"), settings.byte_ranks(), settings.BYTE_PATTERN)
     return coded.select("doc_id", "n_tokens", *[F.sha2(name, 256).alias(f"{name}_sha256") for name in ("ids", "decoded")])
+
+
+@bound(merkle_sql("documents", settings.TAMPERED_EVERY))
+def op11_merkle(t: Tables) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % settings.TAMPERED_EVERY == 0
+    changes = {"text": lowercased("text")}
+    return merkle_manifest(t("documents"), changes, tampered, outputs=("proof_sha256", "folded_root"))

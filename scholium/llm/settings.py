@@ -19,6 +19,9 @@ TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_THRESHOLD = 3, 1, 0.7
 QUALITY_FOLDS, QUALITY_HELD_OUT, QUALITY_THRESHOLD = 5, 0, 0.3
 PPM_FOLDS, PPM_HELD_OUT = 10, 0
 
+# Ids whose CRC-32 this divides are tampered with after the manifest was made.
+TAMPERED_EVERY = 5
+
 
 def vocabulary() -> str:
     return read_definition(public_tokenizers.path(VOCABULARY))
