@@ -23,8 +23,9 @@ LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_
 
 def check(text):
     ids = LIBRARY.encode_ordinary(text)
-    assert np.frombuffer(BPE.encode(text), "<u4").tolist() == ids
-    assert BPE.decode(BPE.encode(text)) == LIBRARY.decode_bytes(ids) == text.encode()
+    coded = BPE.encode([text])[0]
+    assert np.frombuffer(coded, "<u4").tolist() == ids
+    assert BPE.decode(coded) == LIBRARY.decode_bytes(ids) == text.encode()
 
 
 @given(st.text(max_size=60))
@@ -53,9 +54,17 @@ def test_texts_longer_than_a_window(monkeypatch):
 def test_a_full_cache_starts_again(monkeypatch):
     monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 2000)
     small = ByteBpe(RANKS, BYTE_PATTERN)
-    text = " ".join(f"word{i}" for i in range(500))
-    assert np.frombuffer(small.encode(text), "<u4").tolist() == LIBRARY.encode_ordinary(text)
-    assert small.held < 2500 and len(small.known) < 20
+    for turn in range(4):
+        texts = [" ".join(f"word{i}" for i in range(turn * 100, turn * 100 + 120)), "x" * 500, ""]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in small.encode(texts)] == LIBRARY.encode_ordinary_batch(texts)
+        assert len(small.known) < 130 and not any(len(word) > 128 for word in small.known)
+    assert small.held == sum(len(w) + len(ids) + byte_bpe.ENTRY_BYTES for w, ids in small.known.items())
+
+
+def test_batches_like_one_text_at_a_time(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LONG_TEXT", 30)
+    texts = ["", "a", "some more than thirty characters, that is", "a", "日本" * 40, "end"]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in BPE.encode(texts)] == LIBRARY.encode_ordinary_batch(texts)
 
 
 def merge_by_rank(word, ranks):
@@ -78,22 +87,24 @@ def test_any_ranks_like_merging_one_by_one(tokens, shuffled, words):
     shuffled.shuffle(order)
     ranks = dict(zip(tokens, order))
     own = ByteBpe(ranks, r"(?s).+")
-    for word in [bytes(b % 3 for b in w) for w in words] + [bytes([0, 1, 0, 0, 1, 2] * 5)]:
-        assert own.merged(word) == merge_by_rank(word, ranks)
-    assert own.queue.pop() is None and not any(any(level) for level in own.queue.levels)
+    words = [w for w in [bytes(b % 3 for b in w) for w in words] if w] + [bytes([0, 1, 0, 0, 1, 2] * 5)]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in own.merged(words)]
+    assert got == [merge_by_rank(word, ranks) for word in words]
+    assert own.queue.take() is None and not any(own.queue.words) and not any(own.queue.buckets)
 
 
-@pytest.mark.parametrize("ranks", [1, 64, 65, 4096, 4097, 300_000])
+@pytest.mark.parametrize("ranks", [1, 256, 257, 65_536, 300_000])
 def test_queue_in_order_of_rank_and_place(ranks):
-    draw, queue, held = random.Random(ranks), RankQueue(ranks), []
+    draw, queue, held = random.Random(ranks), RankQueue(ranks), {}
     for step in range(2000):
         if draw.random() < 0.6:
-            held.append((draw.randrange(ranks), step if draw.random() < 0.5 else -step))
-            queue.push(*held[-1])
+            rank, place = draw.randrange(ranks), draw.randrange(10**6)
+            held.setdefault(rank, []).append(place)
+            queue.push(rank, place)
         else:
-            assert queue.pop() == (min(held) if held else None)
-            held.remove(min(held)) if held else None
-    assert [queue.pop() for _ in range(len(held) + 1)] == [*sorted(held), None]
+            lowest = min(held) if held else None
+            assert queue.take() == (None if lowest is None else (lowest, sorted(held.pop(lowest))))
+    assert [queue.take() for _ in range(len(held) + 1)] == [*((r, sorted(held[r])) for r in sorted(held)), None]
 
 
 def test_one_word_of_a_megabyte_costs_little_more_than_its_length():
@@ -102,9 +113,9 @@ def test_one_word_of_a_megabyte_costs_little_more_than_its_length():
     for size in (20_000, 200_000):
         word = bytes(draw.choice(b"abcdefgh") for _ in range(size))
         start = time.process_time()
-        ids = BPE.merged(word)
+        ids = BPE.merged([word])[0]
         spent.append(time.process_time() - start)
-        assert b"".join(BPE.labels[i] for i in ids) == word
+        assert BPE.decode(ids) == word
     assert spent[1] < 40 * spent[0]
 
 
