@@ -3,6 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+
+def id_array(ids) -> np.ndarray:
+    """Ids of a batch in a form that sorts: numbers, or texts of fixed width."""
+    values = ids.to_numpy(zero_copy_only=False) if isinstance(ids, pa.Array) else ids.to_numpy()
+    return values.astype(str) if values.dtype == object else values
 
 
 class BestPerQuery:

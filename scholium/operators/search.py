@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from scholium.functions.kernels import BestPerQuery, unit_rows
+from scholium.functions.kernels import BestPerQuery, id_array, unit_rows
 from scholium.functions.text import words
-from scholium.operators.terms import SCORE_DIGITS, document_frequency
-from scholium.plans import collect_bounded, top_per_key
+from scholium.operators.inverted import K1, B, build_index, search_index
+from scholium.operators.terms import SCORE_DIGITS
+from scholium.plans import collect_bounded, cut_lineage, top_per_key
 
-# Usual constants of the BM25 formula.
-K1, B = 1.2, 0.75
 # Most queries sent to every task; more than that are shuffled in slabs.
 BROADCAST_QUERIES = 2048
 BROADCAST_ENTRIES = 200_000
@@ -78,15 +77,17 @@ def ranked_search(
     """BM25 top ``k`` documents for every query; equal scores go to the lower document.
 
     Tasks score their documents against all queries and pass on the best ``k`` of each, so no pair of query and
-    document is ever a row. Up to ``broadcast_entries`` (query, word) pairs go to every task; of more, slabs of
-    queries meet blocks of documents. Both ways score, round and rank in the same kernel.
+    document is ever a row. Up to ``broadcast_entries`` (query, word) pairs go to every task; for more, the texts are indexed
+    once and slabs of queries go over the index (``scholium.operators.inverted``).
     """
     asked = queries.select(query_id, F.explode(F.array_distinct(words(query_text))).alias("term"))
     entries = collect_bounded(asked, broadcast_entries)
     order = [F.col("score").desc(), F.col(doc_id)]
     schema = _hit_schema(queries, query_id, docs, doc_id)
     if entries is None:
-        return top_per_key(_score_in_blocks(docs, asked, doc_id, text, query_id, k, schema), [query_id], order, k)
+        asked = cut_lineage(asked)
+        found = search_index(build_index(docs, doc_id, text), asked, query_id, k, schema)
+        return top_per_key(found, [query_id], order, k)
     names = sorted({row[0] for row in entries})
     terms = sorted({row[1] for row in entries})
     empty = queries.sparkSession.range(1).select(F.lit("").alias("term"))
@@ -103,45 +104,6 @@ def ranked_search(
     return top_per_key(partial, [query_id], order, k)
 
 
-def _score_in_blocks(
-    docs: DataFrame, asked: DataFrame, doc_id: str, text: str, query_id: str, k: int, schema: T.StructType
-) -> DataFrame:
-    """Best documents per query and block; the words of a document stay together, so no word is a key of a join
-    with the corpus."""
-    split = docs.select(doc_id, words(text).alias("_words"))
-    n, length = split.agg(F.count("*").cast("double"), F.sum(F.size("_words")).cast("double")).first()
-    mean_length = (length or 0.0) / n if n else 0.0
-    df = document_frequency(docs, text).withColumnRenamed("df", "_df")
-    idf = F.log(1 + (n - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    known = asked.join(df, "term").select(F.col(query_id).alias("_query"), "term", idf.alias("idf"))
-    slabs = max(1, -(-asked.select(query_id).distinct().count() // SLAB_QUERIES))
-    blocks = max(1, -(-int(length or 0) // BLOCK_NUMBERS))
-    left = split.select(doc_id, "_words", _place(doc_id, blocks).alias("_block"), _every(slabs).alias("_slab"))
-    right = known.select("_query", "term", "idf", _place("_query", slabs).alias("_slab"), _every(blocks).alias("_block"))
-
-    def best_of_block(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        best = BestPerQuery(k, SCORE_DIGITS)
-        names, query = np.unique(right_rows["_query"].to_numpy(), return_inverse=True)
-        terms, term = np.unique(right_rows["term"].to_numpy(), return_inverse=True)
-        weight = np.zeros(len(terms))
-        weight[term] = right_rows["idf"].to_numpy()
-        entries = np.stack([query, term], axis=1)[np.lexsort((term, query))]
-        number = {t: i for i, t in enumerate(terms)}
-        rows_at_once = max(1, MATRIX_CELLS // max(1, len(terms) + len(entries)))
-        for first in range(0, len(left_rows) if len(entries) else 0, rows_at_once):
-            part = left_rows.iloc[first : first + rows_at_once]
-            tf = np.zeros((len(part), len(terms)))
-            for row, used in enumerate(part["_words"]):
-                np.add.at(tf[row], [number[w] for w in used if w in number], 1)
-            size = part["_words"].map(len).to_numpy()[:, None]
-            impact = weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_length))
-            best.offer(_query_sums(impact, entries, len(names)), _id_array(part[doc_id]))
-        ids = best.ids if best.ids is not None else np.empty(0)
-        return pd.DataFrame(dict(zip(schema.names, (names[best.queries], ids, best.scores), strict=True)))
-
-    return left.groupBy("_block", "_slab").cogroup(right.groupBy("_block", "_slab")).applyInPandas(best_of_block, schema)
-
-
 def _every(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
@@ -150,12 +112,6 @@ def _place(name: str, n: int) -> Column:
     return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
 
 
-def _id_array(ids) -> np.ndarray:
-    """Ids of a batch in a form that sorts: numbers, or texts of fixed width."""
-    values = ids.to_numpy(zero_copy_only=False) if isinstance(ids, pa.Array) else ids.to_numpy()
-    return values.astype(str) if values.dtype == object else values
-
-
 def _query_sums(weights: np.ndarray, entries: np.ndarray, n_queries: int) -> np.ndarray:
     """(rows, queries) sums of the weights of each query's words; not-a-number where none occurs."""
     asking, starts = np.unique(entries[:, 0], return_index=True)
@@ -199,7 +155,7 @@ def _score_documents(
                 row = np.repeat(np.arange(batch.num_rows), term_lists.value_lengths().to_numpy())
                 weights = np.zeros((batch.num_rows, n_terms))
                 weights[row, term_lists.flatten().to_numpy()] = batch.column(2).flatten().to_numpy()
-                best.offer(_query_sums(weights, entries, len(query_names)), _id_array(batch.column(0)))
+                best.offer(_query_sums(weights, entries, len(query_names)), id_array(batch.column(0)))
         yield from _best_rows(best, query_names, schema)
 
     return of_doc.mapInArrow(best_of_task, schema)
@@ -220,7 +176,7 @@ def _cosine_from_broadcast(chunks: DataFrame, names: list, matrix, k: int, width
             for first in range(0, whole.num_rows, rows_at_once):
                 batch = whole.slice(first, rows_at_once)
                 vectors = unit_rows(_chunk_matrix(batch.column(1), width))
-                best.offer(vectors @ unit_queries.T, _id_array(batch.column(0)))
+                best.offer(vectors @ unit_queries.T, id_array(batch.column(0)))
         yield from _best_rows(best, query_names, schema)
 
     return chunks.mapInArrow(best_of_task, schema)
@@ -247,7 +203,7 @@ def _cosine_in_blocks(chunks: DataFrame, queries: DataFrame, k: int, width: int,
             for start in range(0, len(left_rows), 8192):
                 part = left_rows.iloc[start : start + 8192]
                 vectors = unit_rows(np.stack(part[vector]).astype(np.float64))
-                best.offer(vectors @ unit_queries.T, _id_array(part[chunk_id]))
+                best.offer(vectors @ unit_queries.T, id_array(part[chunk_id]))
         names = right_rows["_query"].to_numpy()[best.queries]
         ids = best.ids if best.ids is not None else np.empty(0)
         return pd.DataFrame(dict(zip(schema.names, (names, ids, best.scores), strict=True)))
