@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from scholium.bindings.registry import query
+from scholium.functions.text import sentences
 from scholium.operators import notes as op
 from scholium.operators import practice
 
@@ -43,10 +44,11 @@ def _blank(sentence: str, term: str) -> str:
     return rf"regexp_replace({once}, '(?i)(^|[^\p{{L}}])' || {term} || '($|[^\p{{L}}])', '\1____\2', 'g')"
 
 
-LIST = """
-SELECT 'Note ' || doc_id::VARCHAR AS title, source AS subject, substr(text, 1, 80) AS description,
+# The documents have no description of their own; their first sentence stands in for it.
+LIST = SENTENCES + """
+SELECT 'Note ' || doc_id::VARCHAR AS title, source AS subject, sentences[1] AS description,
        TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * doc_id AS created
-FROM documents
+FROM documents JOIN pieces USING (doc_id)
 """
 
 
@@ -54,19 +56,19 @@ def _notes(t):
     return t("documents").select(
         F.concat(F.lit("Note "), F.col("doc_id").cast("string")).alias("title"),
         "source",
-        "text",
+        F.get(sentences("text"), F.lit(0)).alias("description"),
         F.expr("timestamp_ntz'2024-01-01 00:00:00' + doc_id * interval '1' minute").alias("created"),
     )
 
 
 @query(LIST)
 def list_notes(t):
-    return op.list_notes(_notes(t), "title", "source", "text", "created")
+    return op.list_notes(_notes(t), "title", "source", "description", "created")
 
 
 @query(LIST + "WHERE source = 'src3'")
 def notes_of_subject(t):
-    return op.list_notes(_notes(t), "title", "source", "text", "created", only="src3")
+    return op.list_notes(_notes(t), "title", "source", "description", "created", only="src3")
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE contains(lower(text), 'license')")

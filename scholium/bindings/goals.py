@@ -177,10 +177,19 @@ def weak_topics(t):
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
   ) WHERE rn = 1
 )
-SELECT l.learner_id, l.area, l.last_seen, p.items_done, p.progress
+, pace AS (
+  SELECT learner_id, area, sum(pow(0.5, date_diff('day', first::DATE, DATE '2024-01-31') / 14.0)) * ln(2) / 14 AS pace FROM (
+    SELECT user_id AS learner_id, CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS area, event_type, min(ts) AS first
+    FROM events GROUP BY ALL
+  ) GROUP BY ALL
+)
+SELECT l.learner_id, l.area, l.last_seen, p.items_done, p.progress,
+       round(CASE WHEN p.items_done >= 5 THEN 0 ELSE (5 - p.items_done) / r.pace END, 2) AS days_left
 FROM last l LEFT JOIN progress p ON p.learner_id = l.learner_id AND p.area = l.area
+LEFT JOIN pace r ON r.learner_id = l.learner_id AND r.area = l.area
 """)
 def continue_learning(t):
     from scholium.bindings.canonical import subject_areas
 
-    return prog.continue_learning(subject_areas(t), _progress(t), "learner_id", "area", "ts", "event_id")
+    pace = prog.learning_pace(subject_areas(t), "learner_id", "area", "kind", "ts", EVENTS_NOW)
+    return prog.continue_learning(subject_areas(t), _progress(t), "learner_id", "area", "ts", "event_id", pace, 5)

@@ -12,14 +12,14 @@ from scholium.plans import lead_in_order, top_per_key
 
 
 def list_notes(
-    df: DataFrame, title: str, subject: str, text: str, created: str, only: str | None = None, length: int = 80
+    df: DataFrame, title: str, subject: str, description: str, created: str, only: str | None = None
 ) -> DataFrame:
-    """Notes newest first, each with a short description from its beginning."""
+    """Notes newest first, of one subject if asked for; ``description`` is a column of the notes and returned whole."""
     chosen = df if only is None else df.where(F.col(subject) == only)
     return chosen.select(
         F.col(title).alias("title"),
         F.col(subject).alias("subject"),
-        F.substring(text, 1, length).alias("description"),
+        F.col(description).alias("description"),
         F.col(created).alias("created"),
     ).orderBy(F.col("created").desc(), "title")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,13 +35,33 @@ def weak_topics(progress: DataFrame, key: str, subject: str, k: int) -> DataFram
     return top_per_key(progress, [key], [F.col("progress"), F.col(subject)], k)
 
 
-def continue_learning(df: DataFrame, progress: DataFrame, key: str, subject: str, ts: str, tie: str) -> DataFrame:
-    """The subject each learner touched last, with its progress."""
+def learning_pace(df: DataFrame, key: str, subject: str, item: str, ts: str, as_of: str, half_life: float = 14.0) -> DataFrame:
+    """Items a learner newly does per day in a subject (``pace``), as a decayed rate.
+
+    An item counts on the day it was first done, half as much with every ``half_life`` days that have passed since. For
+    someone who does an item a day all along, the rate is one.
+    """
+    firsts = df.where(F.col(ts) < F.lit(as_of).cast("timestamp_ntz")).groupBy(key, subject, item).agg(F.min(ts).alias("_first"))
+    age = F.date_diff(F.lit(as_of).cast("date"), F.col("_first").cast("date"))
+    decayed = F.pow(F.lit(0.5), age / half_life)
+    return firsts.groupBy(key, subject).agg((F.sum(decayed) * math.log(2) / half_life).alias("pace"))
+
+
+def continue_learning(
+    df: DataFrame, progress: DataFrame, key: str, subject: str, ts: str, tie: str, pace: DataFrame, items: int
+) -> DataFrame:
+    """The subject each learner touched last, with its progress and the days its open items take at the learner's pace.
+
+    ``days_left`` is zero where none of the ``items`` is open and null where there is no pace to go by.
+    """
     latest = df.groupBy(key).agg(
         F.max_by(F.struct(F.col(subject), F.col(ts)), F.struct(F.col(ts), F.col(tie))).alias("_last")
     )
     resumed = latest.select(key, F.col(f"_last.{subject}").alias(subject), F.col(f"_last.{ts}").alias("last_seen"))
-    return resumed.join(progress, [key, subject], "left")
+    known = resumed.join(progress, [key, subject], "left").join(pace, [key, subject], "left")
+    open_items = F.lit(items) - F.coalesce("items_done", F.lit(0))
+    left = F.when(open_items <= 0, F.lit(0.0)).otherwise(F.try_divide(open_items.cast("double"), F.col("pace")))
+    return known.withColumn("days_left", F.round(left, 2)).drop("pace")
 
 
 def quiz_scores(answers: DataFrame, by: Sequence[str], correct: str = "correct") -> DataFrame:
