@@ -5,8 +5,12 @@ tokens that accepts exactly the sequences BPE produces. It starts as one state t
 gadget of the merge (a, b) -> ab redirects the arcs of ``a`` to a copy of their target that has lost its arc of
 ``b``, and adds an arc of ``ab`` to the target of that lost arc. All arcs of a token always lead to one state, so a
 copy is a pointer to the state it was made from and the arc it lost, and a vocabulary of any size compiles in one
-pass. A word then has exactly one path that spells it; the transition table finds it without looking at merge ranks.
-Decoding emits the labels of the arcs.
+pass. A word then has exactly one path that spells it, which is found by following arcs, longest tokens first. Decoding
+emits the labels of the arcs.
+
+The automaton is kept in this implicit form. Written out, a state and its arcs per token would be some 2.4 billion entries for
+49,000 tokens. So the first use of a pair of tokens reads off the pointers and gadget numbers whether the arc is there
+(``_arc``), and a table of transitions remembers the answer.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholium.llm.texts import field_type, filled, schema
+from scholium.llm.texts import field_type, filled, schema, slices, task_cache
 
 # Unicode white space, which the vocabulary's pre-tokenizer drops.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -44,8 +48,9 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 # Symbols at the end of a word are shifted, so that one character stands for one symbol.
 END = 0x1000
 T_ARROW = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-# Entries a task keeps of words, chunks and transitions before it starts again.
-CACHE_ENTRIES = 400_000
+# What a task keeps of words, chunks (bytes, ENTRY_BYTES of them for each entry besides its texts) and transitions
+# (entries) before it starts again.
+WORD_BYTES, CHUNK_BYTES, ENTRY_BYTES, TRANSITIONS = 1 << 26, 1 << 24, 190, 100_000
 _NEVER = 1 << 60
 
 
@@ -135,7 +140,7 @@ class TokenAutomaton:
         key = before << 32 | token
         known = self.transitions.get(key)
         if known is None:
-            if len(self.transitions) >= CACHE_ENTRIES:
+            if len(self.transitions) >= TRANSITIONS:
                 self.transitions.clear()
             known = self.transitions[key] = self._arc(before, token)
         return known
@@ -174,6 +179,21 @@ class TokenAutomaton:
         return tokens
 
 
+class Remembered(dict):
+    """Texts and their ids, of at most so many bytes, a little more for the last; then it starts again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def add(self, text: str, ids: bytes) -> None:
+        if self.held >= self.most:
+            self.clear()
+            self.held = 0
+        self[text] = ids
+        self.held += ENTRY_BYTES + len(ids) + len(text)
+
+
 class WordBpe:
     """A vocabulary file of the kind "BPE with word ends" as encoder and decoder of texts."""
 
@@ -199,8 +219,8 @@ class WordBpe:
         labels = {number: text for text, number in model["vocab"].items()}
         labels.update({number: text for text, number in special.items()})
         self.labels = [labels.get(i, "") for i in range(max(labels, default=-1) + 1)]
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words = Remembered(WORD_BYTES)
+        self.chunks = Remembered(CHUNK_BYTES)
 
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
@@ -208,9 +228,7 @@ class WordBpe:
             raw = word.encode()
             spelled = raw[:-1].decode("latin-1").translate(self.symbols) + self.ends[raw[-1]]
             found = np.array(self.automaton.path(spelled), "<u4").tobytes()
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            self.words[word] = found
+            self.words.add(word, found)
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -226,9 +244,7 @@ class WordBpe:
                 piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").translate(NEW_CAPITALS)
             out.extend(map(self._word, self.find_words(piece.lower())))
         found = b"".join(out)
-        if len(self.chunks) >= CACHE_ENTRIES:
-            self.chunks.clear()
-        self.chunks[chunk] = found
+        self.chunks.add(chunk, found)
         return found
 
     def encode(self, text: str) -> bytes:
@@ -250,6 +266,7 @@ _loaded: dict[str, WordBpe] = {}
 
 def _vocabulary(definition: str) -> WordBpe:
     """Compiled once per Python worker."""
+    task_cache("bpe", _loaded.clear)
     key = hashlib.sha256(definition.encode()).hexdigest()
     if key not in _loaded:
         _loaded.clear()
@@ -286,7 +303,7 @@ def encode_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _vocabulary(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             columns: dict[str, list] = {name: [] for name in ("n_tokens", *outputs)}
             for text in filled(batch.column(1)):
                 ids = bpe.encode(text.as_py())
@@ -316,7 +333,7 @@ def add_tokens(docs: DataFrame, definition: str, text_column: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _vocabulary(shared.value)
-        for batch in batches:
+        for batch in slices(batches, at):
             raw = [bpe.encode(text) for text in filled(batch.column(at)).to_pylist()]
             ids = [np.frombuffer(r, "<u4").astype("int32") for r in raw]
             ends = np.cumsum([0, *map(len, ids)]).astype("int32")

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.llm.texts import field_type, filled, schema, slices
+from scholium.llm.texts import field_type, filled, schema, slices, task_cache
 
 WORD_BITS = 8
 WORD_MASK = (1 << WORD_BITS) - 1
@@ -205,6 +205,7 @@ _loaded: dict[str, ByteBpe] = {}
 
 def _vocabulary(ranks: bytes, pattern: str) -> ByteBpe:
     """Read once per Python worker."""
+    task_cache("byte_bpe", _loaded.clear)
     key = hashlib.sha256(ranks).hexdigest() + pattern
     if key not in _loaded:
         _loaded.clear()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.llm.components import components
-from scholium.llm.texts import field_type, filled, schema, written
+from scholium.llm.texts import field_type, filled, schema, task_cache, written
 from scholium.plans.skew import SHARES
 
 WORDS = 5
@@ -49,6 +49,7 @@ _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in ra
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task_cache("shingles", _words.clear)
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(start, SLICE_ROWS)

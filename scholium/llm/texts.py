@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def task_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Announce what ``owner`` remembers in this worker from task to task; what other operators left there is dropped.
+
+    Python workers are reused by the stages of a job, so without this they would hold the words of every operator.
+    """
+    for other in [name for name in _caches if name != owner]:
+        _caches.pop(other)()
+    _caches[owner] = clear
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores added until no column has it."""
     while name in taken:

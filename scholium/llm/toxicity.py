@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholium.llm.labelled import Sample, fit_logistic, fold_of, labelled_sample, logistic
-from scholium.llm.texts import field_type, filled, schema
+from scholium.llm.texts import field_type, filled, schema, task_cache
 
 BUCKETS = 1 << 18
 WIDTH = 9  # features per token
@@ -72,6 +72,7 @@ class ToxicModel:
 
     def marginals(self, texts: list[str]) -> list[np.ndarray]:
         """Of each text, the log odds that each of its tokens is toxic."""
+        task_cache("toxicity", self.known.clear)
         known, emission = self.known.get, self.emission
         scores = []
         for text in texts:

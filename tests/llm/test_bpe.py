@@ -8,9 +8,10 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from scholium.llm.bpe import TokenAutomaton, WordBpe, add_tokens, decode_ids, encode_texts
+from scholium.llm.bpe import Remembered, TokenAutomaton, WordBpe, add_tokens, decode_ids, encode_texts
 from scholium.llm.queries import LLM_QUERIES
 from scholium.llm.settings import VOCABULARY, vocabulary
+from scholium.llm.texts import task_cache
 from tests.llm.frames import FOLDER, ROWS, clashing, documents
 
 BPE = WordBpe(json.loads(vocabulary()))
@@ -95,3 +96,23 @@ def test_awkward_rows(spark):
         assert row.again == LIBRARY.decode(LIBRARY.encode(row.text or "", add_special_tokens=False).ids, skip_special_tokens=False)
         assert row.decoded_sha256 == hashlib.sha256(row.again.encode()).hexdigest()
     assert add_tokens(documents(spark, []), vocabulary()).collect() == []
+
+
+def test_caches_stay_within_their_bytes(monkeypatch):
+    kept = Remembered(1000)
+    for i in range(100):
+        kept.add(f"word {i}", b"1234")
+        assert kept[f"word {i}"] == b"1234" and kept.held < 1300 and len(kept) < 7
+    small = WordBpe(json.loads(vocabulary()))
+    small.words, small.chunks = Remembered(500), Remembered(500)
+    text = " ".join(f"some,words{i}" for i in range(50))
+    assert np.frombuffer(small.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_an_operator_drops_what_others_left_in_the_worker():
+    left = {"a": 1}
+    task_cache("other operator", left.clear)
+    task_cache("other operator", left.clear)
+    assert left
+    task_cache("this operator", dict().clear)
+    assert not left
