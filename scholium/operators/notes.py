@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholium.functions.text import contains_text, page_title, plain_text, sentences
 from scholium.operators.rows import drop_blank
-from scholium.operators.terms import sentence_rows, sentence_scores
+from scholium.operators.terms import sentence_rows, sentence_scores, word_places
 from scholium.plans import lead_in_order, top_per_key
 
 
@@ -41,7 +41,7 @@ def extract_notes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def summarise(docs: DataFrame, doc_id: str, title: str, text: str, k: int) -> DataFrame:
     """The ``k`` sentences with the highest mean idf, joined in text order."""
-    scored = sentence_scores(docs, doc_id, text)
+    scored = sentence_scores(word_places(docs, doc_id, text), doc_id)
     best = top_per_key(scored, [doc_id], [F.col("score").desc(), F.col("pos")], k)
     chosen = best.groupBy(doc_id).agg(F.collect_list("pos").alias("_chosen"))
     # The sentences come from the document again, so no text travels with the words.

@@ -9,32 +9,42 @@ from pyspark.sql import functions as F
 
 from scholium.functions.columns import case_label
 from scholium.functions.text import blank_out
-from scholium.operators.terms import document_frequency, rounded, sentence_rows, sentence_words, with_idf
-from scholium.plans import number_rows, top_per_key, weighted_lookup
+from scholium.operators.terms import document_frequency, rounded, sentence_rows, with_idf, word_places
+from scholium.plans import cut_lineage, number_rows, top_per_key, weighted_lookup
 
 # Shorter words make poor answers; they are taken where a document has no others.
 ANSWER_LENGTH = 4
 LEVELS = ("Easy", "Medium", "Hard")
 DISTRACTORS = 3
+# Ranks that meet in one key of the join of answers and their neighbours.
+RANK_BAND = 256
 
 
-def key_terms(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """The ``k`` words of each document with the highest tf-idf, long ones first, and their first sentence's position."""
-    uses = sentence_words(docs, doc_id, text)
-    counted = uses.groupBy(doc_id, "term").agg(F.count("*").alias("tf"), F.min("pos").alias("pos"))
-    scored = with_idf(counted, docs, doc_id, text).select(
+def key_terms(places: DataFrame, counted: DataFrame, doc_id: str, k: int) -> DataFrame:
+    """The ``k`` words of each document with the highest tf-idf, long ones first, and their first sentence's position.
+
+    ``places`` is what ``word_places`` gives, ``counted`` the number of these documents (``df``) that use a ``term``.
+    """
+    documents = places.agg(F.count("*").cast("double")).scalar()
+    rows = places.select(doc_id, F.inline("_terms")).select(
+        doc_id, "term", F.size("places").alias("tf"), F.get("places", F.lit(0)).cast("bigint").alias("pos")
+    )
+    scored = with_idf(rows, counted, documents, doc_id).select(
         doc_id, "term", "pos", rounded(F.col("tf") * F.col("idf")).alias("score")
     )
     is_short = F.length("term") < ANSWER_LENGTH
     return top_per_key(scored, [doc_id], [is_short, F.col("score").desc(), F.col("term")], k)
 
 
-def make_flashcards(
-    docs: DataFrame, doc_id: str, title: str, text: str, k: int, keep: Sequence[str] = ()
-) -> DataFrame:
+def make_flashcards(docs: DataFrame, doc_id: str, title: str, text: str, k: int, keep: Sequence[str] = ()) -> DataFrame:
     """Cards (title, question, answer): the sentence of a key word with the word blanked."""
+    places = word_places(docs, doc_id, text)
+    return _cards(docs, key_terms(places, document_frequency(places), doc_id, k), doc_id, title, text, keep)
+
+
+def _cards(docs: DataFrame, chosen: DataFrame, doc_id: str, title: str, text: str, keep: Sequence[str]) -> DataFrame:
     card = F.struct("pos", F.col("position").alias("card"), F.col("term").alias("answer"))
-    cards = key_terms(docs, doc_id, text, k).groupBy(doc_id).agg(F.collect_list(card).alias("_cards"))
+    cards = chosen.groupBy(doc_id).agg(F.collect_list(card).alias("_cards"))
     # Each document meets its few cards once and is split into sentences once.
     told = sentence_rows(docs.join(cards, doc_id), doc_id, text, title, *keep, "_cards")
     here = F.filter("_cards", lambda c: c["pos"] == F.col("pos"))
@@ -43,9 +53,8 @@ def make_flashcards(
     )
 
 
-def ranked_vocabulary(docs: DataFrame, text: str, lang: str) -> DataFrame:
+def ranked_vocabulary(counted: DataFrame, lang: str) -> DataFrame:
     """Words of each language by falling document frequency, with rank, size and difficulty third."""
-    counted = document_frequency(docs, text, [lang])
     ranked = number_rows(counted, [F.col("df").desc(), F.col("term")], [lang], "rank", "size")
     # Thirds as even as possible, the first ones taking the remainder.
     base, rest = F.floor(F.col("size") / 3), F.col("size") % 3
@@ -56,6 +65,24 @@ def ranked_vocabulary(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return ranked.select(lang, "term", "df", "rank", "size", level.alias("difficulty"))
 
 
+def rank_neighbours(vocabulary: DataFrame, asked: DataFrame, lang: str, ahead: int, band: int = RANK_BAND) -> DataFrame:
+    """For each word in ``asked`` (with its ``rank`` and its language's ``size``) the words of the ``ahead`` ranks behind it.
+
+    Round the end of the ranking, and never the word itself. A range join in bands of ranks: a word asks in the one or two bands its range
+    touches (and in the first where it goes round), every row of the vocabulary stands in its own band alone. Each
+    key thus has at most ``band`` words on either side. Gives language, ``answer`` and ``term``.
+    """
+    last = F.col("rank") + F.least(F.lit(ahead), F.col("size") - 1)
+    span = lambda low, high: F.struct(low.cast("bigint").alias("low"), high.cast("bigint").alias("high"))
+    spans = F.array(span(F.col("rank") + 1, F.least(last, F.col("size"))), span(F.lit(1), last - F.col("size")))
+    ranges = asked.select(lang, F.col("term").alias("answer"), F.inline(F.filter(spans, lambda s: s["low"] <= s["high"])))
+    of = lambda rank: F.floor((rank - 1) / band)
+    probes = ranges.withColumn("_band", F.explode(F.sequence(of(F.col("low")), of(F.col("high")))))
+    standing = vocabulary.select(lang, "term", "rank", of(F.col("rank")).alias("_band"))
+    met = standing.join(probes, [lang, "_band"]).where(F.col("rank").between(F.col("low"), F.col("high")))
+    return met.select(lang, "answer", "term")
+
+
 def make_quiz(
     docs: DataFrame,
     doc_id: str,
@@ -72,24 +99,21 @@ def make_quiz(
     are about as common; a language of fewer than four words has as many options as words. ``topic`` keeps documents
     of one title, ``difficulty`` a third of the vocabulary, ``n`` the first questions by document.
     """
-    chosen = docs if topic is None else docs.where(F.col(title) == topic)
-    cards = make_flashcards(chosen, doc_id, title, text, 1, [lang])
-    vocabulary = ranked_vocabulary(docs, text, lang)
-
-    # Each word is an option at its own rank and at the ranks just before it (round the end), so
-    # one grouping of four rows per rank gives the options of every possible answer.
-    steps = F.explode(F.sequence(F.lit(0), F.lit(DISTRACTORS))).alias("_step")
-    offered = vocabulary.select(lang, "term", "df", "rank", "size", "difficulty", steps).withColumn(
-        "_rank", F.pmod(F.col("rank") - 1 - F.col("_step"), F.col("size"))
-    )
-    own = lambda c: F.max(F.when(F.col("_step") == 0, F.col(c)))
-    choice = F.struct(own("difficulty").alias("difficulty"), F.sort_array(F.collect_list("term")).alias("options"))
-    choices = (
-        offered.where(F.col("_step") < F.col("size"))
-        .groupBy(lang, "_rank")
-        .agg(own("term").alias("answer"), own("df").alias("df"), choice.alias("choice"))
-        .drop("_rank")
-    )
+    on_topic = F.lit(True) if topic is None else F.col(title) == topic
+    places = word_places(docs, doc_id, text, title, lang)
+    # Words by language, over all documents and over the chosen ones: one count serves both.
+    counted = cut_lineage(document_frequency(places, lang, when=on_topic))
+    of_chosen = counted.groupBy("term").agg(F.sum("df_when").alias("df")).where("df > 0")
+    chosen = key_terms(places.where(on_topic), of_chosen, doc_id, 1)
+    cards = cut_lineage(_cards(docs.where(on_topic), chosen, doc_id, title, text, [lang]))
+
+    vocabulary = cut_lineage(ranked_vocabulary(counted.drop("df_when"), lang))
+    answers = cards.select(lang, F.col("answer").alias("term")).distinct()
+    asked = vocabulary.join(answers, [lang, "term"])
+    others = rank_neighbours(vocabulary, asked, lang, DISTRACTORS).groupBy(lang, "answer").agg(F.collect_list("term").alias("_others"))
+    offered = asked.withColumnRenamed("term", "answer").join(others, [lang, "answer"], "left")
+    options = F.sort_array(F.array_append(F.coalesce("_others", F.array().cast("array<string>")), F.col("answer")))
+    choices = offered.select(lang, "answer", "df", F.struct("difficulty", options.alias("options")).alias("choice"))
     # A word is the answer of no more documents than use it.
     uses = vocabulary.agg(F.sum("df")).scalar()
     quiz = weighted_lookup(cards, choices, [lang, "answer"], "df", "choice", [doc_id], uses)

@@ -127,8 +127,8 @@ def grade(
 ) -> DataFrame:
     """Score per attempt; a question without an answer is wrong.
 
-    Equal answers of an attempt are counted before the join with the key, and a question that
-    everyone answers is spread over several tasks.
+    Equal answers of an attempt are counted before the join with the key, and a question that holds more than one
+    task's share of them is spread over several.
     """
     counted = answers.groupBy(attempt, question, answer).agg(F.count("*").alias("_n"))
     marked = salted_join(counted, answer_key.select(question, solution), [question], [attempt, answer], "left")

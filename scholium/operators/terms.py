@@ -1,70 +1,74 @@
-"""Word statistics shared by search, summaries, flashcards and quizzes."""
+"""Word statistics shared by summaries, flashcards and quizzes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholium.functions.text import sentences, words
-from scholium.plans import fill_from, split_frequent, weighted_lookup
+from scholium.plans import cut_lineage, fill_from, split_frequent, weighted_lookup
 
 # Scores are compared after rounding, since the order of a distributed sum is not fixed.
 SCORE_DIGITS = 6
 
 
-def document_frequency(
-    docs: DataFrame, text: str, within: Sequence[str] = (), min_length: int = 1, min_df: int = 1
-) -> DataFrame:
-    """Number of documents that use each word (of a group).
+def word_places(docs: DataFrame, doc_id: str, text: str, *keep: str) -> DataFrame:
+    """One row per document with its words: id, kept columns, ``_terms`` (each distinct word and its ``places``).
 
-    A document is one row, so its distinct words are found inside the row and only partial
-    counts per word are shuffled.
+    ``places`` has the position of the sentence of every use, in order. The text is split inside the row: its uses are sorted
+    and cut where the word changes, so nothing but distinct words ever leaves the document. The table is written once and
+    serves all statistics of a job.
     """
-    distinct = F.explode(F.array_distinct(words(text))).alias("term")
-    return (
-        docs.select(*within, distinct)
-        .where(F.length("term") >= min_length)
-        .groupBy(*within, "term")
-        .agg(F.count("*").alias("df"))
-        .where(F.col("df") >= min_df)
+    uses = F.flatten(
+        F.transform(sentences(text), lambda s, i: F.transform(words(s), lambda w: F.struct(w.alias("term"), i.alias("pos"))))
+    )
+    ordered = docs.select(doc_id, *keep, F.sort_array(uses).alias("_uses"))
+    term_at = lambda i: F.get("_uses", i)["term"]
+    every = F.when(F.size("_uses") > 0, F.sequence(F.lit(0), F.size("_uses") - 1))
+    cut = ordered.withColumn("_heads", F.filter(every, lambda i: (i == 0) | (term_at(i) != term_at(i - 1))))
+    stop = lambda k: F.coalesce(F.get("_heads", k + 1), F.size("_uses"))
+    terms = F.transform(
+        "_heads",
+        lambda i, k: F.struct(
+            term_at(i).alias("term"), F.transform(F.slice("_uses", i + 1, stop(k) - i), lambda u: u["pos"]).alias("places")
+        ),
     )
+    return cut_lineage(cut.select(doc_id, *keep, terms.alias("_terms")))
 
 
-def inverse_frequency(docs: DataFrame, text: str) -> tuple[DataFrame, Column]:
-    """``idf`` = ln(documents / documents with the word) of the words used by several documents
-    (with ``df``), and the idf of any other word.
+def document_frequency(places: DataFrame, *within: str, when: Column | None = None) -> DataFrame:
+    """Number of documents that use each word (of a group), and with ``when`` of those where it holds (``df_when``)."""
+    counts = [F.count("*").alias("df")] + ([] if when is None else [F.count_if("_when").alias("df_when")])
+    marks = [] if when is None else [when.alias("_when")]
+    return places.select(*within, *marks, F.explode("_terms.term").alias("term")).groupBy(*within, "term").agg(*counts)
 
-    Words of a single document, most of any vocabulary, stay out of the table.
-    """
-    n = docs.agg(F.count("*").cast("double")).scalar()
-    repeated = document_frequency(docs, text, min_df=2)
-    return repeated.withColumn("idf", F.log(n / F.col("df"))), F.log(n)
 
+def with_idf(rows: DataFrame, counted: DataFrame, documents: Column, doc_id: str) -> DataFrame:
+    """Add ``idf`` = ln(documents / documents with the word) to rows of one document and ``term`` each.
 
-def with_idf(words_of_docs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Add ``idf`` to rows of one document and ``term`` each."""
-    repeated, alone = inverse_frequency(docs, text)
-    found = weighted_lookup(words_of_docs, repeated, ["term"], "df", "idf", [doc_id])
-    return found.withColumn("idf", F.coalesce("idf", alone))
+    ``counted`` has ``df`` per ``term``. Words of a single document, most of any vocabulary, stay out of the lookup.
+    """
+    repeated = counted.where("df >= 2").select("term", "df", F.log(documents / F.col("df")).alias("idf"))
+    found = weighted_lookup(rows, repeated, ["term"], "df", "idf", [doc_id])
+    return found.withColumn("idf", F.coalesce("idf", F.log(documents)))
 
 
-def sentence_scores(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def sentence_scores(places: DataFrame, doc_id: str) -> DataFrame:
     """Mean idf of the word uses of each sentence.
 
     The frequent words of a sentence, most of any text, are summed up before anything is
-    shuffled; only its other words travel to the second lookup one by one.
+    shuffled; only other words travel, once per document.
     """
-    repeated, alone = inverse_frequency(docs, text)
+    documents = places.agg(F.count("*").cast("double")).scalar()
+    alone = F.log(documents)
+    repeated = document_frequency(places).where("df >= 2").withColumn("idf", F.log(documents / F.col("df")))
     frequent, others = split_frequent(repeated, "df")
-    uses = sentence_words(docs, doc_id, text).join(frequent, "term", "left")
-    other_term = F.when(F.col("idf").isNull(), F.col("term")).alias("term")
-    summed = uses.groupBy(doc_id, "pos", other_term).agg(F.sum("idf").alias("idf"), F.count("*").alias("n"))
-    filled = fill_from(summed, others, ["term"], "idf", [doc_id, "pos"])
-    # Without a word the row holds a sum already, else the idf of each of its n uses.
-    total = F.when(F.col("term").isNull(), F.col("idf")).otherwise(F.coalesce("idf", alone) * F.col("n"))
-    return filled.groupBy(doc_id, "pos").agg(rounded(F.sum(total) / F.sum("n")).alias("score"))
+    told = places.select(doc_id, F.inline("_terms")).join(frequent, "term", "left")
+    # A word that is looked up already needs no second lookup.
+    asked = told.withColumn("term", F.when(F.col("idf").isNull(), F.col("term")))
+    filled = fill_from(asked, others, ["term"], "idf", [doc_id]).withColumn("idf", F.coalesce("idf", alone))
+    uses = filled.select(doc_id, "idf", F.explode("places").alias("_pos"))
+    return uses.groupBy(doc_id, F.col("_pos").cast("bigint").alias("pos")).agg(rounded(F.sum("idf") / F.count("*")).alias("score"))
 
 
 def sentence_rows(docs: DataFrame, doc_id: str, text: str, *keep: str) -> DataFrame:
@@ -73,10 +77,5 @@ def sentence_rows(docs: DataFrame, doc_id: str, text: str, *keep: str) -> DataFr
     )
 
 
-def sentence_words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per word use with the position of its sentence."""
-    return sentence_rows(docs, doc_id, text).select(doc_id, "pos", F.explode(words("sentence")).alias("term"))
-
-
 def rounded(score: Column) -> Column:
     return F.round(score, SCORE_DIGITS)

@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 16
+# Most keys a frequent-items sketch keeps.
+MOST_TRACKED = 100_000
 # Share of all facts from which a key counts as frequent; also the most frequent keys there can be.
 SHARES = 20_000
 
 
+def heavy_keys(facts: DataFrame, on: Sequence[str], tasks: int) -> list[tuple[int, int]]:
+    """Keys that hold more than a task's share of the rows, as (hash, tasks they deserve).
+
+    One scan with a frequent-items sketch as aggregate: partial sketches of bounded size are merged, no key is shuffled.
+    The sketch never misses a key above its error and may count one too high, which costs a task too many.
+    There are fewer such keys than ``tasks``.
+    """
+    # Tracks eight times as many keys as there can be heavy ones, so the error is a small part of a task's share.
+    tracked = min(max(8 * tasks, 1000), MOST_TRACKED)
+    top = F.call_function("approx_top_k", F.xxhash64(*on), F.lit(min(tasks, tracked)), F.lit(tracked))
+    found = facts.agg(top.alias("top"), F.count("*").alias("n")).first()
+    fair = found["n"] / tasks
+    return [(row["item"], math.ceil(row["count"] / fair)) for row in found["top"] if row["count"] > max(fair, 1)]
+
+
 def salted_join(
     facts: DataFrame,
     dimension: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = DEFAULT_SALTS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Join a large side to a much smaller one whose keys are unique.
 
-    Each fact row goes to one of ``salts`` shares of its key, chosen from ``spread_by``; the
-    dimension is repeated once per share. A key that holds a third of the facts is then spread
-    over ``salts`` tasks. ``how`` may be inner or left.
+    The weight of the keys is measured first. Rows of a key that holds more than the share of one of ``tasks`` (by default the
+    session's shuffle partitions) are dealt, by ``spread_by``, to as many shares as it deserves, and the
+    key's row of the dimension is repeated as often; a table without such keys is joined as it is. ``how`` may be inner
+    or left; the keys of both sides have the same types.
     """
     if how not in ("inner", "left"):
         raise ValueError("a salted join repeats its right side: only inner and left are exact")
-    share = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    repeated = dimension.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    joined = facts.withColumn("_share", share).join(repeated, [*on, "_share"], how)
+    tasks = tasks or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(facts, on, tasks)
+    if not heavy:
+        return facts.join(dimension, list(on), how)
+    # Fewer rows than tasks.
+    shares = F.broadcast(facts.sparkSession.createDataFrame(heavy, "_key bigint, _shares bigint"))
+    key = F.xxhash64(*on).alias("_key")
+    dealt = facts.select("*", key).join(shares, "_key", "left")
+    dealt = dealt.withColumn("_share", F.pmod(F.xxhash64(*spread_by), F.coalesce("_shares", F.lit(1))))
+    repeated = dimension.select("*", key).join(shares, "_key", "left")
+    repeated = repeated.withColumn("_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1)))
+    joined = dealt.drop("_key", "_shares").join(repeated.drop("_key", "_shares"), [*on, "_share"], how)
     return joined.drop("_share")
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholium.operators import notes, practice, search
+from scholium.operators.terms import word_places
 
 DOCS = [
     (1, "en", "maths", "Graphs have vertices. Graphs have edges.\nTrees are graphs without cycles."),
@@ -184,3 +185,49 @@ def test_note_list(spark):
     assert [r.title for r in got] == ["T2", "T1"] and got[1].description == "x" * 100
     assert notes.list_notes(base, "t", "s", "x", "at", only="R").count() == 1
     assert notes.keyword_filter(base, "x", "").count() == 2
+
+
+def test_words_and_their_places_are_found_inside_the_row(spark):
+    texts = [(1, "B a b. A b!\nc"), (2, ""), (3, None), (4, "One one. ONE\n\none"), (5, "...")]
+    frame = spark.createDataFrame(texts, "d int, text string")
+    got = {r.d: r._terms for r in word_places(frame, "d", "text").collect()}
+    found = {d: terms and [(t.term, t.places) for t in terms] for d, terms in got.items()}
+    assert found[1] == [("a", [0, 1]), ("b", [0, 0, 1]), ("c", [2])]
+    assert found[4] == [("one", [0, 0, 1, 2])]
+    assert not found[2] and not found[3] and not found[5]
+
+
+@pytest.mark.parametrize("band", [1, 3, 4, 256])
+def test_rank_neighbours_like_counting_on(spark, band):
+    """Languages of one word up to many; the last ranks go round."""
+    sizes = {"a": 1, "b": 2, "c": 3, "d": 4, "e": 5, "f": 23}
+    rows = [(lang, f"{lang}{rank}", rank, size) for lang, size in sizes.items() for rank in range(1, size + 1)]
+    vocabulary = spark.createDataFrame(rows, "lang string, term string, rank bigint, size bigint")
+    asked = vocabulary.where("rank % 2 = 1 OR rank = size")
+    got = sorted(map(tuple, practice.rank_neighbours(vocabulary, asked, "lang", 3, band).collect()))
+    want = []
+    for lang, term, rank, size in rows:
+        if rank % 2 == 1 or rank == size:
+            want += [(lang, term, f"{lang}{(rank - 1 + step) % size + 1}") for step in range(1, min(3, size - 1) + 1)]
+    assert got == sorted(want)
+
+
+def scans(df):
+    """How often a plan splits texts into sentences or words."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+
+
+def test_texts_are_split_once_for_all_statistics(spark, docs):
+    """What is left in the plan is the splitting into sentences that gives the text of cards and summaries."""
+    for made in (
+        notes.summarise(docs, "doc_id", "topic", "text", 2),
+        practice.make_flashcards(docs, "doc_id", "topic", "text", 2),
+        practice.make_quiz(docs, "doc_id", "topic", "text", "lang"),
+    ):
+        assert scans(made) == 0
+
+
+def test_the_vocabulary_is_not_multiplied(spark, docs):
+    vocabulary = spark.createDataFrame([("en", "x", 1, 1)], "lang string, term string, rank bigint, size bigint")
+    plan = practice.rank_neighbours(vocabulary.repartition(2), vocabulary, "lang", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") <= 2

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholium.plans import lead_in_order, number_rows, positions, salted_join, top_per_key, weighted_lookup
+from scholium.plans.skew import heavy_keys
 
 
 @pytest.fixture(scope="module")
@@ -106,12 +107,52 @@ def test_joins_keep_every_row(spark, rows):
     weighted = weighted_lookup(df, names, ["k"], "n", "name", ["i"])
     assert sorted((r.i, r.name) for r in salted.collect()) == expected
     assert sorted((r.i, r.name) for r in weighted.collect()) == expected
+    for tasks in (1, 2, 50, 500):
+        assert sorted((r.i, r.name) for r in salted_join(df, names, ["k"], ["i"], "left", tasks).collect()) == expected
     inner = salted_join(df, names, ["k"], ["i"])
     assert inner.count() == len([k for k, _, _ in data if k != "k7"])
     with pytest.raises(ValueError):
         salted_join(df, names, ["k"], ["i"], "full")
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("explode(")
+
+
+def test_heavy_keys_and_their_shares(spark, rows):
+    data, df = rows
+    heavy = dict(heavy_keys(df, ["k"], 30))
+    key = df.where("k = 'hot'").select(F.xxhash64("k")).first()[0]
+    # Two thirds of the rows are twenty of thirty shares; no other key has a share.
+    assert set(heavy) == {key} and 20 <= heavy[key] <= 21
+    assert heavy_keys(df.where("k <> 'hot'"), ["k"], 30) == []
+    assert heavy_keys(df.where("false"), ["k"], 30) == []
+
+
+def test_only_heavy_keys_are_salted(spark, rows):
+    df = rows[1]
+    names = df.select("k").distinct().withColumn("name", F.upper("k"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "30"
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        even = salted_join(df.where("k <> 'hot'"), names.where("k <> 'hot'"), ["k"], ["i"], "left", 30)
+        skewed = salted_join(df, names, ["k"], ["i"], "left", 30)
+        # One exchange of the facts and one of the names (besides that of their distinct): nothing is repeated.
+        assert exchanges(even) == (2, 0)
+        assert exchanges(skewed)[1] == 1
+        # No task gets more than a few shares of the hot key.
+        sizes = [r[0] for r in skewed.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert max(sizes) < 0.5 * len(rows[0])
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_top_per_key_is_cut_before_the_shuffle(rows):
     plan = top_per_key(rows[1], ["k"], [F.col("v")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
