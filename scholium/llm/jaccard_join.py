@@ -10,7 +10,8 @@ A document's set holds the hashes of its distinct five-word shingles. Documents
 3. All linked sets share one of the first quarter of each ("prefix") in any common order; rare hashes come first. What
    is left are prefix hashes whose classes lie in different components. They are compared in tiles: classes of
    like size, at most ``TILE`` by ``TILE`` of them, with hashed bitmaps of their sets. The bits in which two bitmaps
-   differ bound the overlap from above; pairs that may still be linked are decided by intersecting the sorted hashes.
+   differ bound the overlap from above; pairs that may still be linked are decided by intersecting the sorted hashes. A
+   pair that shares several hashes comes up at the first of them, as far as ``LEAD`` hashes of each class tell.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.llm.components import components
-from scholium.llm.texts import field_type, filled, schema, task_cache, written
+from scholium.llm.texts import field_type, filled, schema, written
 from scholium.plans.skew import SHARES
 
 WORDS = 5
@@ -40,30 +42,21 @@ LEADERS, STAR_ROUNDS = 4, 3
 # Hashes that more classes have than COMMON stand at the end of the order, at most the MOST_COMMON of them by count.
 COMMON, MOST_COMMON = 4, 200_000
 TILE = 256
-CACHE_ENTRIES = 250_000
+SMALL_TILE = 16  # tiles up to this size are compared together
 SLICE_ROWS = 512  # rows whose sets a task has in memory at a time
 LEAST_RANGE_BITS = 6
+# First tokens of a class that tell whether a pair has met before.
+LEAD = 32
 
-_words: dict[bytes, int] = {}
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WORDS)], dtype=np.uint64)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task_cache("shingles", _words.clear)
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(start, SLICE_ROWS)
 
 
-def _word_hash(word: bytes) -> int:
-    found = _words.get(word)
-    if found is None:
-        if len(_words) >= CACHE_ENTRIES:
-            _words.clear()
-        found = _words[word] = xxhash.xxh64_intdigest(word)
-    return found
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit numbers evenly, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -71,19 +64,38 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the five-word shingles; of fewer words, one of the whole sequence."""
-    hashes = np.array([_word_hash(w) for w in text.encode().lower().split()], dtype=np.uint64)
-    if not len(hashes):
-        return hashes
-    if len(hashes) < WORDS:
-        total = (hashes * _MULTIPLIERS[: len(hashes)]).sum(dtype=np.uint64) + np.uint64(len(hashes))
-        return _mixed(np.array([total], dtype=np.uint64))
-    count = len(hashes) - WORDS + 1
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its five-word shingles; of fewer words, one of the whole sequence."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, owners = lists.flatten(), pc.list_parent_indices(lists)
+    some = pc.greater(pc.binary_length(words), 0)
+    owner = pc.filter(owners, some).to_numpy()
+    # Every word of the batch is hashed once.
+    coded = pc.filter(words, some).dictionary_encode()
+    known = coded.dictionary.cast(pa.binary()).to_pylist()
+    table = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+    hashes = table[coded.indices.to_numpy()]
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    count = max(0, len(hashes) - WORDS + 1)
     total = np.zeros(count, dtype=np.uint64)
     for k in range(WORDS):
         total += hashes[k : k + count] * _MULTIPLIERS[k]
-    return np.unique(_mixed(total))
+    total = _mixed(total)
+    sets = []
+    for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if end - start >= WORDS:
+            found = np.sort(total[start : end - WORDS + 1])
+            sets.append(found[np.concatenate([[True], found[1:] != found[:-1]])])
+            continue
+        few = hashes[start:end]
+        if len(few):
+            few = _mixed(np.array([(few * _MULTIPLIERS[: len(few)]).sum(dtype=np.uint64) + np.uint64(len(few))], dtype=np.uint64))
+        sets.append(few)
+    return sets
+
+
+def shingle_set(text: str) -> np.ndarray:
+    return shingle_sets(pa.array([text]))[0]
 
 
 def set_name(hashes: np.ndarray) -> bytes:
@@ -132,7 +144,7 @@ def _named_sets(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sets = [shingle_set(t) for t in filled(batch.column(1)).to_pylist()]
+            sets = shingle_sets(filled(batch.column(1)))
             names = pa.array([set_name(s) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(list(map(len, sets)), pa.int64())], names=out.names)
 
@@ -179,12 +191,12 @@ def _ranges(rows: DataFrame, bits: int) -> DataFrame:
         step: dict[bytes, np.ndarray] = {}
         size = 0
         for batch in _slices(batches):
-            for text in filled(batch.column(1)).to_pylist():
-                hashes = shingle_set(text)
+            texts = filled(batch.column(1))
+            for hashes, length in zip(shingle_sets(texts), pc.binary_length(texts).to_pylist()):
                 if not len(hashes):
                     continue
                 step[set_name(hashes)] = hashes
-                size += len(text)
+                size += length
                 if size >= STEP_BYTES or len(step) >= STEP_DOCS:
                     yield from send(step)
                     step, size = {}, 0
@@ -230,8 +242,7 @@ def _sets_of(rows: DataFrame, owners: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             names, hashes, bits = [], [], []
-            for wanted, text in zip(batch.column(0).to_pylist(), filled(batch.column(1)).to_pylist()):
-                found = shingle_set(text)
+            for wanted, found in zip(batch.column(0).to_pylist(), shingle_sets(filled(batch.column(1)))):
                 if len(found) and set_name(found) == wanted:  # an id may stand for several texts
                     names.append(wanted)
                     hashes.append(found.tobytes())
@@ -354,37 +365,82 @@ def _tile_pairs(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
     """Pairs (a, b) of different components that share a prefix hash and that size and bitmap let pass."""
     placed = prefixes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     spread = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    open_ = placed.join(spread.select("token"), "token", "left_semi").select("cid", "token", "comp")
+    open_ = placed.join(spread.select("token"), "token", "left_semi").select("cid", "token", "comp", "at")
+    # The first tokens of each class, in the common order, that it may share with others.
+    leads = open_.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "token"))), 1, LEAD).alias("_lead"))
+    leads = leads.select("cid", F.col("_lead.token").alias("lead"))
     band = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9).cast("int")
-    sized = open_.join(sets.select("cid", "n"), "cid").withColumn("_band", band)
+    sized = open_.drop("at").join(sets.select("cid", "n"), "cid").withColumn("_band", band)
     # A class stands in its own band and in the next one, so neighbours meet once at least.
     banded = written(sized.withColumn("band", F.explode(F.array("_band", F.col("_band") + 1))).drop("_band"), "banded")
     counts = banded.groupBy("token", "band").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     counts = counts.where("lo < hi").select("token", "band", F.ceil(F.col("rows") / TILE).cast("int").alias("sides"))
-    sided = banded.join(counts, ["token", "band"]).join(sets.select("cid", "bits"), "cid")
+    sided = banded.join(counts, ["token", "band"]).join(sets.select("cid", "bits").join(leads, "cid"), "cid")
     side = F.pmod(F.xxhash64("cid"), F.col("sides")).cast("int")
     # Each class meets every side of its group: tile (i, j) holds side i and side j.
     dealt = sided.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     keys = ["token", "band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")]
-    tiles = dealt.select(*keys, "cid", "comp", "n", "bits").repartition("token", "band", "i", "j")
+    tiles = dealt.select(*keys, "cid", "comp", "n", "bits", "lead").repartition("token", "band", "i", "j")
     tiles = tiles.sortWithinPartitions("token", "band", "i", "j")
     out = schema(("a", "long"), ("b", "long"))
+    most = LEAD
 
     def compared(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         cid, comp, n = (tile.column(c).to_numpy() for c in ("cid", "comp", "n"))
         bitmaps = [np.frombuffer(b, np.uint64) for b in tile.column("bits").to_pylist()]
         width = min(map(len, bitmaps))
         bits = np.stack([folded(b, width) for b in bitmaps])
+        token = tile.column("token")[0].as_py()
+        leads = np.stack([np.pad(np.array(x, np.int64), (0, most - len(x)), constant_values=token) for x in tile.column("lead").to_pylist()])
         a, b = [], []
         for k in range(len(cid) - 1):
             rest = slice(k + 1, None)
             apart = np.bitwise_count(bits[rest] ^ bits[k]).sum(axis=1, dtype=np.int64)
             sizes = 100 * np.minimum(n[rest], n[k]) >= PERCENT * np.maximum(n[rest], n[k])
             hit = np.flatnonzero((comp[rest] != comp[k]) & sizes & may_link(int(n[k]), n[rest], apart)) + k + 1
+            # Tokens stand in one order everywhere: those before this one, if both have one of them, brought the pair up already.
+            earlier = leads[k][: np.argmax(leads[k] == token) if (leads[k] == token).any() else most]
+            hit = hit[~np.isin(leads[hit], earlier).any(axis=1)]
             a.append(np.minimum(cid[hit], cid[k]))
             b.append(np.maximum(cid[hit], cid[k]))
         return np.concatenate(a), np.concatenate(b)
 
+    def compared_together(table: pa.Table, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many small tiles: neighbours in one tile, pair by pair, with bitmaps as numbers."""
+        cid, comp, n, token = (table.column(c).to_numpy() for c in ("cid", "comp", "n", "token"))
+        raw, leads = table.column("bits"), table.column("lead")
+        firsts, seconds = [], []
+        for away in range(1, SMALL_TILE):
+            k = np.flatnonzero((tile[:-away] == tile[away:]) & (comp[:-away] != comp[away:]))
+            like = 100 * np.minimum(n[k], n[k + away]) >= PERCENT * np.maximum(n[k], n[k + away])
+            firsts.append(k[like])
+            seconds.append(k[like] + away)
+        a, b = [], []
+        numbers: dict[int, tuple[int, int]] = {}
+
+        def number(row: int) -> tuple[int, int]:
+            if row not in numbers:
+                value = raw[row].as_py()
+                numbers[row] = int.from_bytes(value, "little"), 8 * len(value)
+            return numbers[row]
+
+        for x, y in zip(np.concatenate([[], *firsts]).astype(int).tolist(), np.concatenate([[], *seconds]).astype(int).tolist()):
+            (p, wide), (q, other) = number(x), number(y)
+            while wide > other:
+                wide //= 2
+                p = (p >> wide) ^ (p & ((1 << wide) - 1))
+            while other > wide:
+                other //= 2
+                q = (q >> other) ^ (q & ((1 << other) - 1))
+            if not may_link(int(n[x]), n[y], (p ^ q).bit_count()):
+                continue
+            lead = leads[x].as_py()
+            earlier = lead[: lead.index(token[x])] if token[x] in lead else lead
+            if set(earlier).isdisjoint(leads[y].as_py()):
+                a.append(min(cid[x], cid[y]))
+                b.append(max(cid[x], cid[y]))
+        return np.array(a, np.int64), np.array(b, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -394,7 +450,13 @@ def _tile_pairs(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
             heads = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
             ends = [*heads[1:], table.num_rows]
             whole = len(heads) if last else len(heads) - 1
-            found = [compared(table.slice(h, e - h)) for h, e in zip(heads[:whole], ends[:whole]) if e - h > 1]
+            sizes = np.diff([*heads, table.num_rows])
+            found = [compared(table.slice(h, e - h)) for h, e, size in zip(heads[:whole], ends[:whole], sizes) if size > SMALL_TILE]
+            few = np.repeat(np.where(sizes <= SMALL_TILE, np.arange(len(heads)), -1), sizes)
+            few[heads[whole] if whole < len(heads) else table.num_rows :] = -1
+            chosen = np.flatnonzero(few >= 0)
+            if len(chosen) > 1:
+                found.append(compared_together(table.take(pa.array(chosen)).combine_chunks(), few[chosen]))
             a, b = (np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]) for i in (0, 1))
             both = np.unique(np.stack([a, b]), axis=1)
             rest = table.slice(heads[whole]) if whole < len(heads) else table.slice(table.num_rows)
@@ -474,7 +536,7 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sets = [shingle_set(t) for t in filled(batch.column(at)).to_pylist()]
+            sets = shingle_sets(filled(batch.column(at)))
             names = pa.array([set_name(s) if len(s) else b"" for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, names], names=own.names)
 

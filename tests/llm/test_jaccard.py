@@ -1,11 +1,15 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from scholium.llm import jaccard_join
 from scholium.llm.components import components
-from scholium.llm.jaccard_join import bitmap, drop_similar, folded, linked, may_link, prefix_size, shingle_set, similar_documents
+from scholium.llm.jaccard_join import (
+    bitmap, drop_similar, folded, linked, may_link, prefix_size, shingle_set, shingle_sets, similar_documents,
+)
 from scholium.llm.queries import LLM_QUERIES
 from tests.llm.frames import ROWS, clashing, documents, rows_of
 
@@ -66,8 +70,12 @@ def near_copies():
     return [(i, " ".join(r)) for i, r in zip(ids, rows)]
 
 
-@pytest.mark.parametrize("first, tile, common", [(8, 256, 4), (0, 3, 4), (8, 256, 10**9), (0, 64, 10**9)])
-def test_like_brute_force_by_stars_and_by_tiles(spark, monkeypatch, first, tile, common):
+@pytest.mark.parametrize(
+    "first, tile, common, lead, small", [(8, 256, 4, 32, 16), (0, 3, 4, 1, 2), (8, 256, 10**9, 32, 300), (0, 64, 10**9, 4, 1)]
+)
+def test_like_brute_force_by_stars_and_by_tiles(spark, monkeypatch, first, tile, common, lead, small):
+    monkeypatch.setattr(jaccard_join, "LEAD", lead)
+    monkeypatch.setattr(jaccard_join, "SMALL_TILE", small)
     monkeypatch.setattr(jaccard_join, "FIRST", first)
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     monkeypatch.setattr(jaccard_join, "COMMON", common)
@@ -96,6 +104,19 @@ def test_drop_similar_keeps_one_row_of_each_component(spark):
     assert drop_similar(documents(spark, [])).collect() == []
 
 
+def test_shingles_of_a_batch_like_those_of_each_text():
+    """Words end at the six ASCII white spaces alone, A-Z alone are lowered, and no shingle reaches into the next text."""
+    texts = ["", "  ", "One", " a  b\tc\nd\x0be\x0cf\rg ", "a b c d", "É é A\xa0b \x1c c d e", "A B C D e f", "x " * 50]
+    for text, found in zip(texts, shingle_sets(pa.array(["pad pad pad", *texts, "pad"]).slice(1, len(texts)))):
+        words = text.encode().lower().split()
+        want = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        assert len(found) == len(want) and (np.diff(found.astype(object)) > 0).all()
+        assert (found == shingle_set(text)).all()
+    assert (shingle_set("a b c d e") == shingle_set("A  B\tC D E")).all() and (shingle_set("a b c d") != shingle_set("a b c e")).all()
+    assert set(shingle_set("a b c d e f")) & set(shingle_set("z b c d e f"))
+    assert shingle_sets(pa.array([], pa.string())) == []
+
+
 def test_bounds_never_lose_a_link():
     pick = random.Random(9)
     words = [f"v{i}" for i in range(400)]
@@ -117,3 +138,23 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
+
+
+def test_a_pair_comes_up_once_for_many_shared_hashes(spark, monkeypatch):
+    """Texts that share most shingles but too few to be linked: as many pairs as there are, not one per shared hash."""
+    pick = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(12):
+        text = list(base)
+        for place in range(k % 4 * 3, 120, 24):  # each edit breaks five of 116 shingles
+            text[place] = f"x{k}-{place}"
+        texts.append(" ".join(text))
+    found = []
+    monkeypatch.setattr(jaccard_join, "FIRST", 0)
+    plain = jaccard_join._tile_pairs
+    monkeypatch.setattr(jaccard_join, "_tile_pairs", lambda *a: found.append(plain(*a)) or found[-1])
+    rows = list(enumerate(texts))
+    assert rows_of(similar_documents(documents(spark, rows))) == brute(rows)
+    tiles = found[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in tiles and found[0].count() <= 66
