@@ -48,10 +48,14 @@ ASIDE_WORDS = set(
     "reply respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget".split()
 )
 
+# Attributes of a tag. A quote opens a value only directly behind the equals sign; elsewhere it is part of a name or of a
+# value without quotes, which white space or the end of the tag ends.
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+)"
+_ATTRIBUTES = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRIBUTES})>"
     r"|<[!?/][^>]*>"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,

@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pyarrow.parquet as pq
+from hypothesis import given, settings as hypothesis_settings, strategies as st
 
 from scholium.llm.html_blocks import (
-    HIDDEN_SIZE, INPUT_SIZE, Labeller, _backward, _forward, block_vectors, extract_text, main_text, parse_blocks,
+    _TOKEN, HIDDEN_SIZE, INPUT_SIZE, Labeller, _backward, _forward, block_vectors, extract_text, main_text, parse_blocks,
     teaching_pages, train_html, train_labeller, training_pages, weak_labels,
 )
 from scholium.llm.queries import LLM_QUERIES
@@ -139,3 +140,65 @@ def test_awkward_rows(spark):
     assert extract_text(df.limit(0), model).collect() == []
     assert extract_text(df, train_html(df.limit(0))).count() == len(rows)
     assert main_text([], np.zeros(0)) == ""
+
+
+def end_of_tag(page, at):
+    """Where a tag ends whose attributes begin at ``at``, state by state as the HTML standard has it; None if a quote stays open."""
+    state, end = "before name", len(page)
+    while at < end:
+        c = page[at]
+        if state == "before name":
+            if c == ">":
+                return at + 1
+            if not (c.isspace() or c == "/"):
+                state = "name"
+        elif state in ("name", "after name"):
+            if c == ">":
+                return at + 1
+            if c == "=":
+                state = "before value"
+            elif c == "/":
+                state = "before name"
+            elif c.isspace():
+                state = "after name"
+            elif state == "after name":
+                state = "name"
+        elif state == "before value":
+            if c == ">":
+                return at + 1
+            if c in "\"'":
+                close = page.find(c, at + 1)
+                if close < 0:
+                    return None
+                at, state = close, "before name"
+            elif not c.isspace():
+                state = "value"
+        elif state == "value":
+            if c == ">":
+                return at + 1
+            if c.isspace():
+                state = "before name"
+        at += 1
+    return None
+
+
+@given(st.text(alphabet="ab=\"'/ >", max_size=25))
+@hypothesis_settings(max_examples=3000, deadline=None)
+def test_tags_end_where_html_ends_them(attributes):
+    page = f"<p {attributes}>text</p>"
+    end = end_of_tag(page, 2)
+    if end is not None:
+        assert _TOKEN.match(page).end() == end
+
+
+def test_stray_quotes_lose_and_leak_nothing():
+    page = '<article><p title="5" tall">Hello world</p><p data-x=it\'s>Third</p><p>Fourth it\'s</p><p alt=\'a>b\' c="d>e">Fifth</p></article>'
+    assert [b.text for b in parse_blocks(page)] == ["Hello world", "Third", "Fourth it's", "Fifth"]
+    assert [b.text for b in parse_blocks("<script data-x=it's>no</script><p>yes's</p>")] == ["yes's"]
+    assert [b.text for b in parse_blocks("<p>a</p><scripture x=\"y\">b</scripture>")] == ["a", "b"]
+
+
+def test_a_stray_quote_in_a_page_changes_nothing():
+    for page in pq.read_table(f"{FOLDER}/pages.parquet").column("html").to_pylist():
+        for dressed in (page.replace("<p>", "<p data-x=it's>", 1), page.replace("<p>", '<p title="5" tall">', 1)):
+            assert parse_blocks(dressed) == parse_blocks(page)
