@@ -43,14 +43,14 @@ def period_change(
     """Total per learner and period and its change in percent against the period before.
 
     Idle periods after a learner's first one count as zero, up to the period of ``as_of`` when
-    given (else up to the learner's last). The change is null when the period before is zero.
+    given (else up to the learner's last); rows count that lie before ``as_of``. The change is null when the period before is zero.
     """
     if unit not in ("day", "week"):
         raise ValueError("unit must be day or week")
     step = 7 if unit == "week" else 1
     start = week_of if unit == "week" else day_of
     if as_of is not None:
-        df = df.where(F.col(ts) <= at(as_of))
+        df = df.where(F.col(ts) < at(as_of))
     totals = df.groupBy(key, start(ts).alias("period")).agg(F.round(F.sum(measure), 2).alias("total"))
     by_time = Window.partitionBy(key).orderBy("period")
     last = F.col("period") if as_of is None else start(at(as_of))
