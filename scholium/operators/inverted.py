@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from scholium.functions.kernels import id_array
+from scholium.functions.kernels import BestAbove, floors_of, id_array
 from scholium.functions.text import words
 from scholium.operators.terms import SCORE_DIGITS
 from scholium.plans import scratch_dir
@@ -86,10 +86,8 @@ class BlockSearch:
         self.words = entries[:, 1]
         self.asking, self.starts = np.unique(entries[:, 0], return_index=True)
         self.ends = np.append(self.starts[1:], len(entries))
-        self.idf, self.k, self.mean_length = idf, k, mean_length
-        # What a score must reach to be among the best of a query.
-        self.floors = np.full(queries, -np.inf) if floors is None else floors.copy()
-        self.best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.idf, self.mean_length = idf, mean_length
+        self.best = BestAbove(k, queries, floors)
         self.offered = self.skipped = 0
 
     def offer(self, words_: np.ndarray, bounds: np.ndarray, postings) -> None:
@@ -100,7 +98,7 @@ class BlockSearch:
         most = np.zeros(len(self.idf))
         most[words_] = self.idf[words_] * bounds
         sums = np.add.reduceat(most[self.words], self.starts) if len(self.starts) else np.zeros(0)
-        reaching = np.flatnonzero((sums > 0) & (sums + SLACK >= self.floors[self.asking]))
+        reaching = np.flatnonzero((sums > 0) & (sums + SLACK >= self.best.floors[self.asking]))
         if not len(reaching):
             self.skipped += 1
             return
@@ -118,19 +116,7 @@ class BlockSearch:
                 weights.append(seen[word][1])
             names, place = np.unique(np.concatenate(ids), return_inverse=True)
             scores = np.round(np.bincount(place, np.concatenate(weights), len(names)), SCORE_DIGITS)
-            self._keep(int(self.asking[a]), names, scores)
-
-    def _keep(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        high = scores >= self.floors[query]
-        ids, scores = ids[high], scores[high]
-        if query in self.best:
-            held_ids, held = self.best[query]
-            ids, scores = np.concatenate([held_ids, ids]), np.concatenate([held, scores])
-        order = np.lexsort((ids, -scores))[: self.k]
-        if len(order):
-            self.best[query] = ids[order], scores[order]
-            if len(order) == self.k:
-                self.floors[query] = max(self.floors[query], scores[order[-1]])
+            self.best.offer(int(self.asking[a]), names, scores)
 
 
 def search_index(
@@ -157,6 +143,8 @@ def search_index(
     for number in range(slabs):
         # About ``slab_entries`` rows, all words of a query in one slab.
         rows = asked.where(slab == number).select(query_id, "term").collect()
+        if not rows:
+            continue
         names, terms = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
         numbered = F.broadcast(spark.createDataFrame(list(enumerate(terms)), "no int, term string"))
         used = index.postings.join(numbered, "term")
@@ -166,13 +154,7 @@ def search_index(
         number_of_query = {name: i for i, name in enumerate(names)}
         pairs = np.array(sorted((number_of_query[q], number_of_term[t]) for q, t in rows), dtype=np.int64).reshape(-1, 2)
         first = _pass(index, used.where(seeding), names, pairs, idf, None, k, schema, skipped).collect()
-        floors = np.full(len(names), -np.inf)
-        by_query: dict[int, list[float]] = {}
-        for query, _, score in first:
-            by_query.setdefault(number_of_query[query], []).append(score)
-        for query, scores in by_query.items():
-            if len(scores) >= k:
-                floors[query] = sorted(scores, reverse=True)[k - 1]
+        floors = floors_of(first, number_of_query, k)
         rest = _pass(index, used.where(~seeding), names, pairs, idf, floors, k, schema, skipped)
         hits = hits.unionByName(spark.createDataFrame(first, schema)).unionByName(rest)
     return hits
@@ -213,10 +195,7 @@ def _pass(
             offer(held)
         if skipped is not None:
             skipped.add(search.skipped)
-        queries = [query_names[q] for q, (found, _) in search.best.items() for _ in found]
-        found = [i for ids, _ in search.best.values() for i in ids.tolist()]
-        scores = [s for _, values in search.best.values() for s in values.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((queries, found, scores), kinds)], names=schema.names)
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(search.best.columns(query_names), kinds)], names=schema.names)
 
     together = used.select("block", "no", "bound", "ids", "tfs", "lengths").repartition("block").sortWithinPartitions("block", "no")
     return together.mapInArrow(best_of_task, schema)

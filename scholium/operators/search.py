@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,21 +14,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 from scholium.functions.kernels import BestPerQuery, id_array, unit_rows
 from scholium.functions.text import words
 from scholium.operators.inverted import K1, B, build_index, search_index
+from scholium.operators.pivots import MATRIX_CELLS, build_pivots, search_pivots
 from scholium.operators.terms import SCORE_DIGITS
 from scholium.plans import collect_bounded, cut_lineage, top_per_key
 
-# Most queries sent to every task; more than that are shuffled in slabs.
+# Most queries sent to every task.
 BROADCAST_QUERIES = 2048
 BROADCAST_ENTRIES = 200_000
 BROADCAST_HITS = 200_000
 # Between the texts of a context.
 SEPARATOR = "\n\n"
-SLAB_QUERIES = 1024
 # Most widths of query vectors.
 WIDTHS = 16
-BLOCK_NUMBERS = 4_000_000
-# Numbers held in one score matrix of a task.
-MATRIX_CELLS = 8_000_000
 
 
 def _postings(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -104,14 +100,6 @@ def ranked_search(
     return top_per_key(partial, [query_id], order, k)
 
 
-def _every(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-
-def _place(name: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-
-
 def _query_sums(weights: np.ndarray, entries: np.ndarray, n_queries: int) -> np.ndarray:
     """(rows, queries) sums of the weights of each query's words; not-a-number where none occurs."""
     asking, starts = np.unique(entries[:, 0], return_index=True)
@@ -182,37 +170,6 @@ def _cosine_from_broadcast(chunks: DataFrame, names: list, matrix, k: int, width
     return chunks.mapInArrow(best_of_task, schema)
 
 
-def _cosine_in_blocks(chunks: DataFrame, queries: DataFrame, k: int, width: int, schema: T.StructType):
-    """Any number of queries: every slab of queries meets every block of chunks in some task."""
-    slabs = max(1, -(-queries.count() // SLAB_QUERIES))
-    blocks = max(1, -(-chunks.count() * width // BLOCK_NUMBERS))
-    chunk_id, vector = chunks.columns
-    every, place = _every, _place
-    left = chunks.select(chunk_id, vector, place(chunk_id, blocks).alias("_block"), every(slabs).alias("_slab"))
-    right = queries.select(
-        F.col(queries.columns[0]).alias("_query"),
-        F.col(queries.columns[1]).alias("_vector"),
-        place(queries.columns[0], slabs).alias("_slab"),
-        every(blocks).alias("_block"),
-    )
-
-    def best_of_block(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        best = BestPerQuery(k, SCORE_DIGITS)
-        if len(left_rows) and len(right_rows):
-            unit_queries = unit_rows(np.stack(right_rows["_vector"]).astype(np.float64))
-            for start in range(0, len(left_rows), 8192):
-                part = left_rows.iloc[start : start + 8192]
-                vectors = unit_rows(np.stack(part[vector]).astype(np.float64))
-                best.offer(vectors @ unit_queries.T, id_array(part[chunk_id]))
-        names = right_rows["_query"].to_numpy()[best.queries]
-        ids = best.ids if best.ids is not None else np.empty(0)
-        return pd.DataFrame(dict(zip(schema.names, (names, ids, best.scores), strict=True)))
-
-    return (
-        left.groupBy("_block", "_slab").cogroup(right.groupBy("_block", "_slab")).applyInPandas(best_of_block, schema)
-    )
-
-
 def _hits(
     chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, query_id: str, vector: str, most: int
 ) -> tuple[DataFrame, bool]:
@@ -232,7 +189,8 @@ def _hits(
     for width in widths:
         comparable = chunks.where((F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull())).select(chunk_id, vector)
         if rows is None:
-            hits = _cosine_in_blocks(comparable, asked.where(F.size(vector) == width), k, width, schema)
+            index = build_pivots(comparable, chunk_id, vector, width)
+            hits = search_pivots(index, asked.where(F.size(vector) == width), query_id, vector, k, schema)
         else:
             same = [row for row in rows if len(row[1]) == width]
             matrix = np.array([row[1] for row in same], dtype=np.float64)
@@ -255,7 +213,8 @@ def semantic_search(
 
     Each task multiplies its chunks with the query vectors and passes on its best ``k`` per
     query, so no pair of query and chunk is ever a row. Up to ``broadcast_queries`` queries
-    go to every task and the chunks stay where they are; more are shuffled in slabs.
+    go to every task and the chunks stay where they are; for more, the chunks are written once beside their nearest
+    pivots, and slabs of queries go over those they may need (``scholium.operators.pivots``).
     """
     return _hits(chunks, queries, k, chunk_id, query_id, vector, broadcast_queries)[0]
 

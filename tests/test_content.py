@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholium.operators import notes, practice, search
+from scholium.operators import notes, pivots, practice, search
 from scholium.operators.terms import word_places
 
 DOCS = [
@@ -66,8 +66,8 @@ def test_ranked_search_over_many_texts(spark):
 
 @pytest.mark.parametrize("most", [100, 0])
 def test_semantic_search(spark, most, monkeypatch):
-    monkeypatch.setattr(search, "SLAB_QUERIES", 4)
-    monkeypatch.setattr(search, "BLOCK_NUMBERS", 800)
+    monkeypatch.setattr(pivots, "SLAB_QUERIES", 4)
+    monkeypatch.setattr(pivots, "MATRIX_CELLS", 800)
     rng = np.random.default_rng(1)
     chunks = rng.normal(size=(500, 8)).astype(np.float32)
     chunks[100:300] = chunks[7]  # many copies of one vector
