@@ -69,7 +69,12 @@ class QualityModel:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = PER_LABEL) -> QualityModel:
-    """Two thirds of a bounded sample build the dictionaries, one third fits the curve."""
+    """Two thirds of a bounded sample build the dictionaries, one third fits the curve.
+
+    With fewer than six texts of a label the whole sample does both, as there is nothing to hold back. Texts too few or too
+    short to train a dictionary from are one themselves, up to its size from their end. At most ``per_label`` documents of each
+    label are learned from; null and unknown labels are left out, and without labels every score is the same.
+    """
     sample = labelled_sample(docs, labels, "quality", train, per_label)
     turn = np.arange(len(sample.texts)) % 3
     if min((sample.labels == 0).sum(), (sample.labels == 1).sum()) < 6:
@@ -85,7 +90,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, train: Column, per_label:
 def score_quality(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: id and ``score`` (0 to 1, higher is better).
 
-    Null and empty texts get the score of a text that neither dictionary prefers. Repeated rows and null ids stay.
+    Null and empty texts get the score of a text that neither dictionary prefers. Repeated rows and null ids stay, very long texts
+    are compressed whole, piece by piece. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size

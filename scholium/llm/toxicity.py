@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholium.llm.labelled import Sample, fit_logistic, fold_of, labelled_sample, logistic
-from scholium.llm.texts import field_type, filled, schema, task_cache
+from scholium.llm.texts import field_type, filled, schema, slices, task_cache
 
 BUCKETS = 1 << 18
 WIDTH = 9  # features per token
@@ -173,7 +173,7 @@ def _windows(sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tokens = text.split()
         begins = list(range(0, len(tokens), WINDOW))
         if label:
-            begins = [b for b in begins if tags[b : b + WINDOW].any()][:CLEAN_WINDOWS]
+            begins = [b for b in begins if tags[b : b + WINDOW].any()]
         elif len(begins) > CLEAN_WINDOWS:
             begins = [begins[i * len(begins) // CLEAN_WINDOWS] for i in range(CLEAN_WINDOWS)]
         for b in begins:
@@ -247,6 +247,11 @@ def _pair_gap(tags, mask, weight, e, forward, backward, steps) -> np.ndarray:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = PER_LABEL) -> ToxicModel:
+    """The field of at most ``per_label`` documents of each label, picked by a hash of the id.
+
+    Of a toxic document every window with a marked token is learned from, of a clean one at most ``CLEAN_WINDOWS``, spread over its
+    length. Null and unknown labels are left out; without labels every score is one half.
+    """
     return train_chain(labelled_sample(docs, labels, "toxic", train, per_label))
 
 
@@ -282,14 +287,15 @@ def toxic_spans(text: str, odds: np.ndarray) -> list[dict]:
 def score_toxicity(docs: DataFrame, model: ToxicModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``score`` (0 to 1, higher is more toxic) and ``spans``.
 
-    Null and empty texts have no tokens, hence no spans, and the lowest score there is. Repeated rows and null ids stay.
+    Null and empty texts have no tokens, hence no spans, and the lowest score there is. Repeated rows and null ids stay, very long texts
+    are tagged whole. An empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights
     out = schema((id_column, field_type(rows, "_id")), ("score", "double"), ("spans", SPANS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = filled(batch.column(1)).to_pylist()
             odds = shared.value.marginals(texts)
             scores = logistic(shared.value.beta, shared.value.document_features(odds))
@@ -312,13 +318,16 @@ def toxicity_of(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, t
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float, text_column: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay, whatever their names.
+
+    Null and empty texts are scored like texts without tokens; repeated rows are judged alike.
+    """
     own = schema(*[(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
     at = docs.columns.index(text_column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, at):
             odds = shared.value.marginals(filled(batch.column(at)).to_pylist())
             scores = logistic(shared.value.beta, shared.value.document_features(odds))
             clean = pa.array(scores < threshold)

@@ -32,6 +32,17 @@ def test_query_finds_the_article_of_every_page(spark):
         assert row.url == pages.url[row.page_id]
 
 
+def test_pages_that_were_never_learned_from(spark):
+    """Trained on the pages of even ids, judged on the others."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    model = train_html(pages.where("page_id % 2 = 0"))
+    held = pages.where("page_id % 2 = 1 AND page_id < 800")
+    texts = {r.page_id: r.html for r in held.collect()}
+    rows = extract_text(held, model).collect()
+    assert len(rows) == len(texts) > 300
+    assert np.mean([row.text == article(texts[row.page_id]) for row in rows]) > 0.99
+
+
 def test_other_dress_than_the_sampled_pages():
     pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
     model = train_labeller(training_pages(pages[:150]))

@@ -1,12 +1,16 @@
 import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
 
 from scholium.llm.labelled import Sample, fold_of
 from scholium.llm.queries import LLM_QUERIES
-from scholium.llm.toxicity import ToxicModel, chain_log_odds, drop_toxic, score_toxicity, train_chain, train_toxicity
+from scholium.llm.toxicity import (
+    CLEAN_WINDOWS, WINDOW, ToxicModel, _pair_gap, _passes, _sigmoid, _windows, chain_log_odds, drop_toxic, label_tokens, score_toxicity,
+    train_chain, train_toxicity,
+)
 from tests.llm.frames import ROWS, clashing, documents
 
 FOLDER = "/root/testdata/sf0.01"
@@ -71,3 +75,75 @@ def test_awkward_rows(spark):
     assert drop_toxic(df, ToxicModel(), 0.4).collect() == []
     kept = drop_toxic(df, ToxicModel(), 0.6)
     assert kept.columns == df.columns and kept.count() == len(ROWS)
+
+
+def log_likelihood(e, tags, mask, weight, steps):
+    """Of padded windows, with every tagging written out."""
+    total = 0.0
+    for row in range(len(e)):
+        n = int(mask[row].sum())
+        score = lambda ys: sum(x for x, y in zip(e[row], ys) if y) + sum(steps[a, b] for a, b in zip(ys, ys[1:]))
+        every = [score(ys) for ys in itertools.product((0, 1), repeat=n)]
+        total += weight[row] * (score(tags[row][:n].tolist()) - math.log(sum(map(math.exp, every))))
+    return total
+
+
+def test_gradients_like_differences_of_the_likelihood():
+    random = np.random.default_rng(3)
+    e, steps, weight = random.normal(size=(4, 5)), random.normal(size=(2, 2)), np.array([1.0, 0.5, 2.0, 1.0])
+    mask = np.arange(5) < np.array([[5], [3], [1], [4]])
+    tags = np.where(mask, random.integers(0, 2, (4, 5)), -1)
+    forward, backward = _passes(e, mask, steps)
+    step = 1e-6
+    by_token = np.where(mask, weight[:, None] * (tags - _sigmoid(forward + backward)), 0.0)
+    for at in np.argwhere(mask):
+        more, less = e.copy(), e.copy()
+        more[tuple(at)] += step
+        less[tuple(at)] -= step
+        slope = (log_likelihood(more, tags, mask, weight, steps) - log_likelihood(less, tags, mask, weight, steps)) / (2 * step)
+        assert abs(slope - by_token[tuple(at)]) < 1e-6
+    pairs = _pair_gap(tags, mask, weight[:, None], e, forward, backward, steps)
+    for at in np.ndindex(2, 2):
+        more, less = steps.copy(), steps.copy()
+        more[at] += step
+        less[at] -= step
+        slope = (log_likelihood(e, tags, mask, weight, more) - log_likelihood(e, tags, mask, weight, less)) / (2 * step)
+        assert abs(slope - pairs[at]) < 1e-6
+
+
+def test_all_marked_windows_of_a_toxic_text_are_learned_from():
+    filler = [f"plain{i % 40}" for i in range(WINDOW)]
+    clean = [" ".join(filler)] * 30 + [" ".join(filler * 20)]
+    toxic = [" ".join((filler[:-1] + ["zzidiot"]) * 20)] + [" ".join([*filler, "zzidiot"])] * 20
+    sample = Sample(clean + toxic, np.array([0] * len(clean) + [1] * len(toxic)), np.ones(len(clean) + len(toxic)))
+    labels = label_tokens(sample)
+    assert [int(t.sum()) for t in labels] == [0] * 31 + [20] + [1] * 20
+    x, y, _ = _windows(sample)
+    assert len(x) == 30 + CLEAN_WINDOWS + 20 + 20
+    assert int((y == 1).sum()) == 40
+
+
+def test_scores_and_spans_like_plain_steps(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = train_toxicity(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), fold_of("doc_id", 3) != 1)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    some = 0
+    for row in score_toxicity(docs, model).collect():
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", texts[row.doc_id]) if m.group().split() == [m.group()]]
+        words = [texts[row.doc_id][a:b] for a, b in tokens]
+        if words != texts[row.doc_id].split():
+            continue
+        odds = chain_log_odds([np.array([model.emission(w) for w in words])], model.steps)[0]
+        p = 1 / (1 + np.exp(-odds))
+        z = model.beta[0] + model.beta[1] * math.log(p.sum() + 1e-4) + model.beta[2] * min(max(odds.max(), -15.0), 15.0)
+        assert abs(row.score - 1 / (1 + math.exp(-z))) < 1e-6
+        spans = []
+        for k, q in enumerate(p):
+            if q > 0.5 and spans and spans[-1][3] == k - 1:
+                spans[-1][1:] = [tokens[k][1], min(spans[-1][2], q), k]
+            elif q > 0.5:
+                spans.append([*tokens[k], q, k])
+        assert [(s.start, s.end) for s in row.spans] == [(a, b) for a, b, _, _ in spans]
+        assert np.allclose([s.probability for s in row.spans], [q for _, _, q, _ in spans])
+        some += len(spans)
+    assert some > 5
