@@ -29,7 +29,7 @@ BUCKETS = 1 << 18
 WIDTH = 9  # features per token
 PER_LABEL = 3000
 WINDOW = 64
-CLEAN_WINDOWS = 8  # of one clean document, in training
+TEXT_WINDOWS = 8  # of one document, in training
 EPOCHS = 6
 CACHE_ENTRIES = 400_000
 
@@ -174,8 +174,8 @@ def _windows(sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         begins = list(range(0, len(tokens), WINDOW))
         if label:
             begins = [b for b in begins if tags[b : b + WINDOW].any()]
-        elif len(begins) > CLEAN_WINDOWS:
-            begins = [begins[i * len(begins) // CLEAN_WINDOWS] for i in range(CLEAN_WINDOWS)]
+        if len(begins) > TEXT_WINDOWS:
+            begins = [begins[i * len(begins) // TEXT_WINDOWS] for i in range(TEXT_WINDOWS)]
         for b in begins:
             part = tokens[b : b + WINDOW]
             for token in part:
@@ -249,8 +249,8 @@ def _pair_gap(tags, mask, weight, e, forward, backward, steps) -> np.ndarray:
 def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = PER_LABEL) -> ToxicModel:
     """The field of at most ``per_label`` documents of each label, picked by a hash of the id.
 
-    Of a toxic document every window with a marked token is learned from, of a clean one at most ``CLEAN_WINDOWS``, spread over its
-    length. Null and unknown labels are left out; without labels every score is one half.
+    At most ``TEXT_WINDOWS`` windows of a document are learned from, spread over its length: of a toxic one among those with a marked
+    token. Null and unknown labels are left out; without labels every score is one half.
     """
     return train_chain(labelled_sample(docs, labels, "toxic", train, per_label))
 

@@ -8,7 +8,7 @@ import pandas as pd
 from scholium.llm.labelled import Sample, fold_of
 from scholium.llm.queries import LLM_QUERIES
 from scholium.llm.toxicity import (
-    CLEAN_WINDOWS, WINDOW, ToxicModel, _pair_gap, _passes, _sigmoid, _windows, chain_log_odds, drop_toxic, label_tokens, score_toxicity,
+    TEXT_WINDOWS, WINDOW, ToxicModel, _pair_gap, _passes, _sigmoid, _windows, chain_log_odds, drop_toxic, label_tokens, score_toxicity,
     train_chain, train_toxicity,
 )
 from tests.llm.frames import ROWS, clashing, documents
@@ -111,7 +111,8 @@ def test_gradients_like_differences_of_the_likelihood():
         assert abs(slope - pairs[at]) < 1e-6
 
 
-def test_all_marked_windows_of_a_toxic_text_are_learned_from():
+def test_windows_are_spread_over_the_length_of_a_text():
+    """Also of a toxic one: twenty of its windows are marked, the last ones as well as the first."""
     filler = [f"plain{i % 40}" for i in range(WINDOW)]
     clean = [" ".join(filler)] * 30 + [" ".join(filler * 20)]
     toxic = [" ".join((filler[:-1] + ["zzidiot"]) * 20)] + [" ".join([*filler, "zzidiot"])] * 20
@@ -119,8 +120,10 @@ def test_all_marked_windows_of_a_toxic_text_are_learned_from():
     labels = label_tokens(sample)
     assert [int(t.sum()) for t in labels] == [0] * 31 + [20] + [1] * 20
     x, y, _ = _windows(sample)
-    assert len(x) == 30 + CLEAN_WINDOWS + 20 + 20
-    assert int((y == 1).sum()) == 40
+    assert len(x) == 30 + TEXT_WINDOWS + TEXT_WINDOWS + 20
+    assert int((y == 1).sum()) == TEXT_WINDOWS + 20
+    late = Sample([" ".join(filler * 20 + ["zzidiot"])] * 20 + clean, np.array([1] * 20 + [0] * len(clean)), np.ones(20 + len(clean)))
+    assert int((_windows(late)[1] == 1).sum()) == 20
 
 
 def test_scores_and_spans_like_plain_steps(spark):
