@@ -88,11 +88,15 @@ def _sql_squeeze(expression: str) -> str:
     return _trim(f"regexp_replace({expression}, '[{SPACE}]+', ' ', 'g')")
 
 
-HIDDEN = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-    r"|<nav\b.*?</nav\s*>|<head\b.*?</head\s*>|<footer\b.*?</footer\s*>"
-)
-_VISIBLE = f"regexp_replace(regexp_replace(html, '{HIDDEN}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+def _sql_without(expression: str) -> str:
+    """Comments, then one element after the other; the query takes all of them in one pass."""
+    expression = f"regexp_replace({expression}, '(?s)<!--.*?-->', ' ', 'g')"
+    for tag in ("script", "style", "nav", "head", "footer"):
+        expression = rf"regexp_replace({expression}, '(?is)<{tag}\b.*?</{tag}\s*>', ' ', 'g')"
+    return expression
+
+
+_VISIBLE = f"regexp_replace({_sql_without('html')}, '(?s)<[^>]*>', ' ', 'g')"
 _TITLE = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)"
 
 
