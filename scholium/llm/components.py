@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node it is connected with) for the nodes of ``links`` (columns a, b).
 
     Every round each node takes the smallest label of its neighbours, then the label of its label. Labels are
-    aggregated before they are shuffled, so a node with very many links is one row per task.
+    aggregated before they are shuffled, so of a node with very many links a task sends one row; the join that hands it
+    its neighbours' labels leaves such a node to adaptive execution, which splits it.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both.where("a <> b").distinct(), "links")

@@ -126,17 +126,25 @@ def chain_log_odds(emissions: list[np.ndarray], steps: np.ndarray) -> list[np.nd
 
 def _marks(sample: Sample) -> dict[str, float]:
     """Features of words that toxic documents have far more often than clean ones, with how much they explain."""
-    seen = {0: Counter(), 1: Counter()}
-    for text, y in zip(sample.texts, sample.labels):
-        found = set()
-        for token in set(text.split()):
-            found.update(f for f in features(token) if f[0] in "ws")
-        seen[int(y)].update(found)
+
+    def counted(label: int, among: dict[str, int] | None = None) -> Counter:
+        seen = Counter()
+        for text, y in zip(sample.texts, sample.labels):
+            if int(y) == label:
+                found = set()
+                for token in set(text.split()):
+                    found.update(f for f in features(token) if f[0] in "ws" and (among is None or f in among))
+                seen.update(found)
+        return seen
+
+    # Of clean texts only the features are counted that enough toxic ones have; all others would fill the memory.
+    often = {name: count for name, count in counted(1).items() if count >= 3}
+    rare = counted(0, often)
     n = {v: max(1, int((sample.labels == v).sum())) for v in (0, 1)}
     strength = {}
-    for name, toxic in seen[1].items():
-        p, q = toxic / n[1], (seen[0][name] + 0.5) / (n[0] + 1)
-        if toxic >= 3 and p > 8 * q:
+    for name, toxic in often.items():
+        p, q = toxic / n[1], (rare[name] + 0.5) / (n[0] + 1)
+        if p > 8 * q:
             strength[name] = toxic * math.log(p / q)
     return strength
 
@@ -165,8 +173,7 @@ def label_tokens(sample: Sample) -> list[np.ndarray | None]:
 
 def _windows(sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Training windows: feature numbers (windows, WINDOW, WIDTH), tags (windows, WINDOW; -1 pads), weights."""
-    numbers: dict[str, list[int]] = {}
-    x, y, w = [], [], []
+    chosen = []
     for text, tags, label, weight in zip(sample.texts, label_tokens(sample), sample.labels, sample.weights):
         if tags is None or not len(tags):
             continue
@@ -176,16 +183,19 @@ def _windows(sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             begins = [b for b in begins if tags[b : b + WINDOW].any()]
         if len(begins) > TEXT_WINDOWS:
             begins = [begins[i * len(begins) // TEXT_WINDOWS] for i in range(TEXT_WINDOWS)]
-        for b in begins:
-            part = tokens[b : b + WINDOW]
-            for token in part:
-                if token not in numbers:
-                    numbers[token] = _hashed(token)
-            pad = WINDOW - len(part)
-            x.append([numbers[token] for token in part] + [[0] * WIDTH] * pad)
-            y.append([*tags[b : b + WINDOW], *[-1] * pad])
-            w.append(1.0 if label else min(1.0, weight))
-    return np.array(x, dtype=np.int32), np.array(y, dtype=np.int8), np.array(w)
+        chosen += [(tokens[b : b + WINDOW], tags[b : b + WINDOW], 1.0 if label else min(1.0, weight)) for b in begins]
+    # Feature numbers go straight into their array, as the driver has little room.
+    x = np.zeros((len(chosen), WINDOW, WIDTH), dtype=np.int32)
+    y = np.full((len(chosen), WINDOW), -1, dtype=np.int8)
+    places: dict[str, tuple[int, int]] = {}
+    for i, (part, part_tags, _) in enumerate(chosen):
+        y[i, : len(part)] = part_tags
+        for t, token in enumerate(part):
+            if token in places:
+                x[i, t] = x[places[token]]
+            else:
+                x[i, t], places[token] = _hashed(token), (i, t)
+    return x, y, np.array([w for _, _, w in chosen])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
