@@ -85,12 +85,28 @@ def distinct_per_day(df: DataFrame, ts: str, column: str, by: Sequence[str] = ()
 
 def distinct_in_period(sketches: DataFrame, start: str | None = None, end: str | None = None, by: Sequence[Column | str] = ()) -> DataFrame:
     """Estimated number of distinct values in the days from ``start`` up to before ``end``, per group of ``by``."""
-    chosen = sketches
+    return _in_days(sketches, start, end).groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
+def members_per_day(df: DataFrame, ts: str, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """The distinct values of ``column`` per day (and group), one row each.
+
+    The exact counterpart of ``distinct_per_day``: days can be kept and united too, at the cost of a row per value and day.
+    """
+    return df.select(*by, F.col(ts).cast("date").alias("day"), column).distinct()
+
+
+def members_in_period(
+    members: DataFrame, column: str, start: str | None = None, end: str | None = None, by: Sequence[Column | str] = ()
+) -> DataFrame:
+    """Exact number of distinct values in the days from ``start`` up to before ``end``, per group of ``by``."""
+    return _in_days(members, start, end).groupBy(*by).agg(F.countDistinct(column).alias("n"))
+
+
+def _in_days(days: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start is not None:
-        chosen = chosen.where(F.col("day") >= F.lit(start).cast("date"))
-    if end is not None:
-        chosen = chosen.where(F.col("day") < F.lit(end).cast("date"))
-    return chosen.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+        days = days.where(F.col("day") >= F.lit(start).cast("date"))
+    return days if end is None else days.where(F.col("day") < F.lit(end).cast("date"))
 
 
 def platform_stats(counts: Mapping[str, DataFrame], satisfaction: DataFrame, satisfied: str) -> DataFrame:

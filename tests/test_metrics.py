@@ -5,7 +5,9 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from scholium.bindings import ORACLES, QUERIES
 from scholium.operators import activity, feeds, goals, progress, rows
+from tests import oracle
 
 
 def stamps(spark, data):
@@ -197,3 +199,21 @@ def test_sharing(spark):
     assert [r.k for r in feeds.visible_only(board, learners, "k").collect()] == [1]
     masked = feeds.mask_hidden(board, learners, "k").orderBy("k").collect()
     assert [r.name for r in masked] == ["Ann", "Student", "Student", "Student"]
+
+
+def test_learners_by_week_are_counted_exactly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(oracle, "TABLES", ("events",))
+    n = 40_000  # more than sketches count without an error
+    at = F.expr("timestamp_ntz'2024-01-08 00:00:00' + make_dt_interval(cast(id % 9 as int))")
+    events = spark.range(2 * n).select((F.col("id") % n).alias("user_id"), at.alias("ts"))
+    nobody = spark.range(3).select(F.lit(None).cast("bigint").alias("user_id"), F.lit("2024-01-28 23:00:00").cast("timestamp_ntz").alias("ts"))
+    events.unionByName(nobody).write.parquet(f"{tmp_path}/events.parquet")
+    problems, rows, _ = oracle.differences(spark, str(tmp_path), "learners_by_week", QUERIES, ORACLES)
+    assert not problems and rows == 3
+
+
+def test_sketches_of_days_are_close(spark):
+    at = F.expr("timestamp_ntz'2024-01-08 00:00:00' + make_dt_interval(cast(id % 9 as int))")
+    events = spark.range(80_000).select((F.col("id") % 40_000).alias("user_id"), at.alias("ts"))
+    row = feeds.distinct_in_period(feeds.distinct_per_day(events, "ts", "user_id"), "2024-01-08", "2024-01-17").first()
+    assert abs(row["n"] - 40_000) < 0.02 * 40_000
