@@ -10,19 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from scholium.plans import scratch_dir
+from scholium.plans import written
 
 # Text that a task works on at a time, but for a single longer one.
 SLICE_BYTES = 1 << 22
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder: no lineage, and no broadcast that a plan would hold on to."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _caches: dict[str, Callable[[], None]] = {}
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scholium.functions.text import contains_text, page_title, plain_text, sentences
+from scholium.functions.text import contains_text, page_title, plain_text
 from scholium.operators.rows import drop_blank
-from scholium.operators.terms import sentence_rows, sentence_scores, word_places
+from scholium.operators.terms import sentence_rows, sentence_scores, sentences_at, word_places
 from scholium.plans import lead_in_order, top_per_key
 
 
@@ -41,16 +41,15 @@ def extract_notes(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def summarise(docs: DataFrame, doc_id: str, title: str, text: str, k: int) -> DataFrame:
     """The ``k`` sentences with the highest mean idf, joined in text order."""
-    scored = sentence_scores(word_places(docs, doc_id, text), doc_id)
+    scored = sentence_scores(word_places(docs, doc_id, text), doc_id, k)
     best = top_per_key(scored, [doc_id], [F.col("score").desc(), F.col("pos")], k)
-    chosen = best.groupBy(doc_id).agg(F.collect_list("pos").alias("_chosen"))
+    chosen = best.groupBy(doc_id).agg(F.sort_array(F.collect_list("pos")).alias("_chosen"))
     # The sentences come from the document again, so no text travels with the words.
-    picked = docs.select(doc_id, title, text).join(chosen, doc_id)
-    lines = F.filter(sentences(text), lambda _, pos: F.array_contains("_chosen", pos.cast("bigint")))
-    return picked.select(
+    picked = docs.select(doc_id, F.col(title).alias("title"), F.col(text).alias("_text")).join(chosen, doc_id)
+    return sentences_at(picked, "_text", "_chosen").select(
         doc_id,
-        F.col(title).alias("title"),
-        F.array_join(lines, " ").alias("summary"),
+        "title",
+        F.array_join("_text", " ").alias("summary"),
         F.size("_chosen").cast("bigint").alias("n_sentences"),
     )
 

@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from scholium.functions.columns import case_label
 from scholium.functions.text import blank_out
-from scholium.operators.terms import document_frequency, rounded, sentence_rows, with_idf, word_places
-from scholium.plans import cut_lineage, number_rows, top_per_key, weighted_lookup
+from scholium.operators.terms import (
+    ANSWER_LENGTH,
+    Vocabulary,
+    contending_words,
+    document_frequency,
+    rounded,
+    sentences_at,
+    word_places,
+)
+from scholium.plans import number_rows, top_per_key, weighted_lookup, written
 
-# Shorter words make poor answers; they are taken where a document has no others.
-ANSWER_LENGTH = 4
 LEVELS = ("Easy", "Medium", "Hard")
 DISTRACTORS = 3
 # Ranks that meet in one key of the join of answers and their neighbours.
@@ -23,15 +29,12 @@ RANK_BAND = 256
 def key_terms(places: DataFrame, counted: DataFrame, doc_id: str, k: int) -> DataFrame:
     """The ``k`` words of each document with the highest tf-idf, long ones first, and their first sentence's position.
 
-    ``places`` is what ``word_places`` gives, ``counted`` the number of these documents (``df``) that use a ``term``.
+    ``places`` is what ``word_places`` gives, ``counted`` the number of these documents (``df``) that use a ``term``, as a written table.
+    Shorter words are taken where a document has no others.
     """
-    documents = places.agg(F.count("*").cast("double")).scalar()
-    rows = places.select(doc_id, F.inline("_terms")).select(
-        doc_id, "term", F.size("places").alias("tf"), F.get("places", F.lit(0)).cast("bigint").alias("pos")
-    )
-    scored = with_idf(rows, counted, documents, doc_id).select(
-        doc_id, "term", "pos", rounded(F.col("tf") * F.col("idf")).alias("score")
-    )
+    vocabulary = Vocabulary.of(counted, places.count())
+    filled = vocabulary.fill(contending_words(places, vocabulary, doc_id, k), doc_id)
+    scored = filled.select(doc_id, "term", "pos", rounded(F.col("tf") * F.col("idf")).alias("score"))
     is_short = F.length("term") < ANSWER_LENGTH
     return top_per_key(scored, [doc_id], [is_short, F.col("score").desc(), F.col("term")], k)
 
@@ -39,18 +42,19 @@ def key_terms(places: DataFrame, counted: DataFrame, doc_id: str, k: int) -> Dat
 def make_flashcards(docs: DataFrame, doc_id: str, title: str, text: str, k: int, keep: Sequence[str] = ()) -> DataFrame:
     """Cards (title, question, answer): the sentence of a key word with the word blanked."""
     places = word_places(docs, doc_id, text)
-    return _cards(docs, key_terms(places, document_frequency(places), doc_id, k), doc_id, title, text, keep)
+    return _cards(docs, key_terms(places, written(document_frequency(places), "frequency"), doc_id, k), doc_id, title, text, keep)
 
 
 def _cards(docs: DataFrame, chosen: DataFrame, doc_id: str, title: str, text: str, keep: Sequence[str]) -> DataFrame:
     card = F.struct("pos", F.col("position").alias("card"), F.col("term").alias("answer"))
     cards = chosen.groupBy(doc_id).agg(F.collect_list(card).alias("_cards"))
     # Each document meets its few cards once and is split into sentences once.
-    told = sentence_rows(docs.join(cards, doc_id), doc_id, text, title, *keep, "_cards")
-    here = F.filter("_cards", lambda c: c["pos"] == F.col("pos"))
-    return told.select(doc_id, F.col(title).alias("title"), *keep, "sentence", F.inline(here)).select(
-        doc_id, "title", "card", blank_out("sentence", "answer").alias("question"), "answer", *keep
-    )
+    met = docs.select(doc_id, F.col(title).alias("title"), *keep, F.col(text).alias("_text")).join(cards, doc_id)
+    told = sentences_at(met.withColumn("_at", F.col("_cards.pos")), "_text", "_at")
+    return told.select(doc_id, "title", *keep, F.inline(F.arrays_zip("_cards", F.col("_text").alias("sentence")))).select(
+        doc_id, "title", F.col("_cards.card").alias("card"), blank_out("sentence", "_cards.answer").alias("question"),
+        F.col("_cards.answer").alias("answer"), *keep,
+    )
 
 
 def ranked_vocabulary(counted: DataFrame, lang: str) -> DataFrame:
@@ -102,12 +106,12 @@ def make_quiz(
     on_topic = F.lit(True) if topic is None else F.col(title) == topic
     places = word_places(docs, doc_id, text, title, lang)
     # Words by language, over all documents and over the chosen ones: one count serves both.
-    counted = cut_lineage(document_frequency(places, lang, when=on_topic))
-    of_chosen = counted.groupBy("term").agg(F.sum("df_when").alias("df")).where("df > 0")
+    counted = written(document_frequency(places, lang, when=on_topic), "frequency")
+    of_chosen = written(counted.where("df_when > 0").groupBy("term").agg(F.sum("df_when").alias("df")), "chosen")
     chosen = key_terms(places.where(on_topic), of_chosen, doc_id, 1)
-    cards = cut_lineage(_cards(docs.where(on_topic), chosen, doc_id, title, text, [lang]))
+    cards = written(_cards(docs.where(on_topic), chosen, doc_id, title, text, [lang]), "cards")
 
-    vocabulary = cut_lineage(ranked_vocabulary(counted.drop("df_when"), lang))
+    vocabulary = written(ranked_vocabulary(counted.drop("df_when"), lang), "vocabulary")
     answers = cards.select(lang, F.col("answer").alias("term")).distinct()
     asked = vocabulary.join(answers, [lang, "term"])
     others = rank_neighbours(vocabulary, asked, lang, DISTRACTORS).groupBy(lang, "answer").agg(F.collect_list("term").alias("_others"))

@@ -1,8 +1,9 @@
 """Plan building blocks that keep jobs even when one key holds a large share of the rows."""
 
-from scholium.plans.durable import cut_lineage, scratch_dir
+from scholium.plans.durable import cut_lineage, scratch_dir, written
 from scholium.plans.positions import lead_in_order, number_rows
 from scholium.plans.skew import (
+    SHARES,
     collect_bounded,
     fill_from,
     is_small,
@@ -13,6 +14,7 @@ from scholium.plans.skew import (
 )
 
 __all__ = [
+    "SHARES",
     "collect_bounded",
     "cut_lineage",
     "fill_from",
@@ -24,4 +26,5 @@ __all__ = [
     "split_frequent",
     "top_per_key",
     "weighted_lookup",
+    "written",
 ]

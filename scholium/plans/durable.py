@@ -37,3 +37,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for one job, below the shared checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, of which a plan reads only the columns it needs."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
