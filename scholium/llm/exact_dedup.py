@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholium.llm.texts import field_type, lowered, schema
+from scholium.llm.texts import drop_caches, field_type, lowered, schema
 from scholium.plans import cut_lineage
 from scholium.plans.skew import SHARES
 
@@ -25,6 +25,7 @@ DEFAULT_SALTS = 16
 
 def _digests(rows: DataFrame, id_type: T.DataType, key_bytes: int, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             texts = lowered(batch.column(1))
             sha = [hashlib.sha256(t.as_buffer()).digest() for t in texts]
@@ -109,6 +110,7 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         for batch in batches:
             sha = [hashlib.sha256(t.as_buffer()).digest() for t in lowered(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha, pa.binary())], names=own.names)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.llm.components import components
-from scholium.llm.texts import field_type, filled, schema, written
+from scholium.llm.texts import arrow_rows, drop_caches, field_type, filled, schema, slices, written
 from scholium.plans.skew import SHARES
 
 WORDS = 5
@@ -51,12 +51,20 @@ LEAD = 32
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WORDS)], dtype=np.uint64)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows bounded in number and in the bytes of column ``at``."""
+    drop_caches()
+    for batch in slices(batches, at):
         for start in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(start, SLICE_ROWS)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``written`` where tasks take texts or whole sets, a slice of rows at a time."""
+    with arrow_rows(df.sparkSession, SLICE_ROWS):
+        return written(df, name)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit numbers evenly, one to one."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -143,7 +151,7 @@ def _named_sets(rows: DataFrame) -> DataFrame:
     """_id, _set (null without words), _n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, 1):
             sets = shingle_sets(filled(batch.column(1)))
             names = pa.array([set_name(s) if len(s) else None for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(list(map(len, sets)), pa.int64())], names=out.names)
@@ -190,7 +198,7 @@ def _ranges(rows: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step: dict[bytes, np.ndarray] = {}
         size = 0
-        for batch in _slices(batches):
+        for batch in _slices(batches, 1):
             texts = filled(batch.column(1))
             for hashes, length in zip(shingle_sets(texts), pc.binary_length(texts).to_pylist()):
                 if not len(hashes):
@@ -215,6 +223,7 @@ def _shared_counts(ranges: DataFrame) -> DataFrame:
     out = schema(("_name", "long"), ("_shared", "long"))
 
     def count(table: pa.Table) -> pa.Table:
+        drop_caches()
         alone = [np.frombuffer(b, np.uint32) for b in table.column("alone").to_pylist()]
         alls = np.sort(np.concatenate([*alone, *[np.frombuffer(b, np.uint32) for b in table.column("shared").to_pylist()]]))
         twice = np.unique(alls[1:][alls[1:] == alls[:-1]])
@@ -240,7 +249,7 @@ def _sets_of(rows: DataFrame, owners: DataFrame) -> DataFrame:
     out = schema(("_set", "binary"), ("hashes", "binary"), ("bits", "binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, 1):
             names, hashes, bits = [], [], []
             for wanted, found in zip(batch.column(0).to_pylist(), shingle_sets(filled(batch.column(1)))):
                 if len(found) and set_name(found) == wanted:  # an id may stand for several texts
@@ -252,14 +261,14 @@ def _sets_of(rows: DataFrame, owners: DataFrame) -> DataFrame:
     texts = rows.withColumn("_h", F.xxhash64("_id")).join(owners.select("_h", "_set"), "_h").select("_set", "_text")
     once = texts.mapInArrow(run, out).groupBy("_set").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
     numbered = once.select(F.monotonically_increasing_id().alias("cid"), "_set", "hashes", "bits")
-    return written(numbered.withColumn("n", (F.length("hashes") / 8).cast("long")), "sets")
+    return _written(numbered.withColumn("n", (F.length("hashes") / 8).cast("long")), "sets")
 
 
 def _common_hashes(sets: DataFrame) -> np.ndarray:
     """The hashes that most classes have, the rarest first; of bounded number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, 0):
             raw = b"".join(batch.column(0).to_pylist())
             tokens, counts = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], names=["token", "count"])
@@ -278,7 +287,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, places = shared.value
-        for batch in _slices(batches):
+        for batch in _slices(batches, 1):
             parts: list[list[np.ndarray]] = [[], [], []]
             for cid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hashes = np.frombuffer(raw, np.int64)
@@ -303,7 +312,7 @@ def _smallest(sets: DataFrame) -> DataFrame:
     most = FIRST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, 1):
             firsts = [np.frombuffer(raw, np.int64)[:most] for raw in batch.column(1).to_pylist()]
             cids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in firsts])
             tokens = np.concatenate([np.zeros(0, np.int64), *firsts])
@@ -317,7 +326,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     small = sets.select("cid", "n", "bits")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, 4):
             keep = []
             for n, m, x, y in zip(*[batch.column(i).to_pylist() for i in range(2, 6)]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -328,7 +337,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, 2):
             sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             mask = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sides], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
@@ -442,6 +451,7 @@ def _tile_pairs(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
         return np.array(a, np.int64), np.array(b, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         held: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
@@ -475,7 +485,7 @@ def _tile_pairs(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
 
 def _grouped(rows: DataFrame) -> DataFrame:
     """_id, _set, _n and a struct _part (group, name) of each row: its component and the smallest id in it."""
-    members = written(_named_sets(rows), "members")
+    members = _written(_named_sets(rows), "members")
     classes = written(
         members.where("_set is not null")
         .groupBy("_set")
@@ -535,7 +545,7 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, at):
             sets = shingle_sets(filled(batch.column(at)))
             names = pa.array([set_name(s) if len(s) else b"" for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, names], names=own.names)
@@ -551,19 +561,19 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def _link_classes(sets: DataFrame) -> DataFrame:
     """cid, comp for all classes with links."""
     spark = sets.sparkSession
-    prefixes = written(_prefixes(sets), "prefixes")
-    first = written(_smallest(sets), "smallest")
+    prefixes = _written(_prefixes(sets), "prefixes")
+    first = _written(_smallest(sets), "smallest")
     labels = spark.createDataFrame([], schema(("cid", "long"), ("comp", "long")))
     links = tried = spark.createDataFrame([], schema(("a", "long"), ("b", "long")))
     for turn in range(STAR_ROUNDS):
         pairs = written(_star_pairs(first, labels, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = written(_verified(pairs, sets), "verified")
+        more = _written(_verified(pairs, sets), "verified")
         if more.isEmpty():
             break
         links, tried = links.unionByName(more), tried.unionByName(pairs)
         labels = components(links).withColumnRenamed("node", "cid")
     left = _tile_pairs(prefixes, labels, sets).join(tried, ["a", "b"], "left_anti")
-    more = written(_verified(written(left, "pairs"), sets), "verified")
+    more = _written(_verified(written(left, "pairs"), sets), "verified")
     if more.isEmpty():
         return labels
     return components(links.unionByName(more)).withColumnRenamed("node", "cid")

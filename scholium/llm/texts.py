@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from scholium.plans import written
@@ -29,6 +30,27 @@ def task_cache(owner: str, clear: Callable[[], None]) -> None:
     _caches[owner] = clear
 
 
+def drop_caches() -> None:
+    """Drop what other operators left in this worker, in tasks that remember nothing themselves."""
+    for name in list(_caches):
+        _caches.pop(name)()
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs that run inside send their Python tasks at most ``most`` rows at a time, for rows that are wide.
+
+    Such a batch is in memory in the JVM and in Python at once. Plans that are run later go by the session's own setting.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """``name``, with underscores added until no column has it."""
     while name in taken:

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scholium.llm import jaccard_join
+from scholium.llm import jaccard_join, texts
 from scholium.llm.components import components
 from scholium.llm.jaccard_join import (
     bitmap, drop_similar, folded, linked, may_link, prefix_size, shingle_set, shingle_sets, similar_documents,
@@ -158,3 +158,29 @@ def test_a_pair_comes_up_once_for_many_shared_hashes(spark, monkeypatch):
     assert rows_of(similar_documents(documents(spark, rows))) == brute(rows)
     tiles = found[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in tiles and found[0].count() <= 66
+
+
+def test_tasks_drop_other_caches_and_take_bounded_slices(monkeypatch):
+    """Workers are reused: what the stage before remembered must not stay beside the sets; few long texts are a slice too."""
+    monkeypatch.setattr(texts, "_caches", {})
+    kept = {"word": 1}
+    texts.task_cache("bpe", kept.clear)
+    long = "x" * (texts.SLICE_BYTES // 2)
+    rows = pa.record_batch([pa.array(range(700)), pa.array([long] * 5 + ["y"] * 695)], ["id", "text"])
+    sizes = [part.num_rows for part in jaccard_join._slices(iter([rows]), 1)]
+    assert not kept and sum(sizes) == 700
+    assert sizes[:2] == [2, 2] and max(sizes) <= jaccard_join.SLICE_ROWS
+
+
+def test_wide_rows_travel_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], ["n"])
+
+    rows = spark.range(0, 4000, 1, 2).mapInArrow(sizes, "n long")
+    written = jaccard_join._written(rows, "sizes")
+    assert sum(r.n for r in written.collect()) == 4000
+    assert max(r.n for r in written.collect()) <= jaccard_join.SLICE_ROWS and spark.conf.get(name) == before
