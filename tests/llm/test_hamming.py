@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from scholium.llm import hamming
 from scholium.llm.hamming import nearest_codes
 from scholium.llm.queries import LLM_ORACLES, LLM_QUERIES
 from tests.llm.frames import FOLDER, rows_of
@@ -55,3 +56,31 @@ def test_another_width_is_an_error(spark):
 def test_same_rows_as_sql(spark):
     problems, rows, _ = differences(spark, FOLDER, "op4_hamming_topk", LLM_QUERIES, LLM_ORACLES)
     assert not problems and rows == 50
+
+
+@pytest.mark.parametrize("cell", [7, 1 << 14])
+def test_neither_probes_nor_met_codes_become_rows(spark, monkeypatch, cell):
+    """Codes far from each other: a query needs several flips a segment, yet its rows are cells and nearest codes."""
+    monkeypatch.setattr(hamming, "CELL_CODES", cell)
+    random.seed(5)
+    base = [random.choice([-1.0, 1.0]) for _ in range(64)]
+    rows = [(i, [random.choice([-1.0, 1.0]) for _ in range(64)]) for i in range(150)]
+    rows += [(i, base[:40] + [random.choice([-1.0, 1.0]) for _ in range(24)]) for i in range(150, 230)]  # one cell is large
+    asked, plain = [], hamming._cell_search
+
+    def spied(widths, bits, radius, keep):
+        asked.append((bits, radius))
+        return plain(widths, bits, radius, keep)
+
+    monkeypatch.setattr(hamming, "_cell_search", spied)
+    found = nearest_codes(vectors(spark, rows), F.col("vec_id") % 10 == 0, k=5)
+    assert rows_of(found) == brute(rows, 5)
+    assert max(radius for _, radius in asked) >= 2 and {bits > 0 for bits, _ in asked} == {cell < 230}
+
+
+def test_ids_may_be_texts(spark):
+    random.seed(8)
+    rows = [(i, [random.choice([-1.0, 1.0]) for _ in range(64)]) for i in range(40)]
+    named = vectors(spark, rows).withColumn("vec_id", F.format_string("%03d", "vec_id"))
+    got = nearest_codes(named, F.col("vec_id").endswith("0"), k=3).collect()
+    assert sorted((int(r.query_id), r.rank, int(r.neighbor_id), r.distance) for r in got) == sorted(brute(rows, 3))
