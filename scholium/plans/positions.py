@@ -7,6 +7,7 @@ slice travels between them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,9 @@ _ROW_BITS = 33
 # A group of more bytes is cut into slices; up to so many of these are broadcast.
 GROUP_BYTES = 64 << 20
 MOST_LARGE = 200_000
+# Groups are weighed by so many hash buckets first. A task of the window gets about so many bytes, and sorts in some ten times as much.
+BUCKETS = 1 << 16
+TASK_BYTES = 8 << 20
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -50,23 +54,30 @@ def number_rows(
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, and the group's size if asked for.
 
-    ``order`` should decide every pair of rows; ties fall in an arbitrary order. One partial count finds the groups
-    above ``GROUP_BYTES``: their rows are written once and numbered slice by slice, all others by one window. Without
+    ``order`` should decide every pair of rows; ties fall in an arbitrary order. One partial sum per bucket of groups, then one per
+    group of the heavy buckets, finds the groups above ``GROUP_BYTES``: their rows are written once and numbered slice by slice, all
+    others by one window, in as many tasks as their bytes ask for. Without
     ``group`` the whole table is such a group, and with ``always_slices`` every group is. ``df`` is read more than once and must give the same rows each time.
     ``lookup`` has at most one row per value of ``group``, whose other columns are added (null where there is none); it meets
     the rows where the groups are together anyway, so a hot group is no hot key of this join either.
     """
     if not group or always_slices:
         return _in_slices(df, order, list(group), position, size, lookup)
-    sizes = df.groupBy(*group).agg(F.sum(row_bytes(df)).alias("_bytes"))
-    large = sizes.where(F.col("_bytes") > GROUP_BYTES).select(F.struct(*group).alias("_group"))
-    if large.isEmpty():
-        return _in_window(df, order, group, position, size, lookup)
+    weight = F.sum(row_bytes(df)).alias("_bytes")
+    bucket = F.pmod(F.xxhash64(*group), F.lit(BUCKETS))
+    buckets = cut_lineage(df.groupBy(bucket.alias("_bucket")).agg(weight))
+    total = buckets.agg(F.sum("_bytes")).first()[0]
+    tasks = math.ceil((total or 0) / TASK_BYTES)
+    heavy = buckets.where(F.col("_bytes") > GROUP_BYTES).select("_bucket")
+    suspects = df.withColumn("_bucket", bucket).join(F.broadcast(heavy), "_bucket", "left_semi")
+    large = suspects.groupBy(*group).agg(weight).where(F.col("_bytes") > GROUP_BYTES).select(F.struct(*group).alias("_group"))
+    if heavy.isEmpty() or large.isEmpty():
+        return _in_window(df, order, group, position, size, lookup, tasks)
     large = _light(cut_lineage(large))
     keyed = df.withColumn("_group", F.struct(*group))
     small = keyed.join(large, "_group", "left_anti").drop("_group")
     cut = keyed.join(large, "_group", "left_semi").drop("_group")
-    return _in_window(small, order, group, position, size, lookup).unionByName(
+    return _in_window(small, order, group, position, size, lookup, tasks).unionByName(
         _in_slices(cut, order, group, position, size, lookup)
     )
 
@@ -76,7 +87,11 @@ def _light(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if is_small(table, MOST_LARGE) else table
 
 
-def _in_window(df, order, group, position, size, lookup) -> DataFrame:
+def _in_window(df, order, group, position, size, lookup, tasks) -> DataFrame:
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(tasks, *group)
+        # A table with a row per group would be large for a broadcast, whatever its files have shrunk to.
+        lookup = lookup if lookup is None else lookup.hint("merge")
     if lookup is not None:
         df = df.join(lookup, list(group), "left").select(*df.columns, *[c for c in lookup.columns if c not in group])
     of_group = Window.partitionBy(*group)

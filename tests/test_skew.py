@@ -156,3 +156,14 @@ def test_only_heavy_keys_are_salted(spark, rows):
 def test_top_per_key_is_cut_before_the_shuffle(rows):
     plan = top_per_key(rows[1], ["k"], [F.col("v")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_window_gets_as_many_tasks_as_its_bytes_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(positions, "TASK_BYTES", 1000, raising=False)
+    monkeypatch.setattr(positions, "BUCKETS", 50, raising=False)
+    df = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.col("id").alias("i"))
+    got = number_rows(df, [F.col("i")], ["k"], size="n", lookup=df.groupBy("k").agg(F.max("i").alias("most")))
+    assert got.rdd.getNumPartitions() >= 3000 * 16 // 1000
+    assert sorted(map(tuple, got.select("k", "i", "position", "n", "most").collect())) == sorted(
+        (i % 1000, i, i // 1000 + 1, 3, i % 1000 + 2000) for i in range(3000)
+    )
