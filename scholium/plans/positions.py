@@ -91,7 +91,7 @@ def _in_window(df, order, group, position, size, lookup, tasks) -> DataFrame:
     if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         df = df.repartition(tasks, *group)
         # A table with a row per group would be large for a broadcast, whatever its files have shrunk to.
-        lookup = lookup if lookup is None else lookup.hint("merge")
+        lookup = lookup if lookup is None else lookup.repartition(tasks, *group).hint("merge")
     if lookup is not None:
         df = df.join(lookup, list(group), "left").select(*df.columns, *[c for c in lookup.columns if c not in group])
     of_group = Window.partitionBy(*group)
