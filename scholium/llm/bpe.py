@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholium.llm.texts import field_type, filled, schema, slices, task_cache
+from scholium.llm.texts import field_type, filled, give_back, schema, slices, task_cache
 
 # Unicode white space, which the vocabulary's pre-tokenizer drops.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -341,6 +341,7 @@ def add_tokens(docs: DataFrame, definition: str, text_column: str = "text") -> D
             digests = pa.array([hashlib.sha256(bpe.decode(r).encode()).hexdigest() for r in raw], pa.string())
             counts = pa.array(list(map(len, ids)), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, counts, lists, digests], names=out_type.names)
+        give_back()
 
     encoded = base.mapInArrow(run, out_type)
     names = [F.col(f"c{i}").alias(name) for i, name in enumerate(base.columns)]

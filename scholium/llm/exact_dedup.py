@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholium.llm.texts import drop_caches, field_type, lowered, schema
+from scholium.llm.texts import field_type, lean_batches, lowered, schema
 from scholium.plans import cut_lineage
 from scholium.plans.skew import SHARES
 
@@ -25,7 +25,6 @@ DEFAULT_SALTS = 16
 
 def _digests(rows: DataFrame, id_type: T.DataType, key_bytes: int, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         for batch in batches:
             texts = lowered(batch.column(1))
             sha = [hashlib.sha256(t.as_buffer()).digest() for t in texts]
@@ -36,7 +35,7 @@ def _digests(rows: DataFrame, id_type: T.DataType, key_bytes: int, with_text: bo
 
     fields = [("_id", id_type), ("_key", "binary"), ("_sha", "binary")] + [("_text", "string")] * with_text
     names = [name for name, _ in fields]
-    return rows.mapInArrow(run, schema(*fields))
+    return rows.mapInArrow(lambda batches: lean_batches(run, batches), schema(*fields))
 
 
 def exact_dedup(
@@ -110,7 +109,6 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         for batch in batches:
             sha = [hashlib.sha256(t.as_buffer()).digest() for t in lowered(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sha, pa.binary())], names=own.names)
@@ -118,7 +116,7 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     kept = exact_dedup(docs, id_column, text_column).where("kept")
     key = f"c{docs.columns.index(id_column)}"
     keys = kept.select(F.unhex("text_sha256").alias("_sha"), F.xxhash64(id_column).alias("_h"))
-    marked = docs.mapInArrow(run, own).withColumn("_row", F.monotonically_increasing_id())
+    marked = docs.mapInArrow(lambda batches: lean_batches(run, batches), own).withColumn("_row", F.monotonically_increasing_id())
     marked = marked.withColumn("_h", F.xxhash64(key))
     # Copies of a hot text differ in id, so (text, id) deals them out evenly.
     joined = marked.join(keys, ["_sha", "_h"])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholium.llm.components import components
-from scholium.llm.texts import arrow_rows, drop_caches, field_type, filled, schema, slices, written
+from scholium.llm.texts import arrow_rows, drop_caches, field_type, filled, lean, lean_batches, schema, slices, written
 from scholium.plans.skew import SHARES
 
 WORDS = 5
@@ -157,7 +157,7 @@ def _named_sets(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), names, pa.array(list(map(len, sets)), pa.int64())], names=out.names)
 
     out = schema(("_id", field_type(rows, "_id")), ("_set", "binary"), ("_n", "long"))
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lambda batches: lean_batches(run, batches), out)
 
 
 def _ranges(rows: DataFrame, bits: int) -> DataFrame:
@@ -211,7 +211,7 @@ def _ranges(rows: DataFrame, bits: int) -> DataFrame:
         if step:
             yield from send(step)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(lambda batches: lean_batches(run, batches), out)
 
 
 def _shared_counts(ranges: DataFrame) -> DataFrame:
@@ -223,7 +223,6 @@ def _shared_counts(ranges: DataFrame) -> DataFrame:
     out = schema(("_name", "long"), ("_shared", "long"))
 
     def count(table: pa.Table) -> pa.Table:
-        drop_caches()
         alone = [np.frombuffer(b, np.uint32) for b in table.column("alone").to_pylist()]
         alls = np.sort(np.concatenate([*alone, *[np.frombuffer(b, np.uint32) for b in table.column("shared").to_pylist()]]))
         twice = np.unique(alls[1:][alls[1:] == alls[:-1]])
@@ -241,7 +240,7 @@ def _shared_counts(ranges: DataFrame) -> DataFrame:
             counts.append(total[some])
         return pa.table([pa.array(np.concatenate(names)), pa.array(np.concatenate(counts).astype(np.int64))], names=out.names)
 
-    return ranges.groupBy("_range").applyInArrow(count, out)
+    return ranges.groupBy("_range").applyInArrow(lambda table: lean(count, table), out)
 
 
 def _sets_of(rows: DataFrame, owners: DataFrame) -> DataFrame:
@@ -259,7 +258,8 @@ def _sets_of(rows: DataFrame, owners: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (names, hashes, bits)], names=out.names)
 
     texts = rows.withColumn("_h", F.xxhash64("_id")).join(owners.select("_h", "_set"), "_h").select("_set", "_text")
-    once = texts.mapInArrow(run, out).groupBy("_set").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
+    found = texts.mapInArrow(lambda batches: lean_batches(run, batches), out)
+    once = found.groupBy("_set").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
     numbered = once.select(F.monotonically_increasing_id().alias("cid"), "_set", "hashes", "bits")
     return _written(numbered.withColumn("n", (F.length("hashes") / 8).cast("long")), "sets")
 
@@ -273,7 +273,8 @@ def _common_hashes(sets: DataFrame) -> np.ndarray:
             tokens, counts = np.unique(np.frombuffer(raw, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(counts)], names=["token", "count"])
 
-    partial = sets.select("hashes").mapInArrow(run, schema(("token", "long"), ("count", "long")))
+    kinds = schema(("token", "long"), ("count", "long"))
+    partial = sets.select("hashes").mapInArrow(lambda batches: lean_batches(run, batches), kinds)
     counts = partial.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") > COMMON)
     rows = counts.orderBy(F.desc("count"), "token").limit(MOST_COMMON).toArrow()
     return rows.column("token").to_numpy()[::-1].copy()
@@ -303,7 +304,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=out.names)
 
-    return sets.select("cid", "hashes").mapInArrow(run, out)
+    return sets.select("cid", "hashes").mapInArrow(lambda batches: lean_batches(run, batches), out)
 
 
 def _smallest(sets: DataFrame) -> DataFrame:
@@ -318,7 +319,7 @@ def _smallest(sets: DataFrame) -> DataFrame:
             tokens = np.concatenate([np.zeros(0, np.int64), *firsts])
             yield pa.RecordBatch.from_arrays([pa.array(cids), pa.array(tokens)], names=out.names)
 
-    return sets.select("cid", "hashes").mapInArrow(run, out)
+    return sets.select("cid", "hashes").mapInArrow(lambda batches: lean_batches(run, batches), out)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -350,9 +351,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         (100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m"))
     )
     out = schema(("a", "long"), ("b", "long"))
-    likely = with_a.select("a", "b", "n", "m", "x", "y").mapInArrow(bounded, out)
+    likely = with_a.select("a", "b", "n", "m", "x", "y").mapInArrow(lambda batches: lean_batches(bounded, batches), out)
     arrays = likely.join(side(sets, "b", {"hashes": "y"}), "b").join(side(sets, "a", {"hashes": "x"}), "a")
-    return arrays.select("a", "b", "x", "y").mapInArrow(exact, out)
+    return arrays.select("a", "b", "x", "y").mapInArrow(lambda batches: lean_batches(exact, batches), out)
 
 
 def _star_pairs(first: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -451,7 +452,6 @@ def _tile_pairs(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
         return np.array(a, np.int64), np.array(b, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_caches()
         held: list[pa.RecordBatch] = []
 
         def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
@@ -480,7 +480,7 @@ def _tile_pairs(prefixes: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
         if held:
             yield pairs(pa.Table.from_batches(held).combine_chunks(), last=True)[0]
 
-    return tiles.mapInArrow(run, out).distinct()
+    return tiles.mapInArrow(lambda batches: lean_batches(run, batches), out).distinct()
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -551,7 +551,8 @@ def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, names], names=own.names)
 
     key = f"c{docs.columns.index(id_column)}"
-    marked = docs.mapInArrow(run, own).withColumn("_h", F.xxhash64(key)).withColumn("_row", F.monotonically_increasing_id())
+    marked = docs.mapInArrow(lambda batches: lean_batches(run, batches), own)
+    marked = marked.withColumn("_h", F.xxhash64(key)).withColumn("_row", F.monotonically_increasing_id())
     joined = marked.join(kept, ["_set", "_h"], "left").where(F.col("_kept") | (F.length("_set") == 0))
     order = F.row_number().over(Window.partitionBy("_set", "_h", F.when(F.col("_kept").isNull(), F.col("_row"))).orderBy("_row"))
     single = joined.withColumn("_order", order).where("_order = 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -25,15 +26,50 @@ def task_cache(owner: str, clear: Callable[[], None]) -> None:
 
     Python workers are reused by the stages of a job, so without this they would hold the words of every operator.
     """
-    for other in [name for name in _caches if name != owner]:
-        _caches.pop(other)()
+    _drop([name for name in _caches if name != owner])
     _caches[owner] = clear
 
 
 def drop_caches() -> None:
     """Drop what other operators left in this worker, in tasks that remember nothing themselves."""
-    for name in list(_caches):
+    _drop(list(_caches))
+
+
+def _drop(names: list[str]) -> None:
+    for name in names:
         _caches.pop(name)()
+    if names:
+        give_back()
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+
+
+def give_back() -> None:
+    """Return freed memory to the system.
+
+    Allocators keep it for later, but a worker that waits for its next task stands beside the stages of the JVM.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[..., pa.Table], *inputs) -> pa.Table:
+    """``run(*inputs)`` for tasks that remember nothing: in a worker without memories, what it freed goes back."""
+    drop_caches()
+    out = run(*inputs)
+    give_back()
+    return out
+
+
+def lean_batches(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    """The same for tasks that go through batches."""
+    drop_caches()
+    yield from run(batches)
+    give_back()
 
 
 @contextmanager

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholium.llm.labelled import Sample, fit_logistic, fold_of, labelled_sample, logistic
-from scholium.llm.texts import field_type, filled, schema, slices, task_cache
+from scholium.llm.texts import field_type, filled, give_back, schema, slices, task_cache
 
 BUCKETS = 1 << 18
 WIDTH = 9  # features per token
@@ -342,6 +342,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float, text_column
             scores = logistic(shared.value.beta, shared.value.document_features(odds))
             clean = pa.array(scores < threshold)
             yield pa.RecordBatch.from_arrays([column.filter(clean) for column in batch.columns], names=own.names)
+        give_back()
 
     kept = docs.mapInArrow(run, own)
     return kept.select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
