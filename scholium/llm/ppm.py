@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scholium.llm.labelled import fold_of
-from scholium.llm.texts import field_type, filled, schema
+from scholium.llm.texts import field_type, filled, lean, lean_batches, schema
 from scholium.plans import scratch_dir
 
 ORDER = 5
@@ -35,6 +35,7 @@ END = 0xFF
 PAD = bytes([END] * ORDER)
 _BYTE = np.uint64(8)
 STEP_BYTES = 1 << 21  # text that is turned into grams at a time
+SCORE_BYTES = 1 << 18  # the same for looking grams up, which takes some hundred bytes for each
 BLOCK_BYTES = 1 << 24
 PART_GRAMS = 100_000  # distinct grams from which a task computes probabilities at a time, unless byte pairs have more
 LEAST_BUCKETS = 64
@@ -42,12 +43,12 @@ HELD_GRAMS = 1_000_000  # grams a task holds unsorted
 WORD_ENTRIES = 800_000  # (block, word) pairs a task holds before it sends them on
 
 
-def _steps(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _steps(texts: list[bytes], most: int | None = None) -> Iterator[list[bytes]]:
     step, size = [], 0
     for text in texts:
         step.append(text)
         size += len(text)
-        if size >= STEP_BYTES:
+        if size >= (STEP_BYTES if most is None else most):
             yield step
             step, size = [], 0
     if step:
@@ -254,7 +255,7 @@ class Trie:
 def text_scores(texts: list[bytes], log10: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """log10 of the probability of each whole text with its end, from that of its grams."""
     out = []
-    for step in _steps(texts):
+    for step in _steps(texts, SCORE_BYTES):
         grams, begins, ends = _grams(step)
         bounds = np.stack([begins, ends], axis=1).ravel()
         logs = np.append(log10(grams), 0.0)
@@ -318,7 +319,7 @@ def _block_grams(blocked: DataFrame, buckets: int) -> DataFrame:
         )
 
     kinds = schema(("_block", "int"), ("_bucket", "int"), ("_grams", "binary"), ("_counts", "binary"))
-    return blocked.select("_block", "_learn", "_text").groupBy("_block").applyInArrow(run, kinds)
+    return blocked.select("_block", "_learn", "_text").groupBy("_block").applyInArrow(lambda key, rows: lean(run, key, rows), kinds)
 
 
 def _sum_grams(asked: DataFrame) -> DataFrame:
@@ -330,7 +331,8 @@ def _sum_grams(asked: DataFrame) -> DataFrame:
         keys, counts = _tally(keys, counts)
         return pa.table({"gram": pa.array(keys.astype(np.int64)), "n": pa.array(counts)})
 
-    return asked.select("_bucket", "_grams", "_counts").groupBy("_bucket").applyInArrow(run, schema(("gram", "long"), ("n", "long")))
+    kinds = schema(("gram", "long"), ("n", "long"))
+    return asked.select("_bucket", "_grams", "_counts").groupBy("_bucket").applyInArrow(lambda rows: lean(run, rows), kinds)
 
 
 def _gram_logs(table: DataFrame, parts: int, buckets: int, shared) -> DataFrame:
@@ -343,7 +345,8 @@ def _gram_logs(table: DataFrame, parts: int, buckets: int, shared) -> DataFrame:
 
     pair = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
     part = F.pmod(F.xxhash64(pair), F.lit(parts)).alias("_part")
-    return table.select(part, "gram", "n").groupBy("_part").applyInArrow(run, schema(("_bucket", "int"), ("gram", "long"), ("log", "double")))
+    kinds = schema(("_bucket", "int"), ("gram", "long"), ("log", "double"))
+    return table.select(part, "gram", "n").groupBy("_part").applyInArrow(lambda rows: lean(run, rows), kinds)
 
 
 def _answers(asked: DataFrame, logs: DataFrame) -> DataFrame:
@@ -357,7 +360,8 @@ def _answers(asked: DataFrame, logs: DataFrame) -> DataFrame:
         return pa.table([wanted.column("_block"), wanted.column("_grams"), pa.array(found, pa.binary())], names=["_block", "_grams", "_logs"])
 
     kinds = schema(("_block", "int"), ("_grams", "binary"), ("_logs", "binary"))
-    return asked.select("_block", "_bucket", "_grams").groupBy("_bucket").cogroup(logs.groupBy("_bucket")).applyInArrow(run, kinds)
+    both = asked.select("_block", "_bucket", "_grams").groupBy("_bucket").cogroup(logs.groupBy("_bucket"))
+    return both.applyInArrow(lambda wanted, known: lean(run, wanted, known), kinds)
 
 
 def _block_words(blocked: DataFrame) -> DataFrame:
@@ -383,7 +387,8 @@ def _block_words(blocked: DataFrame) -> DataFrame:
                 columns = [pa.array(part, pa.binary()), pa.array([block] * len(part), pa.int32()), pa.array(counts[i : i + 100_000], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["_word", "_block", "_n"])
 
-    return blocked.mapInArrow(run, schema(("_word", "binary"), ("_block", "int"), ("_n", "long")))
+    kinds = schema(("_word", "binary"), ("_block", "int"), ("_n", "long"))
+    return blocked.mapInArrow(lambda batches: lean_batches(run, batches), kinds)
 
 
 def score_corpus(
@@ -459,4 +464,5 @@ def score_corpus(
             names=out.names,
         )
 
-    return blocked.groupBy("_block").cogroup(wanted.groupBy("_block")).applyInArrow(score, out)
+    both = blocked.groupBy("_block").cogroup(wanted.groupBy("_block"))
+    return both.applyInArrow(lambda texts, wanted: lean(score, texts, wanted), out)

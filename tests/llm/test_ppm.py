@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,3 +128,15 @@ def test_no_training_rows_and_no_rows(spark):
     rows = score_corpus(documents(spark, only_held), 10, 0).collect()
     assert len(rows) == len(only_held) and {r.n_known for r in rows} == {0} and {r.train_tokens for r in rows} == {0}
     assert score_corpus(documents(spark, []), 10, 0).collect() == []
+
+
+def test_looking_up_a_long_text_takes_little_memory():
+    """A task looks up blocks of 16 MB; what a lookup holds for each byte must not be there for megabytes at a time."""
+    texts = [bytes([97 + i % 26]) * 1000 for i in range(4000)]
+    grams = np.unique(ppm._grams(texts[:26])[0])
+    table = HashTable.build(grams, np.zeros(len(grams)))
+    tracemalloc.start()
+    scores = ppm.text_scores(texts, table.values_of)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(scores) == 4000 and peak < 50e6
